@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -83,3 +84,26 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, chars: int = 4
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
+
+
+def units(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The groups of a partition sorted by the key columns, each as one table; only the group at hand is held."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            values = batch.column(k).to_numpy(zero_copy_only=False)
+            change[1:] |= values[1:] != values[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            key = tuple(batch.column(k)[start].as_py() for k in keys)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
