@@ -3,7 +3,8 @@
 Documents are dealt out by ranges of doc_id, encoded, and written as raw files. A shard is
 
     magic, JSON header with the sections' places (space-padded to HEADER bytes), then
-    ids       uint32, the raw payload, documents one after another in ascending doc_id
+    ids       the raw payload, documents one after another in ascending doc_id; uint16 where
+              the vocabulary has at most 65,536 ids, else uint32
     starts    uint64, n_docs + 1 places in ids
     keys      int64 doc_id of every document, and a byte that is 1 where it is null
     levels    the index: bit arrays of uint64 words, one level after another
@@ -28,9 +29,9 @@ not read.
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -47,47 +48,92 @@ from . import common
 
 MAGIC = b"LODEIDS1"
 HEADER = 1024
-#: Ids after which a shard is closed (8 MB of payload).
+#: Ids after which a shard is closed (4 or 8 MB of payload).
 SHARD_IDS = 1 << 21
 #: Chunks between white space whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
+#: ASCII marks but the apostrophe, at which the tokenizer may split.
+MARKS = string.punctuation.replace("'", "")
 NULL_KEY = np.uint64(0x9E3779B97F4A7C15)
 
 
 # --- encoding ---------------------------------------------------------------------------
 
 
-class ChunkEncoder:
-    """Packed little-endian uint32 ids of texts, by way of their chunks between ASCII white space.
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the others from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + others.index(b)) for b in range(256)]
 
-    The tokenizer normalizes, drops white space and splits before it merges, and none of
-    that reaches across ASCII white space; so a text's ids are its chunks' ids in a row.
-    Chunks seen before are remembered, and the new ones of a batch are encoded together.
-    Strings of special tokens are ordinary text.
+
+class ChunkEncoder(dict):
+    """Packed ids of texts, by way of their chunks between ASCII white space; chunks met before are remembered.
+
+    The tokenizer normalizes, drops white space and splits before it merges, and none of that
+    reaches across ASCII white space; so a text's ids are its chunks' ids in a row. Where the
+    tokenizer lowers letters and splits at their runs, a chunk of Latin-1 letters, with marks behind,
+    goes to the library's merges directly; any other chunk goes through the library's whole course. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.remembered = remembered
-        self.known: dict[bytes, bytes] = {}
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.letters = _byte_letters()
+        self.merge = self.tokenizer.model.tokenize
+        self.ends: dict[str, list[int]] = {}
+        self.direct = self._lowers_and_splits()
+
+    @property
+    def width(self) -> int:
+        return struct.calcsize(f"<{self.kind}")
+
+    def _lowers_and_splits(self) -> bool:
+        """Whether the shortcut gives the library's ids, tried on words of all letters that may take it."""
+        letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+        tried = ["a" + x + "b" + end for x in letters for end in ("", ".", ",.", "...", MARKS, "!!", "$$$")] + ["".join(letters), "ABC", "xyz,"]
+        return all(self._short(w) == self._whole(w) for w in tried)
+
+    def _whole(self, chunk: str) -> list[int]:
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+
+    def _short(self, chunk: str) -> list[int] | None:
+        core = chunk.rstrip(MARKS)
+        if not core.isalpha():
+            return None
+        end = chunk[len(core) :]
+        if core.isascii():
+            core = core.lower()
+        elif max(core) > "\xff":
+            return None
+        else:
+            core = "".join(map(self.letters.__getitem__, core.lower().encode()))
+        ids = [t.id for t in self.merge(core)]
+        if end:
+            if end not in self.ends:
+                self.ends[end] = [t.id for t in self.merge(end)]
+            ids += self.ends[end]
+        return ids
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        ids = self._short(text) if self.direct else None
+        if ids is None:
+            ids = self._whole(text)
+        packed = self[chunk] = struct.pack(f"<{len(ids)}{self.kind}", *ids)
+        return packed
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [(t or "").encode().split() for t in texts]
-        if len(self.known) > self.remembered:
-            self.known = {}
-        known = self.known
-        new = list(set(itertools.chain.from_iterable(chunks)).difference(known))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            found = self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
-            for chunk, x in zip(some, found, strict=True):
-                ids = x.ids
-                known[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-        return [b"".join(map(known.__getitem__, c)) for c in chunks]
+        if len(self) > self.remembered:
+            self.clear()
+            self.ends.clear()
+        return [b"".join(map(self.__getitem__, (t or "").encode().split())) for t in texts]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -168,11 +214,11 @@ def hashed_keys(doc_ids: np.ndarray, null: np.ndarray) -> np.ndarray:
 # --- the file format --------------------------------------------------------------------
 
 
-def pack_shard(doc_ids: list[int | None], payloads: list[bytes], part: int, seq: int) -> tuple[bytes, dict]:
+def pack_shard(doc_ids: list[int | None], payloads: list[bytes], part: int, seq: int, width: int = 4) -> tuple[bytes, dict]:
     """The bytes of a shard of documents in order, and its line for the manifest."""
     null = np.array([d is None for d in doc_ids], bool)
     keys = np.array([d or 0 for d in doc_ids], "<i8")
-    starts = np.concatenate([[0], np.cumsum([len(p) // 4 for p in payloads])]).astype("<u8")
+    starts = np.concatenate([[0], np.cumsum([len(p) // width for p in payloads])]).astype("<u8")
     hashed = hashed_keys(keys, null)
     distinct, first, count = np.unique(hashed, return_index=True, return_counts=True)
     index = PerfectHash.build(distinct)
@@ -186,7 +232,7 @@ def pack_shard(doc_ids: list[int | None], payloads: list[bytes], part: int, seq:
     for name, data in sections.items():
         places[name] = [at, len(data)]
         at += len(data)
-    head = {"part": part, "seq": seq, "n_docs": len(doc_ids), "n_ids": int(starts[-1]), "sections": places, "levels": index.places}
+    head = {"part": part, "seq": seq, "n_docs": len(doc_ids), "n_ids": int(starts[-1]), "width": width, "sections": places, "levels": index.places}
     blob = b"".join([MAGIC, json.dumps(head).encode().ljust(HEADER), *sections.values()])
     some = [d for d in doc_ids if d is not None]
     line = {"part": part, "seq": seq, "n_docs": len(doc_ids), "n_ids": head["n_ids"], "least": some[0] if some else None, "most": some[-1] if some else None}
@@ -201,7 +247,7 @@ class Shard:
             raise ValueError("not a token shard")
         self.head = json.loads(data[len(MAGIC) : len(MAGIC) + HEADER])
         get = lambda name, kind: np.frombuffer(data, kind, offset=(at := self.head["sections"][name])[0], count=at[1] // np.dtype(kind).itemsize)
-        self.ids, self.starts, self.keys, self.null = get("ids", "<u4"), get("starts", "<u8").astype(np.int64), get("keys", "<i8"), get("null", "u1") != 0
+        self.ids, self.starts, self.keys, self.null = get("ids", f"<u{self.head['width']}"), get("starts", "<u8").astype(np.int64), get("keys", "<i8"), get("null", "u1") != 0
         self.index = PerfectHash(get("levels", "<u8"), self.head["levels"])
         self.prints, self.spans = get("prints", "<u4"), get("slots", "<u4").reshape(-1, 2)
 
@@ -218,7 +264,8 @@ class Shard:
         return np.where(known, first, -1), count
 
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.starts[i] : self.starts[i + 1]]
+        """The ids of the i-th document, as uint32."""
+        return self.ids[self.starts[i] : self.starts[i + 1]].astype("<u4")
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of every document of that key."""
@@ -233,13 +280,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_ids
     """Encode all documents and write them as shards under path, in ascending doc_id order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), struct.pack("<I", end_id)
+        enc = encoder(tokenizer)
+        end, width = struct.pack(f"<{enc.kind}", end_id), enc.width
         part, seq, held = TaskContext.get().partitionId(), 0, 0
         ids: list[int | None] = []
         payloads: list[bytes] = []
 
         def close() -> pa.RecordBatch:
-            blob, line = pack_shard(ids, payloads, part, seq)
+            blob, line = pack_shard(ids, payloads, part, seq, width)
             return pa.record_batch([pa.array(["ids", "manifest"]), pa.array([blob, json.dumps(line).encode()], pa.binary())], names=["kind", "value"])
 
         for batch in batches:
@@ -247,7 +295,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_ids
                 for doc_id, payload in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text").to_pylist()), strict=True):
                     ids.append(doc_id)
                     payloads.append(payload + end)
-                    held += len(payload) // 4 + 1
+                    held += len(payload) // width + 1
                     if held >= shard_ids:
                         yield close()
                         seq, held, ids, payloads = seq + 1, 0, [], []
@@ -306,7 +354,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         # the k-th document of a key is the k-th of its slot's run
         at = first + (np.arange(len(first)) - first)
         ends = shard.starts[at + 1]
-        crc = [zlib.crc32(shard.document(i)) for i in at]
+        crc = [zlib.crc32(shard.document(i).tobytes()) for i in at]
         n = len(at)
         return pa.record_batch(
             [pa.array(shard.keys, mask=shard.null), pa.array(shard.starts[at]), pa.array(ends - shard.starts[at]), pa.array(crc, pa.int64()), pa.array(np.full(n, shard.head["part"])), pa.array(np.full(n, shard.head["seq"]))],
