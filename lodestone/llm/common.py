@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of characters outside this class in every contract.
@@ -44,11 +44,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    reclaim(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path  # noqa: SLF001
     return out
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Let the driver notice which shuffles nothing refers to any more, so that executors drop their files."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table that materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_lodestone_path", None)
@@ -86,6 +92,33 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+#: Words of 64 bits of a membership filter: 1 MB, whatever it stands for.
+FILTER_WORDS = 1 << 17
+
+
+def with_mark(rows: DataFrame, key: Column, wanted: DataFrame, name: str, mark: str) -> DataFrame:
+    """rows with a flag that is true where the long key may be in the column `name` of wanted.
+
+    wanted is hashed into a bitmap of fixed size that every task gets; with more keys more
+    other rows are marked, but never a wanted one missed. What joins afterwards has less to move.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(F.lit(77), c), F.lit(64 * FILTER_WORDS))
+    marks = wanted.select(spot(F.col(name)).alias("spot"))
+    words = marks.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("bits"))
+    every = rows.sparkSession.range(FILTER_WORDS).withColumnRenamed("id", "word").join(words, "word", "left")
+    one = every.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("x"))
+    one = one.select(F.transform("x", lambda y: y["bits"]).alias("_filter"))
+    placed = rows.withColumn("_spot", spot(key)).crossJoin(F.broadcast(one))
+    word = F.get("_filter", F.shiftright("_spot", 6).cast("int"))
+    hit = F.call_function("shiftright", word, F.pmod("_spot", F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return placed.withColumn(mark, F.coalesce(hit, F.lit(False))).drop("_spot", "_filter")
+
+
+def perhaps_in(rows: DataFrame, key: Column, wanted: DataFrame, name: str) -> DataFrame:
+    """The rows whose long key may be in the column `name` of wanted, and few others."""
+    return with_mark(rows, key, wanted, name, "_mark").where("_mark").drop("_mark")
+
+
 def units(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
     """The groups of a partition sorted by the key columns, each as one table; only the group at hand is held."""
     held: list[pa.RecordBatch] = []

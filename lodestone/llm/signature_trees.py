@@ -41,6 +41,8 @@ from . import common, graph
 from .common import discard, materialize
 
 LEAF = 64
+#: Bits of a signature for each shingle, at least; the fewer collide, the fewer pairs are verified in vain.
+BITS = 8
 FANOUT = 8
 #: Slots of the table of counts: 2**20 counters, 4 MB in each task and the driver.
 SLOTS = 1 << 20
@@ -101,8 +103,8 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 
 def bitmap_bits(n: int) -> int:
-    """A power of two at least twice the size of the set."""
-    return max(64, 1 << (2 * n - 1).bit_length())
+    """A power of two at least BITS times the size of the set."""
+    return max(64, 1 << (BITS * n - 1).bit_length())
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
@@ -405,11 +407,13 @@ def verified(pairs: DataFrame, docs: DataFrame, chosen: DataFrame, join: Join) -
 
 
 def classes_and_links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, n, cid, fp) and verified links (a, b) that connect exactly the classes that links connect."""
+    """Documents (doc_id, th, n, cid) and verified links (a, b) that connect exactly the classes that links connect."""
     counts = shingle_counts(docs, join)
     rows = materialize(signed(docs, join, counts), "signed")
+    small = materialize(rows.select("doc_id", "th", "n", "cid"), "documents")
     classes = rows.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys"), F.min("fp").alias("least"), F.max("fp").alias("most"), F.min(F.struct("doc_id", "th")).alias("chosen"))
     classes = materialize(classes, "classes")
+    discard(rows)
     if not classes.where("least <> most").isEmpty():
         raise RuntimeError("two sets share a 64-bit class number")
     keys = classes.select("cid", F.explode("keys").alias("key"))
@@ -434,7 +438,7 @@ def classes_and_links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame
     open_ = open_.select("unit", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "cid", "component")
     second = further_pairs(open_.join(signs, "cid"), join).distinct().join(first, ["a", "b"], "left_anti")
     more = verified(materialize(second, "second"), docs, chosen, join)
-    return rows.select("doc_id", "n", "cid", "fp"), links.unionByName(more)
+    return small, links.unionByName(more)
 
 
 def component_table(docs: DataFrame, join: Join = Join()) -> DataFrame:
@@ -449,3 +453,20 @@ def component_table(docs: DataFrame, join: Join = Join()) -> DataFrame:
     out = rows.join(named, "cid", "left")
     empty = F.col("n") == 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"))
+
+
+def representatives(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """docs with one row of each component: of its least doc_id, null last, then by the text's hash. Rows without words all stay."""
+    rows, links = classes_and_links(docs, join)
+    groups = graph.components(links).withColumnRenamed("v", "cid")
+    missing = F.col("doc_id").isNull().alias("missing")
+    first = rows.where("n > 0").groupBy("cid").agg(F.min(F.struct(missing, "doc_id", "th")).alias("first"))
+    first = first.join(groups, "cid", "left").groupBy(F.coalesce("component", "cid").alias("component")).agg(F.min("first").alias("first"))
+    kept = materialize(first.select(F.coalesce("first.doc_id", F.lit(-1)).alias("_key"), F.col("first.th").alias("_th")), "kept")
+    text = F.col("text").cast("string")
+    keyed = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_th": F.xxhash64(text)})
+    keyed = common.with_mark(keyed, F.xxhash64("_key", "_th"), kept.select(F.xxhash64("_key", "_th").alias("_h")), "_h", "_mark")
+    blank = F.coalesce(F.length(F.regexp_replace(text, f"[{common.SPACE}]", "")), F.lit(0)) == 0
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    chosen = keyed.where(F.col("_mark") & ~blank).join(kept, ["_key", "_th"], "left_semi").dropDuplicates(["_key", "_th"])
+    return chosen.select(*names).unionByName(keyed.where(blank).select(*names))
