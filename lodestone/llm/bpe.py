@@ -116,3 +116,19 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")
+
+
+def checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids and lossless: encoded, and whether decoding gives the text's bytes again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(path, pattern)
+        for batch in common.small_batches(batches, "text"):
+            texts = batch.column("text").to_pylist()
+            ids = [encode(t, enc) for t in texts]
+            same = [enc.decode_bytes(i) == (t or "").encode() for i, t in zip(ids, texts)]
+            counts = [len(i) for i in ids]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "lossless"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, lossless boolean")
