@@ -40,6 +40,8 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 
 def best(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row of q, id and squared distance of each row's k nearest of v, in order of (distance, id)."""
+    if q.shape[1] != v.shape[1]:
+        raise ValueError(f"vectors of {v.shape[1]} and of {q.shape[1]} components can't be compared")
     rough = (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None] - 2 * (q @ v.T)
     if rough.shape[1] > k:
         edge = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import exact_percentiles
+from .quantiles import column_percentiles
 
 
 def coerce_numeric(df: DataFrame, *columns: str) -> DataFrame:
@@ -28,15 +28,14 @@ def finite(column: str):  # noqa: ANN201
 def median_impute(df: DataFrame, *columns: str) -> DataFrame:
     """Nulls, NaN and infinities become the column's median, 0 in a column without any number."""
     out = df.withColumns({c: finite(c) for c in columns})
-    fill = {c: exact_percentiles(out, c, [0.5])[0] for c in columns}
-    return out.withColumns({c: F.coalesce(F.col(c), F.lit(float(fill[c] or 0.0))) for c in columns})
+    fill = column_percentiles(out, list(columns), [0.5])
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(float(fill[c][0] or 0.0))) for c in columns})
 
 
 def winsorize(df: DataFrame, *columns: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Values brought into the range between two percentiles, where that range isn't empty."""
     new = {}
-    for c in columns:
-        a, b = exact_percentiles(df, c, [low, high])
+    for c, (a, b) in column_percentiles(df, list(columns), [low, high]).items():
         if a is not None and a < b:
             new[c] = F.when(F.col(c).isNotNull(), F.greatest(F.lit(a), F.least(F.lit(b), F.col(c))))
     return df.withColumns(new) if new else df

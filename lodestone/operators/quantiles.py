@@ -40,14 +40,23 @@ def _value_at(df: DataFrame, rank: int, low: float, high: float, before: int, he
     return high
 
 
-def exact_percentiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
-    """Percentiles of the values that are neither null nor NaN; None without any."""
-    values = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
-    n, low, high = values.agg(F.count("*"), F.min("x"), F.max("x")).first()
-    if not n:
-        return [None] * len(shares)
-    if n <= FEW:
-        return list(values.agg(F.percentile("x", F.array(*map(F.lit, shares)))).first()[0])
+def column_percentiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
+    """Percentiles of each column's values that are neither null nor NaN; None without any."""
+    values = df.select(*(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)))
+    ends = values.agg(*(f(f"c{i}") for i in range(len(columns)) for f in (F.count, F.min, F.max))).first()
+    few = [i for i in range(len(columns)) if 0 < ends[3 * i] <= FEW]
+    out: dict[str, list[float | None]] = {c: [None] * len(shares) for c in columns}
+    if few:
+        read = values.agg(*(F.percentile(f"c{i}", F.array(*map(F.lit, shares))) for i in few)).first()
+        out |= {columns[i]: list(x) for i, x in zip(few, read)}
+    for i, c in enumerate(columns):
+        n, low, high = ends[3 * i : 3 * i + 3]
+        if n > FEW:
+            out[c] = _large(values.select(F.col(f"c{i}").alias("x")).where("x is not null"), n, low, high, shares)
+    return out
+
+
+def _large(values: DataFrame, n: int, low: float, high: float, shares: list[float]) -> list[float]:
     known: dict[int, float] = {}
 
     def at(rank: int) -> float:
@@ -61,3 +70,7 @@ def exact_percentiles(df: DataFrame, column: str, shares: list[float]) -> list[f
         a, b = math.floor(place), math.ceil(place)
         out.append(at(a) + (at(b) - at(a)) * (place - a))
     return out
+
+
+def exact_percentiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    return column_percentiles(df, [column], shares)[column]

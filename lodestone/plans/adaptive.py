@@ -89,12 +89,14 @@ def prepared(rows: DataFrame) -> DataFrame:
 
 def trained(w: Workload) -> dict[str, gbdt.Ensemble]:
     """The three heads: efc, then ef_warm, then m, each by the features known at its turn."""
-    rows = prepared(collected(w)).cache()
+    raw = collected(w).cache()
+    rows = prepared(raw).cache()
     heads = {}
     for name, names, target, falling in (("A", adaptive.HEAD_A, "efc", ()), ("B", adaptive.HEAD_B, "ef_warm", ("efc", "log_efc")), ("M", adaptive.HEAD_M, "m", ("efc", "log_efc"))):
         heads[name] = (names, target, LEARN, prep.monotone_signs(names, falling))
     models = gbdt.fit_heads(rows, heads)
     rows.unpersist()
+    raw.unpersist()
     return models
 
 

@@ -442,19 +442,19 @@ def training_table(w: Workload) -> DataFrame:
 
 @query
 def graph_search(w: Workload) -> DataFrame:
-    return adaptive_plan.graph_results(w, [(64, 32, 16.0), (64, 16, 8.0)]).select("cluster_id", "efc", "ef_warm", "m", "qid", "rank", "base_id", r6("d2"), "visited")
+    return adaptive_plan.graph_results(w.hold(), [(64, 32, 16.0), (64, 16, 8.0)]).select("cluster_id", "efc", "ef_warm", "m", "qid", "rank", "base_id", r6("d2"), "visited")
 
 
 @query
 def gbdt_train(w: Workload) -> DataFrame:
-    models = adaptive_plan.trained(w)
+    models = adaptive_plan.trained(w.hold())
     rows = [(h, i, f, float(g)) for h, m in sorted(models.items()) for i, (f, g) in enumerate(m.importance())]
     return w.spark.createDataFrame(rows, "head string, place int, feature string, gain double")
 
 
 @query
 def adaptive_search(w: Workload) -> DataFrame:
-    return adaptive_plan.search(w, scalars.target_grid(TARGETS))
+    return adaptive_plan.search(w.hold(), scalars.target_grid(TARGETS))
 
 
 @query

@@ -61,6 +61,12 @@ class Workload:
     def nearest(self) -> DataFrame:
         return knn.nearest_query(self.queries)
 
+    def hold(self) -> Workload:
+        """Keep what plans of several actions read again and again."""
+        for name in ("centers", "probes", "graph", "truth"):
+            self.__dict__[name] = getattr(self, name).cache()
+        return self
+
     def reuse(self, seeds: int = SEEDS, k: int = K) -> DataFrame:
         return reuse.anchor_reuse_knn(self.queries, self.base, self.probes, self.graph, k, seeds)
 

@@ -23,7 +23,7 @@ def first_existing(folder: str, names: list[str]) -> str:
 
 def read_model(spark: SparkSession, path: str, features: list[str], log_target: bool = True) -> Ensemble:
     """An ensemble from a text file of trees; other lines are passed over."""
-    rows = spark.read.option("wholetext", True).text(path).collect()
+    rows = spark.read.text(path, wholetext=True).collect()
     trees: list[Tree] = []
     for line in "".join(r.value for r in rows).splitlines():
         key, _, value = line.partition("=")
@@ -46,7 +46,7 @@ def read_model(spark: SparkSession, path: str, features: list[str], log_target:
 
 
 def model_text(model: Ensemble) -> str:
-    join = lambda values: " ".join(map(repr, values))
+    join = lambda values: " ".join(repr(v.item() if hasattr(v, "item") else v) for v in values)
     out = []
     for i, t in enumerate(model.trees):
         lists = (t.feature, t.threshold, t.left, t.right, t.value)
@@ -73,7 +73,7 @@ def read_meta(spark: SparkSession, path: str, defaults: dict[str, list[str]]) ->
     """Feature lists by head from a JSON file; the defaults for heads, or a file, that are missing."""
     if not os.path.exists(path.removeprefix("file://")):
         return dict(defaults)
-    text = "".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
+    text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
     held = json.loads(text)
     return {head: list(held.get(f"features_{head}_used") or names) for head, names in defaults.items()}
 
