@@ -21,17 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the setting is absent, as in local tests, a temporary folder is
-    made and set for the session.
+    Only where none is set, as in local tests, a temporary folder is made for the application.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        given = context._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            found = given.get()
+        else:
+            if context.applicationId not in _own_dirs:
+                _own_dirs[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+            found = _own_dirs[context.applicationId]
     return found.rstrip("/")
 
 
