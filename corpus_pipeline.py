@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, line_dedup, mixing, quality, signature_trees
 from lodestone.llm.common import materialize, table
+from lodestone.shipping import ship
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier rejects."""
+    ship(spark)
     settings = quality.Settings()
     model = quality.train(docs, table(spark, sf_dir, "labels"), settings)
     kept = quality.scored(docs, model, settings).where(F.col("score") >= settings.threshold)
@@ -27,6 +29,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that an earlier document has; a document that loses all it has goes."""
+    ship(spark)
     out = line_dedup.dedup(docs).where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s", " ")) != ""))
     length = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", length).select(*docs.columns)
@@ -34,16 +37,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    ship(spark)
     return signature_trees.representatives(docs, signature_trees.Join(words=5, percent=80))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    ship(spark)
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, lossless."""
+    ship(spark)
     return bpe.checked(docs, BYTE_RANKS, public_tokenizers.PATTERN)
 
 
