@@ -14,10 +14,11 @@ class; only classes are joined.
    loses to collisions. Two trees are gone through together; a pair of nodes is passed over
    when the sizes can't fit or when the common bits, and the collisions, can't make up the
    overlap that the least sizes need. So no pair that links is passed over.
-4. Pairs that remain are verified on the whole sets. The first round verifies one pair for
-   each class, the second all that remain between classes not yet connected; pairs inside a
-   component can't change it. A unit too large for a task is dealt out in blocks in the first
-   round; pairs of blocks are gone through in the second where the classes aren't connected.
+4. Pairs that remain are verified on the whole sets. ROUNDS times each class is verified with
+   its likeliest partner outside its component, so that copies meet their original first; then
+   all pairs that remain between components are. Pairs inside a component can't change it. A
+   unit too large for a task is dealt out in blocks in those rounds; at last its pairs of
+   blocks are gone through where the classes aren't connected.
 
 Defined results: null and empty texts and texts without words have an empty set, link with
 nothing and are their own component; fewer words than a shingle make one shingle of the whole
@@ -46,6 +47,8 @@ BITS = 8
 FANOUT = 8
 #: Slots of the table of counts: 2**20 counters, 4 MB in each task and the driver.
 SLOTS = 1 << 20
+#: Rounds in which each class is verified with its likeliest partner, before all pairs that are left.
+ROUNDS = 2
 #: Classes of a unit that one task goes through together.
 BLOCK = 2048
 #: Distinct words whose codes a worker remembers.
@@ -166,20 +169,21 @@ class SignatureTree:
         return i * run, min((i + 1) * run, len(self.members))
 
 
-def fits(a: tuple, b: tuple, join: Join) -> np.ndarray:
-    """Which pairs of rows of a and b (bits, least, most, lost) may hold a link; arrays broadcast."""
+def fits(a: tuple, b: tuple, join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows of a and b (bits, least, most, lost) may hold a link, and the most that they have in common; arrays broadcast."""
     bits_a, least_a, most_a, lost_a = a
     bits_b, least_b, most_b, lost_b = b
     common_bits = np.bitwise_count(bits_a & bits_b).sum(axis=-1).astype(np.int64) + np.minimum(lost_a, lost_b)
     sizes = (100 * most_a >= join.percent * least_b) & (100 * most_b >= join.percent * least_a)
-    return sizes & (common_bits >= join.overlap(least_a, least_b)) & (100 * common_bits >= join.percent * np.maximum(least_a, least_b))
+    return sizes & (common_bits >= join.overlap(least_a, least_b)) & (100 * common_bits >= join.percent * np.maximum(least_a, least_b)), common_bits
 
 
 def dual(one: SignatureTree, two: SignatureTree | None, join: Join, apart, found) -> None:  # noqa: ANN001
     """Go through two trees together, or one with itself.
 
-    apart(members, members) is false where no pair of the two groups is of use any more;
-    found(members, members) gets each pair of groups of members that may link.
+    apart(members, members) is false where no pair of the two groups is of use;
+    found(members, members, shares) gets the pairs of members that may link, with the highest
+    similarity that they may have.
     """
     other = two or one
     top = (len(one.levels) - 1, 0, len(other.levels) - 1, 0)
@@ -191,16 +195,17 @@ def dual(one: SignatureTree, two: SignatureTree | None, join: Join, apart, found
             if two is None and i == j:
                 continue
         a, b = one.span(p, i), other.span(q, j)
-        if not fits(row(one, p, i), row(other, q, j), join) or not apart(one.members[slice(*a)], other.members[slice(*b)]):
+        if not fits(row(one, p, i), row(other, q, j), join)[0] or not apart(one.members[slice(*a)], other.members[slice(*b)]):
             continue
         if p <= 1 and q <= 1:
             left, right = tuple(x[slice(*a)] for x in one.levels[0]), tuple(x[slice(*b)] for x in other.levels[0])
-            pairs = fits((left[0][:, None], *(x[:, None] for x in left[1:])), (right[0][None], *(x[None] for x in right[1:])), join)
+            pairs, shared = fits((left[0][:, None], *(x[:, None] for x in left[1:])), (right[0][None], *(x[None] for x in right[1:])), join)
             if two is None and a == b:
                 pairs = np.triu(pairs, 1)
             x, y = np.nonzero(pairs)
             if len(x):
-                found(one.members[a[0] + x], other.members[b[0] + y])
+                most = shared[x, y]
+                found(one.members[a[0] + x], other.members[b[0] + y], most / (left[1][x] + right[1][y] - most))
         elif p > q:
             stack += [(p - 1, x, q, j) for x in one.below(p, i)]
         elif q > p:
@@ -209,30 +214,20 @@ def dual(one: SignatureTree, two: SignatureTree | None, join: Join, apart, found
             stack += [(p - 1, x, q - 1, y) for x in one.below(p, i) for y in other.below(q, j) if two is not None or i != j or x <= y]
 
 
-def candidates(bits: list[np.ndarray], sizes: np.ndarray, join: Join, group: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs of members that may link.
+def candidates(bits: list[np.ndarray], sizes: np.ndarray, join: Join, group: np.ndarray, found, side: np.ndarray | None = None) -> None:  # noqa: ANN001
+    """Hand found(members, members, shares) all pairs of members that may link and lie in different groups.
 
-    Without group, only pairs that connect members not yet connected by pairs before them:
-    a forest. With group (numbers of components), all pairs between different ones. With
-    side, pairs of a member with side 0 and one with side 1 only.
+    group: numbers of the members' components. With side, only pairs of a member with side 0
+    and one with side 1.
     """
-    out: list[tuple[int, int]] = []
-    sets = UnionFind(len(sizes))
 
     def apart(a: np.ndarray, b: np.ndarray) -> bool:
-        if group is not None:
-            return not (group[a[0]] == group[a]).all() or not (group[a[0]] == group[b]).all()
-        root = sets.find(int(a[0]))
-        return any(sets.find(int(x)) != root for x in a) or any(sets.find(int(x)) != root for x in b)
-
-    def found(a: np.ndarray, b: np.ndarray) -> None:
-        if group is not None:
-            far = group[a] != group[b]
-            out.extend(zip(a[far].tolist(), b[far].tolist()))
-            return
-        for x, y in zip(a.tolist(), b.tolist()):
-            if sets.join(x, y):
-                out.append((x, y))
+        return not (group[a[0]] == group[a]).all() or not (group[a[0]] == group[b]).all()
+
+    def between(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> None:
+        far = group[a] != group[b]
+        if far.any():
+            found(a[far], b[far], share[far])
 
     widths = np.array([len(b) for b in bits])
     trees: dict[tuple[int, int, int], SignatureTree] = {}
@@ -250,13 +245,32 @@ def candidates(bits: list[np.ndarray], sizes: np.ndarray, join: Join, group: np.
             if v not in known:
                 continue
             if side is None:
-                dual(tree(w, w, 0), None if v == w else tree(v, w, 0), join, apart, found)
+                dual(tree(w, w, 0), None if v == w else tree(v, w, 0), join, apart, between)
             else:
                 for s in (0, 1) if v != w else (0,):
                     one, two = tree(w, w, s), tree(v, w, 1 - s)
                     if one and two:
-                        dual(one, two, join, apart, found)
-    return out
+                        dual(one, two, join, apart, between)
+
+
+def best_partners(cid: np.ndarray, bits: list[np.ndarray], sizes: np.ndarray, join: Join, group: np.ndarray, tried: list[set[int]]) -> list[tuple[int, int, float]]:
+    """(member, partner, share): for each member its likeliest partner of another group that it hasn't been tried with; the lesser cid on a tie."""
+    best: dict[int, tuple[float, int]] = {}
+
+    def found(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> None:
+        for x, y in ((a, b), (b, a)):
+            order = np.lexsort((cid[y], -share, x))
+            at = np.flatnonzero(np.append(True, x[order][1:] != x[order][:-1]))
+            ends = np.append(at[1:], len(order))
+            for start, end in zip(at.tolist(), ends.tolist()):
+                me = int(x[order[start]])
+                for k in order[start:end].tolist():
+                    if int(cid[y[k]]) not in tried[me]:
+                        best[me] = max(best.get(me, (-1.0, 0)), (float(share[k]), -int(cid[y[k]])))
+                        break
+
+    candidates(bits, sizes, join, group, found)
+    return [(int(cid[me]), -partner, share) for me, (share, partner) in best.items()]
 
 
 # --- Spark ------------------------------------------------------------------------------
@@ -343,19 +357,25 @@ def _members(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]
     return table.column("cid").to_numpy(), table.column("n").to_numpy(), bits
 
 
-def first_pairs(units: DataFrame, join: Join) -> DataFrame:
-    """(a, b): of each unit's block, a forest over the pairs that may link."""
+def likeliest_pairs(units: DataFrame, join: Join) -> DataFrame:
+    """(cid, other): each class with its likeliest partner of another component in any of its units' blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in common.units(batches, "unit", "part"):
             if table.num_rows < 2:
                 continue
             cid, n, bits = _members(table)
-            if pairs := candidates(bits, n, join):
-                x, y = np.array(pairs).T
-                yield pa.record_batch([pa.array(np.maximum(cid[x], cid[y])), pa.array(np.minimum(cid[x], cid[y]))], names=["a", "b"])
+            group = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+            if group.max() == 0:
+                continue
+            tried = [set(t or ()) for t in table.column("tried").to_pylist()]
+            if pairs := best_partners(cid, bits, n, join, group, tried):
+                a, b, share = zip(*pairs)
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(share, pa.float64())], names=["a", "b", "share"])
 
-    return units.repartition("unit", "part").sortWithinPartitions("unit", "part").select("unit", "part", "cid", "n", "bits").mapInArrow(run, PAIRS)
+    dealt = units.repartition("unit", "part").sortWithinPartitions("unit", "part").select("unit", "part", "cid", "n", "bits", "component", "tried")
+    found = dealt.mapInArrow(run, "a long, b long, share double").groupBy("a").agg(F.max(F.struct("share", (-F.xxhash64("b")).alias("tie"), "b")).alias("x"))
+    return found.select(F.col("a").alias("cid"), F.col("x.b").alias("other"))
 
 
 def further_pairs(units: DataFrame, join: Join) -> DataFrame:
@@ -368,9 +388,10 @@ def further_pairs(units: DataFrame, join: Join) -> DataFrame:
             side = table.column("part").to_numpy()
             both = table.column("one")[0].as_py() != table.column("two")[0].as_py()
             side = (side == table.column("two")[0].as_py()).astype(int) if both else None
-            if pairs := candidates(bits, n, join, group, side):
-                x, y = np.array(pairs).T
-                yield pa.record_batch([pa.array(np.maximum(cid[x], cid[y])), pa.array(np.minimum(cid[x], cid[y]))], names=["a", "b"])
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            candidates(bits, n, join, group, lambda a, b, share: out.append((a, b)), side)  # noqa: B023
+            for a, b in out:
+                yield pa.record_batch([pa.array(np.maximum(cid[a], cid[b])), pa.array(np.minimum(cid[a], cid[b]))], names=["a", "b"])
 
     return units.repartition("unit", "one", "two").sortWithinPartitions("unit", "one", "two").select("unit", "one", "two", "part", "cid", "n", "bits", "component").mapInArrow(run, PAIRS)
 
@@ -406,6 +427,12 @@ def verified(pairs: DataFrame, docs: DataFrame, chosen: DataFrame, join: Join) -
     return out
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The members of units that hold more than one component; the others are done."""
+    mixed = placed.groupBy("unit").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("unit")
+    return materialize(placed.join(mixed, "unit"), "mixed")
+
+
 def classes_and_links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, th, n, cid) and verified links (a, b) that connect exactly the classes that links connect."""
     counts = shingle_counts(docs, join)
@@ -424,20 +451,26 @@ def classes_and_links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame
     blocks = F.ceil(F.col("m") / F.lit(join.block))
     members = materialize(members.select("unit", "m", "cid", F.pmod(F.xxhash64("cid", "unit"), blocks).cast("int").alias("part"), blocks.cast("int").alias("parts")), "members")
     signs = classes.select("cid", "n", "bits")
-    first = first_pairs(members.join(signs, "cid"), join)
-    # each class is tried with the least partner that any unit gives it
-    first = materialize(first.groupBy("a").agg(F.min("b").alias("b")), "first")
     chosen = classes.select("cid", "chosen.doc_id", "chosen.th")
-    links = verified(first, docs, chosen, join)
-    groups = materialize(graph.components(links), "groups")
-    placed = members.join(groups.withColumnRenamed("v", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    mixed = placed.groupBy("unit").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("unit")
-    mixed = materialize(mixed, "mixed")
+    links = tried = members.sparkSession.createDataFrame([], PAIRS)
+    asked = members.sparkSession.createDataFrame([], "cid long, other long")
+    placed = members.withColumn("component", F.col("cid"))
+    for _ in range(ROUNDS):
+        # at most one partner a round
+        held = signs.join(asked.groupBy("cid").agg(F.collect_list("other").alias("tried")), "cid", "left")
+        now = materialize(likeliest_pairs(placed.join(held, "cid"), join), "asked")
+        asked = asked.unionByName(now)
+        pairs = now.select(F.greatest("cid", "other").alias("a"), F.least("cid", "other").alias("b")).distinct()
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(verified(pairs, docs, chosen, join))
+        tried = tried.unionByName(pairs)
+        groups = materialize(graph.components(links), "groups")
+        placed = _mixed(members.join(groups.withColumnRenamed("v", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
     other = F.expr("explode(sequence(0, parts - 1))")
-    open_ = placed.join(mixed, "unit").withColumn("other", other)
+    open_ = placed.withColumn("other", other)
     open_ = open_.select("unit", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "cid", "component")
-    second = further_pairs(open_.join(signs, "cid"), join).distinct().join(first, ["a", "b"], "left_anti")
-    more = verified(materialize(second, "second"), docs, chosen, join)
+    rest = further_pairs(open_.join(signs, "cid"), join).distinct().join(tried, ["a", "b"], "left_anti")
+    more = verified(materialize(rest, "pairs"), docs, chosen, join)
     return small, links.unionByName(more)
 
 

@@ -55,6 +55,12 @@ def corpus(seed=1, families=14):
     return out + [(3, rows[5]), (3, rows[5]), (None, rows[6]), (None, "lonely words of no id")]
 
 
+def proposed(bits, sizes, join, side=None):
+    out = set()
+    st.candidates(bits, sizes, join, np.arange(len(sizes)), lambda a, b, share: out.update(map(frozenset, zip(a.tolist(), b.tolist()))), side)
+    return out
+
+
 def test_trees_find_every_pair_that_links():
     rnd = random.Random(2)
     for percent in (60, 80, 85, 95):
@@ -65,11 +71,11 @@ def test_trees_find_every_pair_that_links():
             base = rnd.sample(universe, rnd.randint(1, 60))
             sets += [np.array(sorted(set(base[: len(base) - cut] + rnd.sample(universe, cut))), np.uint64) for cut in (0, min(1, len(base) - 1), min(3, len(base) - 1))]
         bits, sizes = [st.bitmap(s) for s in sets], np.array([len(s) for s in sets])
-        got = set(map(frozenset, st.candidates(bits, sizes, join, np.arange(len(sets)))))
+        got = proposed(bits, sizes, join)
         linked = {frozenset((i, j)) for i, j in combinations(range(len(sets)), 2) if 100 * (x := len(np.intersect1d(sets[i], sets[j]))) >= percent * (len(sets[i]) + len(sets[j]) - x)}
         assert linked <= got and len(got) < 20_000
         side = np.array([i % 2 for i in range(len(sets))])
-        got = set(map(frozenset, st.candidates(bits, sizes, join, np.arange(len(sets)), side)))
+        got = proposed(bits, sizes, join, side)
         assert {p for p in linked if len({side[i] for i in p}) == 2} <= got
 
 
