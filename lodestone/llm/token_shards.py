@@ -310,8 +310,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_ids
     writer.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
+def _missing(spark: SparkSession, path: str) -> bool:
+    """Whether nothing was written there: an empty table makes no shard."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def shards(spark: SparkSession, path: str) -> DataFrame:
     """(content binary): the shard files."""
+    if _missing(spark, f"{path}/kind=ids"):
+        return spark.createDataFrame([], "content binary")
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
     return spark.read.format("binaryFile").schema(schema).load(f"{path}/kind=ids").select("content")
 
@@ -322,7 +330,8 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     The running sum goes in two steps, blocks of 1024 parts and then the blocks' totals, so
     that no task gets the lines of all shards.
     """
-    lines = spark.read.schema("value string").text(f"{path}/kind=manifest")
+    none = _missing(spark, f"{path}/kind=manifest")
+    lines = spark.createDataFrame([], "value string") if none else spark.read.schema("value string").text(f"{path}/kind=manifest")
     line = lines.select(F.from_json("value", "part long, seq long, n_docs long, n_ids long, least long, most long").alias("x")).select("x.*")
     line = line.withColumn("block", F.floor(F.col("part") / 1024))
     block = line.groupBy("block").agg(F.sum("n_ids").alias("total"))
