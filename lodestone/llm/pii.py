@@ -141,7 +141,7 @@ def votes(finder: Finder, x: Column) -> list[Column]:
     varied = F.size(F.array_distinct(F.split(digits, ""))) >= 4
     if kind == "email":
         plain = F.lower(F.regexp_replace(F.regexp_replace(text, r"\x20?[(\[{]at[)\]}]\x20?", "@"), r"\x20?[(\[{]dot[)\]}]\x20?", "."))
-        shape = plain.rlike(r"^[a-z0-9][a-z0-9._%+-]*@[a-z0-9-]+(\.[a-z0-9-]+)*\.[a-z]{2,}$")
+        shape = plain.rlike(r"^[a-z0-9][a-z0-9._%+-]*+@[a-z0-9.-]*[a-z0-9-]\.[a-z]{2,}$")
         check, known = F.lit(0), _vote(F.element_at(F.split(plain, r"\."), -1).isin(DOMAINS), ~shape)
     elif kind == "ip":
         shape = text.rlike(r"^([1-9][0-9]{0,2}|0)(\.([1-9][0-9]{0,2}|0)){3}$")
