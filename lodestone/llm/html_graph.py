@@ -13,8 +13,9 @@ space; blocks are joined in page order by two line feeds.
 
 Defined results: a null or empty page, or one without content, has empty text and 0
 characters; repeated rows are extracted once each; extra columns are not read; unclosed and
-misnested tags are closed where their parent ends, an unclosed comment or script takes the
-rest of the page; pages are read whole whatever their length.
+misnested tags are closed where their parent ends, an unclosed comment, script or style takes
+the rest of the page and no other element does; math and what object holds are text; pages
+are read whole whatever their length.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ from . import common
 
 # Names of HTML elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template svg iframe object head title math canvas audio video map".split())
+UNSEEN = frozenset("script style noscript template svg iframe title canvas audio video annotation annotation-xml".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+MATH = frozenset("math mrow mi mo mn ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics".split())
+INLINE = MATH | frozenset("object map a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 PARAGRAPH_ENDS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 KINDS = "article main section div p h1 h2 h3 ul ol li dl nav header footer aside form button label select table tr td th blockquote pre figure figcaption details dialog menu body html address".split()
 BOILER_WORDS = "nav menu sidebar side footer foot header masthead ad ads advert advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice alert popup modal overlay comment comments reply replies disqus respond share social related recommended widget breadcrumb breadcrumbs subscribe newsletter signup login search pagination pager copyright legal toolbar skip tags toc".split()
@@ -66,6 +68,8 @@ def parse(page: str) -> Tree:
     stack: list[tuple[str, int]] = []  # open elements; node -1 for inline ones
     run: list[str] = []
     state = {"linked": 0, "depth": 0}
+    uneven: set[str] = set()  # names whose tags don't pair up
+    unclosed: set[str] = set()  # names without a further closing tag
 
     def node(kind: str, marks: str, linked: int = 0, label: int = -1) -> int:
         parent = next((n for _, n in reversed(stack) if n >= 0), -1)
@@ -89,6 +93,24 @@ def parse(page: str) -> Tree:
             state["depth"] -= name == "a"
         del stack[at:]
 
+    def past(name: str, at: int) -> int:
+        """Where an element without a node ends; without a closing tag only script and style take the rest of the page."""
+        first, depth = 0, 1
+        for tag in () if name in unclosed else re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+            if name in RAW and not tag[1]:
+                continue
+            first = first or (tag.end() if tag[1] else 0)
+            depth += -1 if tag[1] else not tag[0].endswith("/>")
+            if not depth:
+                return tag.end()
+            if first and name in uneven:
+                break
+        uneven.add(name)
+        if first:
+            return first
+        unclosed.add(name)
+        return n if name in ("script", "style") else at
+
     node("html", "")
     stack.append(("#root", 0))
     at, n = 0, len(page)
@@ -132,9 +154,12 @@ def parse(page: str) -> Tree:
             else:
                 close(spot)
             continue
+        if name == "head":  # its own elements have no node either
+            run.append(" ")
+            continue
         if name in UNSEEN or name in RAW:
-            out = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = out.end() if out else n
+            if name in RAW or page[end - 2 : end] != "/>":
+                at = past(name, at)
             run.append(" ")
             continue
         if name in VOID:

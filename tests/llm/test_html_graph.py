@@ -55,3 +55,20 @@ def test_extract_pages(spark):
     got = hg.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted(r.n_chars for r in got) == [0, 0, 28] and {r.text for r in got} == {"", "Hello there, this is a text."}
     assert hg.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_only_unseen_elements_are_left_out():
+    body = "<article><p>A first paragraph that is long enough to be kept here.</p>{}<p>A second paragraph that is long enough to be kept.</p></article>"
+    first, second = "A first paragraph that is long enough to be kept here.", "A second paragraph that is long enough to be kept."
+    pages = ["<html><head><title>T</title><meta charset=utf-8><body>" + body.format(""), "<title>T</title>" + body.format("")]
+    pages += [body.format(x) for x in ("<svg/>", '<svg width="1"><path d="M0"/></svg><svg viewBox="0"/>', "<svg><svg><text>no</text></svg><text>no</text></svg>", "<math/>", "<canvas>", "<template>", "<iframe src=x>", "<video src=x />", "<script>var a = '<p>';</script>")]
+    model = hg.default_model()
+    assert hg.extract(pages, model) == [f"{first}\n\n{second}"] * len(pages)
+    kept = "The area of the disk is <math><mi>pi</mi> <msup><mi>r</mi><mn>2</mn></msup></math> as <object data=x>the fallback text</object> says."
+    assert hg.extract([body.format(f"<p>{kept}</p>")], model) == [f"{first}\n\nThe area of the disk is pi r2 as the fallback text says.\n\n{second}"]
+    assert hg.extract([body.format("<script>never closed")], model) == [first]
+
+
+def test_many_unclosed_elements_take_linear_time():
+    pages = ["<svg>" * 100_000, "<svg><svg></svg>" * 50_000, "<canvas>x" * 100_000]
+    assert len(hg.extract(pages, hg.default_model())) == 3
