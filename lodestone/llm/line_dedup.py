@@ -86,7 +86,7 @@ def long_lines(docs: DataFrame, how: Lines) -> DataFrame:
 def signatures(docs: DataFrame, how: Lines) -> DataFrame:
     """(a, s0, s1, ...): each class of lines with its signature, nulls at the end of a short one."""
     lines = long_lines(docs, how)
-    sig = F.array_distinct(F.slice(F.sort_array(hashes(F.col("line"), how)), 1, SIGNATURE + 2))
+    sig = F.slice(F.sort_array(F.array_distinct(hashes(F.col("line"), how))), 1, SIGNATURE)
     lines = lines.select("a", "b", sig.alias("sig")).select("a", "b", *(F.get("sig", F.lit(i)).alias(c) for i, c in enumerate(SIG)))
     classes = lines.groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most"), *(F.min(c).alias(c) for c in SIG))
     return classes.where("least = most").select("a", *SIG)

@@ -85,3 +85,9 @@ def test_signatures_stay_in_the_jvm(spark, capsys):
 
 def test_empty(spark):
     assert ld.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_repeated_shingles_leave_the_signature_whole(spark):
+    line = "again and again the same " * 200 + "but the end of this line is another one than the rest of it was before"
+    row = ld.signatures(spark.createDataFrame([(1, line)], "doc_id long, text string"), HOW).first()
+    assert len({row[c] for c in ld.SIG}) == ld.SIGNATURE and None not in [row[c] for c in ld.SIG]
