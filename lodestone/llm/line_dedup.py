@@ -1,24 +1,26 @@
-"""Fuzzy line dedup over a whole corpus: MinHash, banding, exact Jaccard, union-find. DataFrame functions only.
+"""Fuzzy line dedup over a whole corpus: rare-first prefixes, MinHash, exact Jaccard, union-find. DataFrame functions only.
 
 A line's set holds the hashes of its character shingles: the `shingle` characters from the
 start of each word on, and from every further `shingle` characters of a longer run. Its
-signature is the SIGNATURE least hashes. Lines of the same text, but for case and surrounding
+signature is the SIGNATURE least distinct hashes. Lines of the same text, but for case and surrounding
 blanks, form a class; hashes of lines are 64 bits wide, and lines that share one hash without
 sharing another are told apart and only compared exactly.
 
-1. Bands: classes that share any of their `bands` least hashes meet; each is tried with two
-   hubs of the bucket, drawn by a hash. Of lines of similarity s, (1 - s) ** bands share none.
+1. Counts of shingles in a fixed-width table give one order of the shingles, rare first; they
+   are taken from a sample of lines and order only. Two sets that are similar enough share one
+   of the first n - ceil(t n) + 1 of either, whatever the order is, so classes that link always
+   meet; with this order a passage that many lines share seldom leads them together. Each class
+   is tried with two hubs of each bucket where it is, drawn by a hash.
 2. Of the pairs, those stay whose signatures have at least 3 of 8 of their joint least hashes
    in common (at a similarity of 0.8, 99.9 % of all pairs do), and are verified by the exact
    Jaccard similarity of the whole sets.
-3. Classes in a bucket of three or more that a hub didn't take in meet again, by single hashes
-   and by pairs of them, where unrelated lines seldom meet; the hub is now the class that most
-   links lead to, the original that copies resemble more than one another.
+3. Buckets of three or more whose classes aren't connected are tried with one more hub, the
+   class that most links lead to. Then all pairs of different components of a bucket are tried.
 4. Connected components of the verified links; of each component, and of each class outside,
    the first line in order of (doc_id, text hash, place) stays.
 
-No bucket's pairs are listed, counts are taken before rows are dealt out, and a line's text
-travels only where it is compared: a bitmap of fixed size keeps the other lines at home.
+Pairs inside a component are never listed, and a line's text travels only where it is compared:
+a bitmap of fixed size keeps the other lines at home.
 
 Defined results: null and empty texts stay as they are; lines under `least` characters stay
 everywhere; rows equal in doc_id and text are one document; null doc_ids come first; a
@@ -28,6 +30,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,7 +43,6 @@ from .common import discard, materialize, perhaps_in, with_mark
 @dataclass(frozen=True)
 class Lines:
     shingle: int = 16
-    bands: int = 4
     percent: int = 80
     least: int = 20
 
@@ -52,6 +54,13 @@ class Lines:
 #: Hashes of a signature.
 SIGNATURE = 8
 SIG = [f"s{i}" for i in range(SIGNATURE)]
+#: Slots of the table of counts, one byte each, and the lines that it is counted on: one of SAMPLE.
+SLOTS = 1 << 18
+SAMPLE = 8
+#: Bits of a hash that stay below its level of frequency in a key.
+KEY_BITS = 50
+#: Lists of a bucket's members that one task tries with the others, and the most members of a list.
+BLOCK = 1024
 PLACE = ["_doc", "_th", "_pos"]
 NO_ID = -(1 << 63)
 
@@ -83,13 +92,42 @@ def long_lines(docs: DataFrame, how: Lines) -> DataFrame:
     return lines.withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(1), F.col("line"))})
 
 
-def signatures(docs: DataFrame, how: Lines) -> DataFrame:
-    """(a, s0, s1, ...): each class of lines with its signature, nulls at the end of a short one."""
-    lines = long_lines(docs, how)
-    sig = F.slice(F.sort_array(F.array_distinct(hashes(F.col("line"), how))), 1, SIGNATURE)
-    lines = lines.select("a", "b", sig.alias("sig")).select("a", "b", *(F.get("sig", F.lit(i)).alias(c) for i, c in enumerate(SIG)))
-    classes = lines.groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most"), *(F.min(c).alias(c) for c in SIG))
-    return classes.where("least = most").select("a", *SIG)
+def slot(shingle: Column) -> Column:
+    return F.pmod(shingle, F.lit(SLOTS))
+
+
+def frequency(docs: DataFrame, how: Lines) -> bytes:
+    """For each slot, a level that grows with the logarithm of the sampled lines that hold its shingles."""
+    lines = long_lines(docs, how).where(F.pmod("a", F.lit(SAMPLE)) == 0)
+    spots = lines.select(F.explode(F.transform(F.array_distinct(hashes(F.col("line"), how)), slot)).alias("spot"))
+    out = bytearray(SLOTS)
+    for spot, n in spots.groupBy("spot").agg(F.count("*").alias("n")).where("n > 1").collect():  # SLOTS rows at most
+        out[spot] = min(127, int(4 * math.log2(n)))
+    return bytes(out)
+
+
+def rare_first(shingles: Column, levels: bytes | None) -> Column:
+    """Keys of the shingles in order, rare ones first; a key follows from its shingle alone."""
+
+    def key(h: Column) -> Column:
+        low = h.bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+        if levels is None:
+            return low
+        level = F.ascii(F.substring(F.lit(levels), slot(h).cast("int") + 1, F.lit(1)).cast("string"))
+        return low + F.shiftleft(level.cast("long"), KEY_BITS)
+
+    return F.sort_array(F.transform(shingles, key))
+
+
+def signatures(docs: DataFrame, how: Lines, levels: bytes | None = None) -> DataFrame:
+    """(a, n, keys, s0, s1, ...): each class of lines with its size, its first keys and its signature, nulls at the end of a short one."""
+    lines = long_lines(docs, how).select("a", "b", F.explode(F.array(F.array_distinct(hashes(F.col("line"), how)))).alias("set"))
+    sig, n = F.slice(F.sort_array("set"), 1, SIGNATURE), F.size("set")
+    first = n - F.ceil(n * how.percent / F.lit(100)).cast("int") + 1
+    lines = lines.select("a", "b", n.alias("n"), F.slice(rare_first(F.col("set"), levels), F.lit(1), first).alias("keys"), sig.alias("sig"))
+    lines = lines.select("a", "b", "n", "keys", *(F.get("sig", F.lit(i)).alias(c) for i, c in enumerate(SIG)))
+    classes = lines.groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most"), *(F.min(c).alias(c) for c in ("n", "keys", *SIG)))
+    return classes.where("least = most").select("a", "n", "keys", *SIG)
 
 
 def band_pairs(keys: DataFrame, *orders: Column) -> DataFrame:
@@ -124,25 +162,46 @@ def verified(pairs: DataFrame, docs: DataFrame, how: Lines) -> DataFrame:
     return out
 
 
+def placed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members with the component of each, without the buckets that one component fills."""
+    groups = materialize(graph.components(links), "line_groups").withColumnRenamed("v", "a")
+    found = members.join(groups, "a", "left").withColumn("component", F.coalesce("component", "a"))
+    mixed = found.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    return materialize(found.join(mixed, "key"), "line_mixed")
+
+
+def pairs_between(members: DataFrame, how: Lines) -> DataFrame:
+    """(a, b): all pairs of classes of a bucket that lie in different components and whose sizes fit."""
+    size = members.groupBy("key", "component").agg(F.count("*").alias("n_of"))
+    part = F.pmod(F.xxhash64("a"), F.ceil(F.col("n_of") / F.lit(BLOCK)))
+    lists = members.join(size, ["key", "component"]).groupBy("key", "component", part.alias("part")).agg(F.collect_list(F.struct("a", "n")).alias("of"))
+    parts = lists.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
+    lists = materialize(lists.join(parts, "key").withColumn("deal", F.pmod(F.xxhash64("component", "part"), F.col("parts"))), "line_lists")
+    other = lists.select("key", F.col("component").alias("component_2"), F.col("of").alias("of_2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("deal"))
+    both = lists.join(other, ["key", "deal"]).where("component < component_2")
+    both = both.select(F.explode("of").alias("x"), "of_2").select("x", F.explode("of_2").alias("y"))
+    both = both.where((100 * F.col("x.n") >= how.percent * F.col("y.n")) & (100 * F.col("y.n") >= how.percent * F.col("x.n")))
+    return both.select(F.greatest("x.a", "y.a").alias("a"), F.least("x.a", "y.a").alias("b")).distinct()
+
+
 def line_groups(docs: DataFrame, how: Lines) -> DataFrame:
     """(a, component) of the classes of lines that fuzzy links connect."""
-    classes = materialize(signatures(docs, how), "line_classes")
-    keys = classes.select("a", F.explode(F.array_compact(F.array(*SIG[: how.bands]))).alias("key"))
+    classes = materialize(signatures(docs, how, frequency(docs, how)), "line_classes")
+    keys = classes.select("a", "n", F.explode("keys").alias("key"))
     mixed = F.xxhash64("a", "key")
     first = materialize(band_pairs(keys, mixed, -F.shiftright(mixed, 1)), "line_pairs")
     links = verified(materialize(promising(first, classes), "line_pairs"), docs, how)
-    groups = materialize(graph.components(links), "line_groups")
-    # classes of larger buckets that aren't in their hub's component meet once more, with the class that most are linked to
-    at = lambda c: groups.select(F.col("v").alias(c), F.col("component").alias(f"of_{c}"))
-    left = first.where("m > 2").join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-    left = left.select(F.explode(F.array("a", "b")).alias("a")).distinct()
+    # buckets of three or more that a component doesn't fill meet the class that most are linked to, then all their pairs are tried
+    crowded = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 2").select("key")
+    members = placed(materialize(keys.join(crowded, "key"), "line_members"), links)
     degree = links.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count("*").alias("degree"))
-    two = [F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.xxhash64(x, y)) for i, x in enumerate(SIG[: how.bands]) for y in SIG[i + 1 : how.bands]]
-    again = classes.join(left, "a", "left_semi").join(degree, "a", "left")
-    again = again.select("a", F.coalesce("degree", F.lit(0)).alias("degree"), F.explode(F.array_compact(F.array(*SIG[: how.bands], *two))).alias("key"))
-    order = F.least("degree", F.lit(1 << 40)) * (1 << 20) + F.pmod(F.xxhash64("a"), F.lit(1 << 20))
-    second = band_pairs(again, order).select("a", "b").join(first, ["a", "b"], "left_anti")
-    more = verified(materialize(promising(second, classes), "line_pairs"), docs, how)
+    order = F.least(F.coalesce("degree", F.lit(0)), F.lit(1 << 40)) * (1 << 20) + F.pmod(F.xxhash64("a"), F.lit(1 << 20))
+    second = materialize(band_pairs(members.join(degree, "a", "left"), order).select("a", "b").join(first, ["a", "b"], "left_anti"), "line_pairs")
+    links = links.unionByName(verified(materialize(promising(second, classes), "line_pairs"), docs, how))
+    members = placed(members.drop("component"), links)
+    tried = first.select("a", "b").unionByName(second)
+    third = pairs_between(members, how).join(tried, ["a", "b"], "left_anti")
+    more = verified(materialize(promising(third, classes), "line_pairs"), docs, how)
     discard(classes)
     return graph.components(links.unionByName(more)).withColumnRenamed("v", "a")
 

@@ -87,6 +87,26 @@ def test_empty(spark):
     assert ld.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_pairs_of_lines_that_share_a_passage(spark):
+    """Families of two in a crowd whose lines all hold the same passage."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    passage, lines = [word() for _ in range(60)], []
+    for _ in range(500):
+        own = [word() for _ in range(30)]
+        lines += [" ".join(passage + own), " ".join(passage + own[:-1] + [word()])]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    got = ld.dedup(docs).where("n_removed = 1").select("doc_id").collect()
+    assert {r.doc_id for r in got} == set(range(1, 1000, 2))
+
+
+def test_all_pairs_between_components_of_a_bucket(spark):
+    rows = [(1, a, a % 7, 10 if a < 40 else 100) for a in range(60)] + [(2, a, 3, 10) for a in range(30)]
+    members = spark.createDataFrame(rows, "key long, a long, component long, n int")
+    got = sorted((r.a, r.b) for r in ld.pairs_between(members, HOW).collect())
+    assert got == sorted((a, b) for a in range(60) for b in range(a) if a % 7 != b % 7 and (a < 40) == (b < 40))
+
+
 def test_repeated_shingles_leave_the_signature_whole(spark):
     line = "again and again the same " * 200 + "but the end of this line is another one than the rest of it was before"
     row = ld.signatures(spark.createDataFrame([(1, line)], "doc_id long, text string"), HOW).first()
