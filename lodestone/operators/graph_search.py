@@ -100,6 +100,30 @@ def reuse(g: Graph, q: np.ndarray, anchor: np.ndarray, m: float, ef: int, k: int
     return found[:k], visited
 
 
+PROBE = "cluster_id int, ef int, rank long, base_id long, d2 double"
+
+
+def probe(centers: DataFrame, g: Graph, efforts: tuple[int, ...]) -> DataFrame:
+    """(cluster_id, ef, rank, base_id, d2): the list that a search from the entry of each center finds with each effort."""
+    held = centers.sparkSession.sparkContext.broadcast(g)
+    rows = centers.select(F.col("cluster_id").cast("int").alias("cluster_id"), F.col("center").cast("array<double>").alias("center"))
+
+    def run(frames):  # noqa: ANN001, ANN202
+        graph = held.value
+        for frame in frames:
+            out = []
+            for row in frame.itertuples():
+                center = np.array(row.center, float)
+                entry = np.array([graph.entry(center)])
+                for ef in efforts:
+                    found, _ = search(graph, center, ef, entry)
+                    out += [(row.cluster_id, ef, i + 1, int(graph.ids[r]), d) for i, (d, r) in enumerate(found)]
+            if out:
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in PROBE.split(", ")])
+
+    return rows.mapInPandas(run, PROBE)
+
+
 RESULT = "cluster_id int, efc int, ef_warm int, m double, qid long, rank long, base_id long, d2 double, visited long"
 
 

@@ -25,8 +25,9 @@ def cluster_features(w: Workload, faithful_skew: bool = False) -> DataFrame:
     density = features.density(w.queries).withColumnRenamed("density", "nn10")
     entry = features.entry_points(w.centers, w.base)
     first = w.probes.where("rank = 1").select("cluster_id", F.sqrt("d2").alias("dist_centroid_top1_smallEF"))
-    few = features.probe(w.centers, w.base.where("base_id % 2 = 1"), SMALL)
-    lists = similarity.lists(few, "cluster_id").withColumnRenamed("ids", "few").join(similarity.lists(w.probes.where(F.col("rank") <= LARGE), "cluster_id").withColumnRenamed("ids", "many"), "cluster_id")
+    found = graph_search.probe(w.centers, graph_search.collect_graph(w.base, w.graph), (SMALL, LARGE))
+    few, many = (similarity.lists(found.where(F.col("ef") == ef), "cluster_id").withColumnRenamed("ids", name) for ef, name in ((SMALL, "few"), (LARGE, "many")))
+    lists = few.join(many, "cluster_id")
     alike = lists.select("cluster_id", similarity.overlap(F.col("few"), F.col("many"), K).alias("overlap128_vs_256"), similarity.jaccard(F.col("few"), F.col("many"), K).alias("jaccard128_vs_256"))
     local = features.local_shape(w.probes)
     names = [f"{c}_serve" if faithful_skew else c for c in ("lid", "rc", "expansion")]

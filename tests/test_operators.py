@@ -213,3 +213,18 @@ def test_kmeans(spark):
     for r in found.collect():
         groups.setdefault(r.cluster_id, set()).add(r.qid % 2)
     assert all(len(v) == 1 for v in groups.values()) or centers.count() == 2
+
+
+def test_efforts_are_compared_over_the_whole_base(spark):
+    from lodestone.plans import adaptive as plan
+    from lodestone.plans.tables import K, LARGE, SMALL, Workload
+
+    w = Workload(spark, "/root/testdata/sf0.001").hold()
+    g = graph_search.collect_graph(w.base, w.graph)
+    got = {r.cluster_id: r.overlap128_vs_256 for r in plan.cluster_features(w).select("cluster_id", "overlap128_vs_256").collect()}
+    want = {}
+    for row in w.centers.collect():
+        center = np.array(row.center, float)
+        few, many = ({r for _, r in graph_search.search(g, center, ef, np.array([g.entry(center)]))[0][:K]} for ef in (SMALL, LARGE))
+        want[row.cluster_id] = len(few & many) / K
+    assert got and {c: want[c] for c in got} == pytest.approx(got)
