@@ -20,6 +20,9 @@ class; only classes are joined.
    unit too large for a task is dealt out in blocks in those rounds; at last its pairs of
    blocks are gone through where the classes aren't connected.
 
+The result is components only: links inside a component are not listed, so there is neither a
+table nor a number of all links.
+
 Defined results: null and empty texts and texts without words have an empty set, link with
 nothing and are their own component; fewer words than a shingle make one shingle of the whole
 sequence; documents of one doc_id are documents of their own; a component's name is its least
@@ -61,6 +64,10 @@ class Join:
     percent: int = 80  # pairs link when 100 * intersection >= percent * union
     block: int = BLOCK
 
+    def __post_init__(self) -> None:
+        if not 50 < self.percent <= 100:
+            raise ValueError("percent must be over 50 and at most 100")
+
     def least(self, n: int) -> int:
         """The overlap that a set of n needs with any that it links with."""
         return -(-self.percent * n // 100)

@@ -103,3 +103,9 @@ def test_one_document_of_each_component_stays(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert st.component_table(none).count() == 0 and st.representatives(none).count() == 0
+
+
+def test_percentages_that_the_widths_do_not_cover_are_refused():
+    for percent in (0, 50, 101):
+        with pytest.raises(ValueError):
+            st.Join(percent=percent)
