@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,8 +11,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words are runs of characters outside this class in every contract.
 SPACE = r"\x20\x09-\x0D"
@@ -27,7 +31,8 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where none is set, as in local tests, a temporary folder is made for the application.
+    Only where none is set and the session runs in one process, as in tests, a temporary folder
+    is made for the application; on a cluster the setting is needed.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -35,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
         given = context._jsc.sc().getCheckpointDir()
         if given.isDefined():
             found = given.get()
+        elif context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         else:
             if context.applicationId not in _own_dirs:
                 _own_dirs[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
@@ -46,22 +53,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting that drops a query's shuffle files at its end.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: a lineage cut that survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: a lineage cut that survives lost executors.
+
+    Nothing reads the shuffles of that write again, so its files go when it ends.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    reclaim(spark)
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path  # noqa: SLF001
     return out
 
 
-def reclaim(spark: SparkSession) -> None:
-    """Let the driver notice which shuffles nothing refers to any more, so that executors drop their files."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table that materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_lodestone_path", None)
@@ -80,6 +93,22 @@ def fresh(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """docs as one column _row, so that no column of it can clash with an operator's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame, instead: dict[str, Column] | None = None, added: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of docs out of df's _row: those of `instead` in their places, those of `added` at the end.
+
+    Names are compared without regard to case; a column of docs that is named like an added one goes.
+    """
+    changed = {k.lower(): v for k, v in (instead or {}).items()}
+    new = {k.lower() for k in added or {}}
+    own = [changed.get(c.lower(), F.col(f"_row.`{c}`")).alias(c) for c in docs.columns if c.lower() not in new]
+    return df.select(*own, *(v.alias(k) for k, v in (added or {}).items()))
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about `chars` bytes of a string column, one row at least."""
     for batch in batches:
@@ -95,8 +124,42 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, chars: int = 4
             yield batch.slice(start)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(fn, schema), whose tasks leave no memory behind in the workers that run them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Hand memory that is free but held by this process back to the system: workers are used again, and idle ones stay."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+class WordCodes(dict):
+    """64-bit codes of words (bytes), the same in every process; at most `most` bytes of them are remembered."""
+
+    def __init__(self, most: int = 16_000_000):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def __missing__(self, word: bytes) -> int:
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+        code = self[word] = xxhash.xxh64_intdigest(word)
+        self.held += len(word) + 180
+        return code
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 #: Words of 64 bits of a membership filter: 1 MB, whatever it stands for.

@@ -1,31 +1,32 @@
-"""Fuzzy line dedup over a whole corpus: rare-first prefixes, MinHash, exact Jaccard, union-find. DataFrame functions only.
-
-A line's set holds the hashes of its character shingles: the `shingle` characters from the
-start of each word on, and from every further `shingle` characters of a longer run. Its
-signature is the SIGNATURE least distinct hashes. Lines of the same text, but for case and surrounding
-blanks, form a class; hashes of lines are 64 bits wide, and lines that share one hash without
-sharing another are told apart and only compared exactly.
-
-1. Counts of shingles in a fixed-width table give one order of the shingles, rare first; they
-   are taken from a sample of lines and order only. Two sets that are similar enough share one
-   of the first n - ceil(t n) + 1 of either, whatever the order is, so classes that link always
-   meet; with this order a passage that many lines share seldom leads them together. Each class
-   is tried with two hubs of each bucket where it is, drawn by a hash.
-2. Of the pairs, those stay whose signatures have at least 3 of 8 of their joint least hashes
-   in common (at a similarity of 0.8, 99.9 % of all pairs do), and are verified by the exact
-   Jaccard similarity of the whole sets.
+"""Fuzzy line dedup over a whole corpus: MinHash bands, exact Jaccard, union-find. DataFrame functions only.
+
+A line's set holds the hashes of its character shingles: the `shingle` characters from every
+position on. Lines of the same text, but for case and surrounding blanks, form a class;
+hashes of lines are 64 bits wide, and lines that share one hash without sharing another are
+told apart and only compared exactly.
+
+1. The hashes of a line lie on a ring. Each of `bands` fixed places on the ring gives one key,
+   the next `rows` hashes behind it: the least of as many hashes in a random order, so that two
+   sets of similarity s have a key in common with a chance of s**rows. There are so many bands
+   that a pair at exactly the threshold meets in none of them with a chance of `miss` at most;
+   pairs above it miss far more rarely. `rows` grows with the logarithm of the corpus, so that
+   unrelated lines seldom meet however many there are, and `bands` with it.
+2. Each class of a bucket is tried with two hubs, the class with the most copies and the one
+   with the least hash; pairs whose sizes fit are verified by the exact Jaccard similarity of
+   the whole sets.
 3. Buckets of three or more whose classes aren't connected are tried with one more hub, the
-   class that most links lead to. Then all pairs of different components of a bucket are tried.
+   class that most links lead to. Then all pairs of different components of a bucket are
+   verified, in blocks. So no pair that meets in a bucket stays untried, but for pairs inside a
+   component, which can't change it.
 4. Connected components of the verified links; of each component, and of each class outside,
    the first line in order of (doc_id, text hash, place) stays.
 
-Pairs inside a component are never listed, and a line's text travels only where it is compared:
-a bitmap of fixed size keeps the other lines at home.
+Only texts of lines that meet others travel: a bitmap of fixed size keeps the rest at home.
 
 Defined results: null and empty texts stay as they are; lines under `least` characters stay
 everywhere; rows equal in doc_id and text are one document; null doc_ids come first; a
-document whose lines all go has an empty text; extra columns pass through, an empty table
-gives no rows.
+document whose lines all go has an empty text; extra columns pass through whatever their
+names, but columns named like the three new ones are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,135 +38,100 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import discard, materialize, perhaps_in, with_mark
+from .common import discard, materialize, packed, perhaps_in, unpacked, with_mark
 
 
 @dataclass(frozen=True)
 class Lines:
-    shingle: int = 16
+    shingle: int = 8
     percent: int = 80
     least: int = 20
+    #: The chance that a pair at exactly the threshold meets in no bucket.
+    miss: float = 0.015
 
-    @property
-    def pattern(self) -> str:
-        return rf"(?s)(?=(\S.{{0,{self.shingle - 1}}}))\S{{1,{self.shingle}}}"
+    def banding(self, documents: int) -> tuple[int, int]:
+        """Hashes of a key, and keys of a line, for a corpus of so many documents."""
+        rows = max(4, math.ceil(math.log2(documents + 1) / 7))
+        return rows, math.ceil(math.log(self.miss) / math.log1p(-((self.percent / 100) ** rows)))
 
 
-#: Hashes of a signature.
-SIGNATURE = 8
-SIG = [f"s{i}" for i in range(SIGNATURE)]
-#: Slots of the table of counts, one byte each, and the lines that it is counted on: one of SAMPLE.
-SLOTS = 1 << 18
-SAMPLE = 8
-#: Bits of a hash that stay below its level of frequency in a key.
-KEY_BITS = 50
 #: Lists of a bucket's members that one task tries with the others, and the most members of a list.
 BLOCK = 1024
 PLACE = ["_doc", "_th", "_pos"]
 NO_ID = -(1 << 63)
+ADDED = ["n_lines", "n_removed", "n_near"]
 
 
 def documents(docs: DataFrame) -> DataFrame:
-    """docs with _doc (doc_id, never null) and _th (hash of the text)."""
-    text = F.col("text").cast("string")
-    return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_th": F.xxhash64(text)})
+    """_doc (doc_id, never null), _th (hash of the text), text, and _row (all columns as they are)."""
+    rows = packed(docs).select("_row", F.col("_row.doc_id").cast("long").alias("id"), F.col("_row.text").cast("string").alias("text"))
+    return rows.select(F.coalesce("id", F.lit(NO_ID)).alias("_doc"), F.xxhash64("text").alias("_th"), "text", "_row")
 
 
 def normal(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
-def exploded(docs: DataFrame) -> DataFrame:
-    """Lines with _doc, _th, _pos and their normal form."""
-    text = F.col("text").cast("string")
-    return documents(docs).select("_doc", "_th", F.posexplode(F.split(text, "\n", -1)).alias("_pos", "line")).select(*PLACE, normal(F.col("line")).alias("line"))
+def long_lines(docs: DataFrame, how: Lines) -> DataFrame:
+    """Every line long enough to be compared: its place, text and two hashes a and b."""
+    lines = documents(docs).select("_doc", "_th", F.posexplode(F.split("text", "\n", -1)).alias("_pos", "line")).select(*PLACE, normal(F.col("line")).alias("line"))
+    return lines.where(F.char_length("line") >= how.least).withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(1), F.col("line"))})
 
 
 def hashes(line: Column, how: Lines) -> Column:
-    """Hashes of the shingles of a line, with repeats."""
-    return F.transform(F.regexp_extract_all(line, F.lit(how.pattern), 1), lambda s: F.xxhash64(s))
+    """Hashes of the shingles of a line, with repeats; a line shorter than a shingle is one."""
+    width = 4 * how.shingle  # of code points of 4 bytes
 
+    def windows(wide: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.octet_length(wide) - width + 1, F.lit(1)), F.lit(4))
+        return F.transform(starts, lambda i: F.xxhash64(F.substring(wide, i, F.lit(width))))
+
+    # the outer transform has one element: it binds the encoded line, so that it is made once
+    return F.get(F.transform(F.array(F.encode(line, "UTF-32")), windows), 0)
+
+
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """df with a column that is computed once a row, before anything that uses it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
-def long_lines(docs: DataFrame, how: Lines) -> DataFrame:
-    """Every line long enough to be compared: its place, text and two hashes a and b."""
-    lines = exploded(docs).where(F.char_length("line") >= how.least)
-    return lines.withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(1), F.col("line"))})
-
-
-def slot(shingle: Column) -> Column:
-    return F.pmod(shingle, F.lit(SLOTS))
-
-
-def frequency(docs: DataFrame, how: Lines) -> bytes:
-    """For each slot, a level that grows with the logarithm of the sampled lines that hold its shingles."""
-    lines = long_lines(docs, how).where(F.pmod("a", F.lit(SAMPLE)) == 0)
-    spots = lines.select(F.explode(F.transform(F.array_distinct(hashes(F.col("line"), how)), slot)).alias("spot"))
-    out = bytearray(SLOTS)
-    for spot, n in spots.groupBy("spot").agg(F.count("*").alias("n")).where("n > 1").collect():  # SLOTS rows at most
-        out[spot] = min(127, int(4 * math.log2(n)))
-    return bytes(out)
-
-
-def rare_first(shingles: Column, levels: bytes | None) -> Column:
-    """Keys of the shingles in order, rare ones first; a key follows from its shingle alone."""
-
-    def key(h: Column) -> Column:
-        low = h.bitwiseAND(F.lit((1 << KEY_BITS) - 1))
-        if levels is None:
-            return low
-        level = F.ascii(F.substring(F.lit(levels), slot(h).cast("int") + 1, F.lit(1)).cast("string"))
-        return low + F.shiftleft(level.cast("long"), KEY_BITS)
-
-    return F.sort_array(F.transform(shingles, key))
-
-
-def signatures(docs: DataFrame, how: Lines, levels: bytes | None = None) -> DataFrame:
-    """(a, n, keys, s0, s1, ...): each class of lines with its size, its first keys and its signature, nulls at the end of a short one."""
-    lines = long_lines(docs, how).select("a", "b", F.explode(F.array(F.array_distinct(hashes(F.col("line"), how)))).alias("set"))
-    sig, n = F.slice(F.sort_array("set"), 1, SIGNATURE), F.size("set")
-    first = n - F.ceil(n * how.percent / F.lit(100)).cast("int") + 1
-    lines = lines.select("a", "b", n.alias("n"), F.slice(rare_first(F.col("set"), levels), F.lit(1), first).alias("keys"), sig.alias("sig"))
-    lines = lines.select("a", "b", "n", "keys", *(F.get("sig", F.lit(i)).alias(c) for i, c in enumerate(SIG)))
-    classes = lines.groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most"), *(F.min(c).alias(c) for c in ("n", "keys", *SIG)))
-    return classes.where("least = most").select("a", "n", "keys", *SIG)
-
-
-def band_pairs(keys: DataFrame, *orders: Column) -> DataFrame:
-    """(a, b, m): each class of a bucket (key) of m classes with the bucket's hubs, its last classes in the given orders."""
-    hubs = F.array(*(F.col(f"h{i}") for i in range(len(orders))))
-    full = keys.groupBy("key").agg(F.count("*").alias("m"), *(F.max_by("a", o).alias(f"h{i}") for i, o in enumerate(orders))).where("m > 1")
-    pairs = keys.select("a", "key").join(full.select("key", "m", F.array_distinct(hubs).alias("hubs")), "key")
-    pairs = pairs.select("a", "m", F.explode("hubs").alias("hub")).where("a <> hub")
-    return pairs.groupBy(F.greatest("a", "hub").alias("a"), F.least("a", "hub").alias("b")).agg(F.max("m").alias("m"))
-
-
-def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose signatures have enough in common."""
-    sig = classes.select("a", F.array_compact(F.array(*SIG)).alias("one"))
-    both = pairs.join(sig, "a").join(sig.select(F.col("a").alias("b"), F.col("one").alias("two")), "b")
-    joint = F.slice(F.sort_array(F.array_union("one", "two")), 1, SIGNATURE)
-    shared = F.size(F.array_intersect(F.array_intersect("one", "two"), joint))
-    return both.where(8 * shared >= 3 * F.size(joint)).select("a", "b")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, how: Lines) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("a")).distinct(), "line_wanted")
-    lines = perhaps_in(long_lines(docs, how).select("a", "line"), F.col("a"), wanted, "a")
-    sets = lines.groupBy("a").agg(F.min("line").alias("line")).join(wanted, "a")
-    sets = materialize(sets.select("a", F.array_distinct(hashes(F.col("line"), how)).alias("s")), "line_sets")
-    both = pairs.join(sets.withColumnRenamed("s", "one"), "a").join(sets.select(F.col("a").alias("b"), F.col("s").alias("two")), "b")
-    shared = F.size(F.array_intersect("one", "two"))
-    fits = shared * 100 >= how.percent * (F.size("one") + F.size("two") - shared)
-    out = materialize(both.where(fits).select("a", "b"), "line_links")
-    discard(sets)
-    return out
+
+def signed(docs: DataFrame, how: Lines, rows: int, bands: int) -> DataFrame:
+    """Every long line: its place, a, b, n (size of its set) and its keys k0, k1, ..."""
+    places = [-(1 << 63) + i * ((1 << 64) // bands) for i in range(bands)]
+    marks = F.array(*(F.lit(p).cast("long") for p in places))
+    lines = once(long_lines(docs, how), hashes(F.col("line"), how), "h").drop("line")
+    ring = once(lines, F.sort_array(F.array_union("h", marks)), "ring").drop("h")
+    n = (F.size("ring") - bands).alias("n")
+    ring = once(ring.select(*PLACE, "a", "b", n, "ring"), F.concat("ring", F.slice("ring", 1, rows + bands)), "round").drop("ring")
+
+    def key(i: int) -> Column:
+        behind = F.slice("round", F.array_position("round", F.lit(places[i]).cast("long")).cast("int") + 1, F.lit(rows + bands))
+        return F.xxhash64(F.lit(i), F.slice(F.array_except(behind, marks), 1, rows))
+
+    return ring.select(*PLACE, "a", "b", "n", *(key(i).alias(f"k{i}") for i in range(bands)))
+
+
+def hub_pairs(members: DataFrame, hubs: Column) -> DataFrame:
+    """(a, b): each class with the hubs of its bucket."""
+    pairs = members.select("a", F.explode(F.array_distinct(hubs)).alias("hub")).where("a <> hub")
+    return pairs.select(F.greatest("a", "hub").alias("a"), F.least("a", "hub").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, how: Lines) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough. texts: (a, n, line)."""
+    both = pairs.join(texts.select("a", F.col("n").alias("n_a"), F.col("line").alias("line_a")), "a")
+    both = both.join(texts.select(F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("line").alias("line_b")), "b")
+    both = both.where((100 * F.col("n_a") >= how.percent * F.col("n_b")) & (100 * F.col("n_b") >= how.percent * F.col("n_a")))
+    both = once(both, F.struct(hashes(F.col("line_a"), how).alias("a"), hashes(F.col("line_b"), how).alias("b")), "h")
+    both = once(both.select("a", "b", "n_a", "n_b", "h"), F.size(F.array_intersect("h.a", "h.b")), "shared")
+    fits = F.col("shared") * 100 >= how.percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))
+    return materialize(both.where(fits).select("a", "b"), "line_links")
 
 
 def placed(members: DataFrame, links: DataFrame) -> DataFrame:
     """members with the component of each, without the buckets that one component fills."""
-    groups = materialize(graph.components(links), "line_groups").withColumnRenamed("v", "a")
-    found = members.join(groups, "a", "left").withColumn("component", F.coalesce("component", "a"))
+    groups = graph.components(links).withColumnRenamed("v", "a")
+    found = materialize(members.join(groups, "a", "left").withColumn("component", F.coalesce("component", "a")), "line_placed")
     mixed = found.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
     return materialize(found.join(mixed, "key"), "line_mixed")
 
@@ -184,58 +150,78 @@ def pairs_between(members: DataFrame, how: Lines) -> DataFrame:
     return both.select(F.greatest("x.a", "y.a").alias("a"), F.least("x.a", "y.a").alias("b")).distinct()
 
 
-def line_groups(docs: DataFrame, how: Lines) -> DataFrame:
-    """(a, component) of the classes of lines that fuzzy links connect."""
-    classes = materialize(signatures(docs, how, frequency(docs, how)), "line_classes")
-    keys = classes.select("a", "n", F.explode("keys").alias("key"))
-    mixed = F.xxhash64("a", "key")
-    first = materialize(band_pairs(keys, mixed, -F.shiftright(mixed, 1)), "line_pairs")
-    links = verified(materialize(promising(first, classes), "line_pairs"), docs, how)
-    # buckets of three or more that a component doesn't fill meet the class that most are linked to, then all their pairs are tried
-    crowded = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 2").select("key")
-    members = placed(materialize(keys.join(crowded, "key"), "line_members"), links)
+def buckets(classes: DataFrame, bands: int) -> DataFrame:
+    """(a, n, key, m, hubs): the classes of each bucket (key) of m > 1 classes, with the bucket's hubs."""
+    keys = classes.select("a", "n", "copies", F.explode(F.array(*(F.col(f"k{i}") for i in range(bands)))).alias("key"))
+    full = keys.groupBy("key").agg(F.count("*").alias("m"), F.max_by("a", "copies").alias("h0"), F.min("a").alias("h1")).where("m > 1")
+    full = materialize(full, "line_buckets")
+    return materialize(perhaps_in(keys.select("a", "n", "key"), F.col("key"), full, "key").join(full.select("key", "m", F.array("h0", "h1").alias("hubs")), "key"), "line_members")
+
+
+def line_links(docs: DataFrame, classes: DataFrame, bands: int, how: Lines) -> DataFrame:
+    """(a, b): verified links that connect the classes of lines that links connect."""
+    members = buckets(classes, bands)
+    wanted = materialize(members.select("a", "n").distinct(), "line_wanted")
+    texts = perhaps_in(long_lines(docs, how).select("a", "line"), F.col("a"), wanted, "a").groupBy("a").agg(F.min("line").alias("line"))
+    texts = materialize(texts.join(wanted, "a"), "line_texts")
+    first = materialize(hub_pairs(members, F.col("hubs")), "line_pairs")
+    links = verified(first, texts, how)
+    # in buckets of two nothing is left to try
+    crowded = placed(members.where("m > 2").select("a", "n", "key"), links)
+    if crowded.isEmpty():
+        return links
     degree = links.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count("*").alias("degree"))
-    order = F.least(F.coalesce("degree", F.lit(0)), F.lit(1 << 40)) * (1 << 20) + F.pmod(F.xxhash64("a"), F.lit(1 << 20))
-    second = materialize(band_pairs(members.join(degree, "a", "left"), order).select("a", "b").join(first, ["a", "b"], "left_anti"), "line_pairs")
-    links = links.unionByName(verified(materialize(promising(second, classes), "line_pairs"), docs, how))
-    members = placed(members.drop("component"), links)
-    tried = first.select("a", "b").unionByName(second)
-    third = pairs_between(members, how).join(tried, ["a", "b"], "left_anti")
-    more = verified(materialize(promising(third, classes), "line_pairs"), docs, how)
-    discard(classes)
-    return graph.components(links.unionByName(more)).withColumnRenamed("v", "a")
+    best = crowded.join(degree, "a", "left").groupBy("key").agg(F.max_by("a", F.coalesce("degree", F.lit(0))).alias("hub"))
+    second = hub_pairs(crowded.join(best, "key"), F.array("hub")).join(first, ["a", "b"], "left_anti")
+    second = materialize(second, "line_pairs")
+    links = links.unionByName(verified(second, texts, how))
+    crowded = placed(crowded.drop("component"), links)
+    third = pairs_between(crowded, how).join(first.unionByName(second), ["a", "b"], "left_anti")
+    return links.unionByName(verified(materialize(third, "line_pairs"), texts, how))
 
 
 def removed(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
     """(_doc, _th, gone, n_near): of each document that loses lines, their places, and how many of them only resemble the line that stays."""
-    groups = materialize(line_groups(docs, how), "line_components")
-    lines = materialize(long_lines(docs, how).select(*PLACE, "a", "b"), "lines")
-    placed = lines.join(groups, "a", "left")
+    rows, bands = how.banding(docs.count())
+    lines = materialize(signed(docs, how, rows, bands), "lines")
+    keys = [f"k{i}" for i in range(bands)]
+    classes = lines.groupBy("a").agg(F.count("*").alias("copies"), F.min("b").alias("least"), F.max("b").alias("most"), *(F.min(c).alias(c) for c in ("n", *keys)))
+    classes = materialize(classes, "line_classes")
+    links = line_links(docs, classes.where("least = most"), bands, how)
+    groups = materialize(graph.components(links).withColumnRenamed("v", "a"), "line_groups")
+    # only classes of several lines, and those that links connect, can lose lines
+    several = classes.where("copies > 1").select("a").unionByName(groups.select("a")).distinct()
+    several = materialize(several.join(groups, "a", "left"), "line_several")
+    some = perhaps_in(lines.select(*PLACE, "a", "b"), F.col("a"), several, "a").join(several, "a")
     # a class outside all components is told by both hashes
-    group = placed.select(*PLACE, "a", F.coalesce("component", "a").alias("g"), F.when(F.col("component").isNull(), F.col("b")).otherwise(F.lit(0)).alias("h"))
-    many = group.groupBy("g", "h").agg(F.count("*").alias("n")).where("n > 1").select("g", "h")
-    group = materialize(group.join(many, ["g", "h"], "left_semi"), "line_places")
+    group = some.select(*PLACE, "a", F.coalesce("component", "a").alias("g"), F.when(F.col("component").isNull(), F.col("b")).otherwise(F.lit(0)).alias("h"))
+    group = materialize(group, "line_places")
     first = group.groupBy("g", "h").agg(F.min(F.struct(*PLACE, "a")).alias("first"))
     gone = group.join(first, ["g", "h"]).where(F.struct(*PLACE) != F.struct(*(F.col(f"first.{p}") for p in PLACE)))
-    return gone.groupBy("_doc", "_th").agg(F.collect_set("_pos").alias("gone"), F.count_if(F.col("a") != F.col("first.a")).alias("n_near"))
+    out = gone.groupBy("_doc", "_th").agg(F.collect_set("_pos").alias("gone"), F.count_if(F.col("a") != F.col("first.a")).alias("n_near"))
+    out = materialize(out, "removed")
+    for df in (lines, classes, groups, several, group):
+        discard(df)
+    return out
 
 
 def dedup(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
     """docs with the text that stays, and n_lines, n_removed and n_near of each."""
-    gone = materialize(removed(docs, how), "removed")
-    rows = documents(docs).withColumn("_key", F.xxhash64("_doc", "_th"))
-    key = F.xxhash64("_doc", "_th").alias("_key")
+    gone = removed(docs, how)
+    rows = documents(docs).withColumn("key", F.xxhash64("_doc", "_th"))
     # documents that lose nothing and occur once stay where they are
-    twice = rows.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key")
-    special = materialize(gone.select(key).unionByName(twice).distinct(), "changed")
-    marked = with_mark(rows, F.col("_key"), special, "_key", "_special")
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_near")]
-    changed = marked.where("_special").dropDuplicates(["_doc", "_th"]).join(gone, ["_doc", "_th"], "left")
-    same = marked.where("not _special").withColumns({"gone": F.lit(None).cast("array<int>"), "n_near": F.lit(None).cast("long")})
-    names = [*own, "gone", "n_near"]
-    out = changed.select(*(F.col(f"`{n}`") for n in names)).unionByName(same.select(*(F.col(f"`{n}`") for n in names)))
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text").cast("string")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    kept = [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in own]
-    return out.select(*kept, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    counts = rows.select("_doc", "_th", "key").groupBy("_doc", "_th").agg(F.count("*").alias("rows")).where("rows > 1")
+    special = gone.join(counts, ["_doc", "_th"], "full")
+    special = materialize(special.select("_doc", "_th", F.xxhash64("_doc", "_th").alias("key"), "gone", "n_near", F.coalesce("rows", F.lit(1)).alias("rows")), "changed")
+    marked = with_mark(rows, F.col("key"), special, "key", "special").drop("key")
+    # the changes fit in memory where the texts needn't, so these are hashed and the texts are not sorted
+    changed = marked.where("special").join(special.select("_doc", "_th", "gone", "n_near", "rows").hint("shuffle_hash"), ["_doc", "_th"], "left")
+    names = ["_row", "text", "gone", "n_near"]
+    one = changed.where("rows is null or rows = 1").select(*names)
+    equal = changed.where("rows > 1").dropDuplicates(["_doc", "_th"]).select(*names)
+    same = marked.where("not special").select("_row", "text", F.lit(None).cast("array<int>").alias("gone"), F.lit(None).cast("long").alias("n_near"))
+    out = once(one.unionByName(equal).unionByName(same), F.split("text", "\n", -1), "lines")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    out = out.withColumn("kept", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")))
+    figures = [F.coalesce(F.size("lines"), F.lit(0)), F.coalesce(F.size("gone"), F.lit(0)), F.coalesce("n_near", F.lit(0))]
+    return unpacked(out, docs, {"text": F.col("kept")}, {n: x.cast("long") for n, x in zip(ADDED, figures)})

@@ -1,5 +1,6 @@
 import random
-import re
+
+from pyspark.sql import functions as F
 
 from lodestone.llm import line_dedup as ld
 
@@ -7,7 +8,7 @@ HOW = ld.Lines()
 
 
 def shingles(line):
-    return set(re.findall(r"(?s)(?=(\S.{0,15}))\S{1,16}", line, re.ASCII))
+    return {line[i : i + HOW.shingle] for i in range(max(1, len(line) - HOW.shingle + 1))}
 
 
 def brute(rows, how=HOW):
@@ -76,11 +77,12 @@ def test_every_removed_line_resembles_one_that_stays(spark):
     assert same[100].text is None and same[101].text == "" and same[103].n_removed == 1 and same[103].text == ""
 
 
-def test_signatures_stay_in_the_jvm(spark, capsys):
+def test_plans_stay_in_the_jvm(spark, capsys):
     docs = spark.createDataFrame([(1, "a line that is long enough to count")], "doc_id long, text string")
-    ld.signatures(docs, HOW).explain()
+    ld.signed(docs, HOW, 4, 8).explain()
+    ld.dedup(docs).explain()
     plan = capsys.readouterr().out
-    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    assert "xxhash64" in plan and "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
 def test_empty(spark):
@@ -107,7 +109,63 @@ def test_all_pairs_between_components_of_a_bucket(spark):
     assert got == sorted((a, b) for a in range(60) for b in range(a) if a % 7 != b % 7 and (a < 40) == (b < 40))
 
 
-def test_repeated_shingles_leave_the_signature_whole(spark):
-    line = "again and again the same " * 200 + "but the end of this line is another one than the rest of it was before"
-    row = ld.signatures(spark.createDataFrame([(1, line)], "doc_id long, text string"), HOW).first()
-    assert len({row[c] for c in ld.SIG}) == ld.SIGNATURE and None not in [row[c] for c in ld.SIG]
+def test_shingles_are_taken_at_every_position(spark):
+    lines = ["repeated repeated repeated", "é𝄞 and more", "short", "字" * 3 + "abcdefg"]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select(F.size(F.array_distinct(ld.hashes(F.col("line"), HOW))).alias("n")).collect()
+    assert [r.n for r in got] == [len(shingles(x)) for x in lines]
+
+
+def test_one_edit_in_a_line_without_blanks(spark):
+    """Han characters, base64-like runs and ordinary lines with one character or word changed."""
+    rnd = random.Random(3)
+    run = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    pairs = []
+    for i in range(40):
+        han = run([chr(0x4E00 + k) for k in range(500)], 150)
+        code = run("abcdefghijklmnopqrstuvwxyz0123456789+/", 150)
+        words = [run("abcdefghijklmnopqrstuvw", rnd.randint(3, 8)) for _ in range(25)]
+        other = [*words]
+        other[rnd.randrange(25)] = run("abcdefghijklmnopqrstuvw", 5)
+        pairs += [(han, han[:9] + "字" + han[9:]), (code, code[:5] + "x" + code[5:]), (" ".join(words), " ".join(other))]
+    fit = [len(shingles(a) & shingles(b)) * 100 >= 80 * len(shingles(a) | shingles(b)) for a, b in pairs]
+    rows = [(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)]
+    gone = {r.doc_id for r in ld.dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("n_near = 1").collect()}
+    assert gone <= {2 * i + 1 for i, f in enumerate(fit) if f}
+    assert len(gone) >= 0.95 * sum(fit) and sum(fit) > 100
+
+
+def test_bands_keep_their_recall_as_the_corpus_grows():
+    for n in (0, 1000, 10**6, 10**9, 10**12):
+        rows, bands = HOW.banding(n)
+        assert (1 - 0.8**rows) ** bands <= HOW.miss and rows >= 4
+    assert HOW.banding(10**12)[0] > HOW.banding(10**6)[0]
+
+
+def test_a_crowd_of_near_copies_becomes_one_line(spark):
+    """Copies of one line with different words changed: many pairs of them don't link, but all link with the original."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    base = [word() for _ in range(60)]
+    rows = [(i, " ".join(base)) for i in range(3)]
+    for i in range(300):
+        other = [*base]
+        for at in rnd.sample(range(60), 2):
+            other[at] = word()
+        rows.append((10 + i, " ".join(other)))
+    got = ld.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert got.where("text <> ''").count() == 1
+
+
+def test_clashing_names_repeated_rows_and_long_texts(spark):
+    line = "this line is long enough to be compared with others of its kind"
+    rows = [(1, line, 1, 2, "a", 3, "b"), (1, line, 1, 2, "a", 3, "b"), (2, line + "\n" + line, 1, 2, "a", 3, "b"), (None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone int, key int, N_NEAR string, _doc int, special string")
+    got = ld.dedup(docs)
+    assert got.columns == ["doc_id", "text", "gone", "key", "_doc", "special", "n_lines", "n_removed", "n_near"]
+    assert sorted((r.doc_id or 0, r.text, r.n_removed) for r in got.collect()) == [(0, None, 0), (1, line, 0), (2, "", 2)]
+    rnd = random.Random(2)
+    long = "".join(rnd.choice("abcdefghijklmnopqrst ") for _ in range(2_000_000))
+    many = "\n".join(f"{i} is a number of a line among many others" for i in range(1_000))
+    docs = spark.createDataFrame([(1, long), (2, long), (3, many + "\n" + long)], "doc_id long, text string")
+    out = {r.doc_id: r for r in ld.dedup(docs).collect()}
+    assert out[1].text == long and out[2].text == "" and out[3].n_removed >= 1 and long not in out[3].text
