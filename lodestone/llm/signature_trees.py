@@ -8,17 +8,19 @@ class; only classes are joined.
    similar enough share a shingle among the first n - ceil(t n) + 1 of either, whatever the
    order is; with this one, a passage that many documents hold seldom leads them together.
 2. Each shared shingle makes a unit of the classes that hold it so early. Units of the same
-   members are one.
+   members are one. Only ids and sizes are dealt out until it is known which classes meet.
 3. Within a unit, the classes' signatures (bitmaps of their shingles) make a tree: nodes hold
    the OR of the bitmaps below, the range of the sizes and the most shingles that any member
    loses to collisions. Two trees are gone through together; a pair of nodes is passed over
    when the sizes can't fit or when the common bits, and the collisions, can't make up the
-   overlap that the least sizes need. So no pair that links is passed over.
+   overlap that the least sizes need. So no pair that links is passed over. A unit in which
+   nothing fits is done after one look.
 4. Pairs that remain are verified on the whole sets. ROUNDS times each class is verified with
    its likeliest partner outside its component, so that copies meet their original first; then
    all pairs that remain between components are. Pairs inside a component can't change it. A
-   unit too large for a task is dealt out in blocks in those rounds; at last its pairs of
-   blocks are gone through where the classes aren't connected.
+   unit too large for a task is dealt out in blocks in those rounds, in others each time, and
+   each block gets the unit's class of most documents. At last the blocks outside the unit's
+   largest component are gone through with each other and with that component's blocks.
 
 The result is components only: links inside a component are not listed, so there is neither a
 table nor a number of all links.
@@ -37,25 +39,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, graph
-from .common import discard, materialize
+from .common import WordCodes, discard, map_arrow, materialize, packed, perhaps_in, unpacked
 
-LEAF = 64
+NO_ID = -(1 << 63)
+LEAF = 16
 #: Bits of a signature for each shingle, at least; the fewer collide, the fewer pairs are verified in vain.
-BITS = 8
-FANOUT = 8
+BITS = 4
+FANOUT = 4
 #: Slots of the table of counts: 2**20 counters, 4 MB in each task and the driver.
 SLOTS = 1 << 20
 #: Rounds in which each class is verified with its likeliest partner, before all pairs that are left.
 ROUNDS = 2
 #: Classes of a unit that one task goes through together.
-BLOCK = 2048
-#: Distinct words whose codes a worker remembers.
-REMEMBERED = 1_000_000
+BLOCK = 512
+#: Partners of one class, and shingles, that one task verifies together.
+PARTNERS, SHINGLES = 256, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -79,33 +81,18 @@ class Join:
 
 # --- sets -------------------------------------------------------------------------------
 
-_codes: dict[bytes, int] = {}
-
-
-def word_codes(words: list[bytes]) -> np.ndarray:
-    """64-bit codes of words, the same in every process."""
-    if len(_codes) > REMEMBERED:
-        _codes.clear()
-    try:
-        return np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        for w in set(words).difference(_codes):
-            _codes[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
-
-
-def shingle_set(text: str | None, width: int) -> np.ndarray:
+def shingle_set(text: str | None, width: int, codes: WordCodes) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text with A-Z in lower case."""
     words = (text or "").encode().lower().split()  # on bytes: A-Z and ASCII white space only
     if not words:
         return np.zeros(0, np.uint64)
-    codes = word_codes(words)
-    k = min(width, len(codes))
-    n = len(codes) - k + 1
+    words = codes.of(words)
+    k = min(width, len(words))
+    n = len(words) - k + 1
     with np.errstate(over="ignore"):
         h = np.full(n, 0x9E3779B97F4A7C15 + k, np.uint64)
         for i in range(k):
-            h = (h ^ codes[i : i + n]) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ words[i : i + n]) * np.uint64(0xBF58476D1CE4E5B9)
             h ^= h >> np.uint64(29)
         h *= np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(32)
@@ -284,8 +271,9 @@ def best_partners(cid: np.ndarray, bits: list[np.ndarray], sizes: np.ndarray, jo
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    """doc_id, key (doc_id, never null), text and th (its hash)."""
+    rows = packed(docs).select(F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_row.text").cast("string").alias("text"))
+    return rows.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text", F.xxhash64("text").alias("th"))
 
 
 def shingle_counts(docs: DataFrame, join: Join, slots: int = SLOTS) -> np.ndarray:
@@ -293,11 +281,10 @@ def shingle_counts(docs: DataFrame, join: Join, slots: int = SLOTS) -> np.ndarra
     width = join.words
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(slots, np.int64)
-        for batch in batches:
-            for some in common.small_batches(iter([batch]), "text"):
-                sets = [shingle_set(t, width) for t in some.column("text").to_pylist()]
-                out += np.bincount((np.concatenate(sets) & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+        out, codes = np.zeros(slots, np.int64), WordCodes()
+        for some in common.small_batches(batches, "text"):
+            spots = [(shingle_set(t, width, codes) & np.uint64(slots - 1)).astype(np.int32) for t in some.column("text").to_pylist()]
+            out += np.bincount(np.concatenate(spots), minlength=slots)
         yield pa.record_batch([pa.array([out.astype("<u4").tobytes()], pa.binary())], names=["counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,11 +295,11 @@ def shingle_counts(docs: DataFrame, join: Join, slots: int = SLOTS) -> np.ndarra
         yield pa.record_batch([pa.array([np.minimum(out, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())], names=["counts"])
 
     rows = _texts(docs).select("text")
-    tables = rows.mapInArrow(count, "counts binary")
+    tables = map_arrow(rows, count, "counts binary")
     left = rows.rdd.getNumPartitions()
     while left > 1:
         left = -(-left // 16)
-        tables = tables.repartition(left).mapInArrow(add, "counts binary")
+        tables = map_arrow(tables.repartition(left), add, "counts binary")
     total = np.zeros(slots, np.int64)
     for row in tables.collect():  # one table
         total += np.frombuffer(row.counts, "<u4")
@@ -328,32 +315,30 @@ def class_number(fp: bytes) -> int:
 
 
 def signed(docs: DataFrame, join: Join, counts: np.ndarray) -> DataFrame:
-    """Per document: doc_id, th, n, cid (its class), fp (its set's 128-bit fingerprint), keys (its first shingles), bits."""
+    """Per document: doc_id, key, th, n, cid and more (the halves of its set's 128-bit fingerprint; cid is its class), keys (its first shingles), bits."""
     width, slots = join.words, len(counts)
     held = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 0xFFFFFFFF).astype("<u4"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted = held.value
-        for batch in batches:
-            for some in common.small_batches(iter([batch]), "text"):
-                sizes, prints, ids, keys, bits = [], [], [], [], []
-                for text in some.column("text").to_pylist():
-                    s = shingle_set(text, width)
-                    n = len(s)
-                    fp = _fingerprint(s)
-                    sizes.append(n)
-                    prints.append(fp)
-                    ids.append(class_number(fp))
-                    often = counted[(s & np.uint64(slots - 1)).astype(np.int64)]
-                    first = np.argsort(often, kind="stable")[: n - join.least(n) + 1] if n else np.zeros(0, np.int64)
-                    keys.append(s[first].view(np.int64))
-                    bits.append(bitmap(s).tobytes())
-                yield pa.record_batch(
-                    [some.column("doc_id"), some.column("th"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                    names=["doc_id", "th", "n", "cid", "fp", "keys", "bits"],
-                )
-
-    return _texts(docs).mapInArrow(run, "doc_id long, th long, n long, cid long, fp binary, keys array<long>, bits binary")
+        counted, codes = held.value, WordCodes()
+        for some in common.small_batches(batches, "text"):
+            sizes, ids, more, keys, bits = [], [], [], [], []
+            for text in some.column("text").to_pylist():
+                s = shingle_set(text, width, codes)
+                n = len(s)
+                fp = _fingerprint(s)
+                sizes.append(n)
+                ids.append(class_number(fp))
+                more.append(class_number(fp[8:]))
+                often = counted[(s & np.uint64(slots - 1)).astype(np.int64)]
+                first = np.argsort(often, kind="stable")[: n - join.least(n) + 1] if n else np.zeros(0, np.int64)
+                keys.append(s[first].view(np.int64))
+                bits.append(bitmap(s).tobytes())
+            own = [some.column(c) for c in ("doc_id", "key", "th")]
+            new = [pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(more, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+            yield pa.record_batch(own + new, names=["doc_id", "key", "th", "n", "cid", "more", "keys", "bits"])
+
+    return map_arrow(_texts(docs).select("doc_id", "key", "th", "text"), run, "doc_id long, key long, th long, n long, cid long, more long, keys array<long>, bits binary")
 
 
 PAIRS = "a long, b long"
@@ -365,7 +350,7 @@ def _members(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]
 
 
 def likeliest_pairs(units: DataFrame, join: Join) -> DataFrame:
-    """(cid, other): each class with its likeliest partner of another component in any of its units' blocks."""
+    """(unit, cid, other, share): each class with its likeliest partner of another component in each block of a unit, and with the block's hub."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in common.units(batches, "unit", "part"):
@@ -376,13 +361,21 @@ def likeliest_pairs(units: DataFrame, join: Join) -> DataFrame:
             if group.max() == 0:
                 continue
             tried = [set(t or ()) for t in table.column("tried").to_pylist()]
-            if pairs := best_partners(cid, bits, n, join, group, tried):
+            pairs = best_partners(cid, bits, n, join, group, tried)
+            hub = table.column("hub")[0].as_py()
+            if hub is not None:
+                at = int(np.flatnonzero(cid == hub)[0])
+                side = (np.arange(len(cid)) == at).astype(int)
+                met: list[tuple[np.ndarray, np.ndarray]] = []
+                candidates(bits, n, join, group, lambda a, b, share: met.append((a, b)), side)  # noqa: B023
+                for a, b in met:
+                    pairs += [(int(cid[x]), hub, 0.0) for x in np.where(a == at, b, a).tolist() if hub not in tried[x]]
+            if pairs:
                 a, b, share = zip(*pairs)
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(share, pa.float64())], names=["a", "b", "share"])
+                yield pa.record_batch([pa.array([table.column("unit")[0].as_py()] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(share, pa.float64())], names=["unit", "cid", "other", "share"])
 
-    dealt = units.repartition("unit", "part").sortWithinPartitions("unit", "part").select("unit", "part", "cid", "n", "bits", "component", "tried")
-    found = dealt.mapInArrow(run, "a long, b long, share double").groupBy("a").agg(F.max(F.struct("share", (-F.xxhash64("b")).alias("tie"), "b")).alias("x"))
-    return found.select(F.col("a").alias("cid"), F.col("x.b").alias("other"))
+    dealt = units.repartition("unit", "part").sortWithinPartitions("unit", "part").select("unit", "part", "cid", "n", "bits", "component", "tried", "hub")
+    return map_arrow(dealt, run, "unit long, cid long, other long, share double")
 
 
 def further_pairs(units: DataFrame, join: Join) -> DataFrame:
@@ -400,37 +393,51 @@ def further_pairs(units: DataFrame, join: Join) -> DataFrame:
             for a, b in out:
                 yield pa.record_batch([pa.array(np.maximum(cid[a], cid[b])), pa.array(np.minimum(cid[a], cid[b]))], names=["a", "b"])
 
-    return units.repartition("unit", "one", "two").sortWithinPartitions("unit", "one", "two").select("unit", "one", "two", "part", "cid", "n", "bits", "component").mapInArrow(run, PAIRS)
+    dealt = units.repartition("unit", "one", "two").sortWithinPartitions("unit", "one", "two")
+    return map_arrow(dealt.select("unit", "one", "two", "part", "cid", "n", "bits", "component"), run, PAIRS)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, chosen: DataFrame, join: Join) -> DataFrame:
-    """(a, b): the pairs whose whole sets link. chosen: (cid, doc_id, th) names a document of each class."""
-    width, percent = join.words, join.percent
-    wanted = chosen.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi")
-    key = F.coalesce("doc_id", F.lit(-1)).alias("key")
-    texts = _texts(docs).select(key, "th", "text").join(wanted.select("cid", key, "th"), ["key", "th"]).select("cid", "text")
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """(a, b): the pairs whose whole sets link. classes: (cid, n, key, th) names a document of each class.
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in common.small_batches(iter([batch]), "text"):
-                sets = [shingle_set(t, width) for t in some.column("text").to_pylist()]
-                mine = [class_number(_fingerprint(s)) == c for s, c in zip(sets, some.column("cid").to_pylist())]
-                out = pa.record_batch([some.column("cid"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "shingles"])
-                yield out.filter(pa.array(mine, pa.bool_()))
+    A task gets the text of b and those of some of its partners a, so that a text travels as
+    often as it is compared with others, and no task gets all partners of a class of many.
+    """
+    width, percent = join.words, join.percent
+    known = classes.select("cid", "n", "key", "th")
+    partner = pairs.join(known, F.col("a") == F.col("cid")).select("a", "b", "n", "key", "th")
+    size = partner.groupBy("b").agg(F.count("*").alias("rows"), F.sum("n").alias("all"))
+    parts = F.greatest(F.ceil(F.col("rows") / PARTNERS), F.ceil(F.col("all") / SHINGLES)).cast("int")
+    partner = materialize(partner.join(size.select("b", parts.alias("parts")), "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")), "partners")
+    homes = partner.select("b", "part").distinct().join(known, F.col("b") == F.col("cid")).select("b", "part", F.col("b").alias("cid"), "key", "th")
+    asked = materialize(partner.select("b", "part", F.col("a").alias("cid"), "key", "th").unionByName(homes), "verify")
+    # the first of equal rows; others stay where they are
+    place = F.xxhash64("key", "th")
+    some = perhaps_in(_texts(docs).select("key", "th", "text"), place, asked.select(place.alias("place")), "place")
+    some = some.groupBy("key", "th").agg(F.min("text").alias("text"))
+    rows = asked.join(some, ["key", "th"]).select("b", "part", "cid", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for one, two in zip(batch.column("one"), batch.column("two")):
-                x, y = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    sets = materialize(texts.mapInArrow(hashed, "cid long, shingles binary"), "sets")
-    rows = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("two")), "b")
-    out = materialize(rows.select("a", "b", "one", "two").mapInArrow(check, PAIRS).distinct(), "links")
-    discard(sets)
+        codes = WordCodes()
+        for table in common.units(batches, "b", "part"):
+            home = table.column("b")[0].as_py()
+            ids = table.column("cid").to_pylist()
+            sets = [shingle_set(t.as_py(), width, codes) for t in table.column("text")]
+            sets = {c: s for c, s in zip(ids, sets) if class_number(_fingerprint(s)) == c}
+            one = sets.pop(home, None)
+            if one is None:
+                raise RuntimeError("the text of a class was not found")
+            links = []
+            for c, two in sets.items():
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                if 100 * shared >= percent * (len(one) + len(two) - shared):
+                    links.append(c)
+            yield pa.record_batch([pa.array([max(c, home) for c in links], pa.int64()), pa.array([min(c, home) for c in links], pa.int64())], names=["a", "b"])
+
+    dealt = rows.repartition("b", "part").sortWithinPartitions("b", "part")
+    out = materialize(map_arrow(dealt, check, PAIRS), "links")
+    discard(partner)
+    discard(asked)
     return out
 
 
@@ -440,45 +447,98 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return materialize(placed.join(mixed, "unit"), "mixed")
 
 
+def classes_of(rows: DataFrame) -> DataFrame:
+    """(cid, n, copies, key, th): each class, with how many documents have its set and one of them."""
+    found = rows.where("n > 0").groupBy("cid").agg(F.min("n").alias("n"), F.count("*").alias("copies"), F.min("more").alias("least"), F.max("more").alias("most"), F.min(F.struct("key", "th")).alias("chosen"))
+    found = materialize(found, "classes")
+    if not found.where("least <> most").isEmpty():
+        raise RuntimeError("two sets share a 64-bit class number")
+    return found.select("cid", "n", "copies", "chosen.key", "chosen.th")
+
+
+def units_of(rows: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """(unit, m, cid, hub): the classes that meet in a unit of m; hub where the unit is larger than a block."""
+    keys = rows.select("cid", "n", F.explode("keys").alias("shingle"))
+    shared = keys.groupBy("shingle").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).where("least <> most").select("shingle")
+    shared = materialize(shared, "shared")
+    members = materialize(perhaps_in(keys, F.col("shingle"), shared, "shingle").join(shared, "shingle").distinct(), "met")
+    marks = [F.count("*").alias("m"), F.bit_xor("cid").alias("x"), F.bit_xor(F.xxhash64("cid")).alias("y"), F.min("n").alias("least"), F.max("n").alias("most")]
+    unit = members.groupBy("shingle").agg(*marks).where((F.col("m") > 2) | (100 * F.col("least") >= join.percent * F.col("most")))
+    # units of the same members count once
+    unit = unit.groupBy("m", "x", "y").agg(F.min("shingle").alias("shingle")).select("shingle", "m")
+    found = materialize(members.join(unit, "shingle").select(F.col("shingle").alias("unit"), "m", "cid"), "units")
+    large = found.where(F.col("m") > join.block).join(classes.select("cid", "copies"), "cid")
+    hubs = large.groupBy("unit").agg(F.max_by("cid", F.struct("copies", "cid")).alias("hub"))
+    out = materialize(found.join(hubs, "unit", "left"), "members")
+    for df in (shared, members, found):
+        discard(df)
+    return out
+
+
 def classes_and_links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, th, n, cid) and verified links (a, b) that connect exactly the classes that links connect."""
+    """Documents (doc_id, key, th, n, cid) and verified links (a, b) that connect exactly the classes that links connect."""
     counts = shingle_counts(docs, join)
     rows = materialize(signed(docs, join, counts), "signed")
-    small = materialize(rows.select("doc_id", "th", "n", "cid"), "documents")
-    classes = rows.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys"), F.min("fp").alias("least"), F.max("fp").alias("most"), F.min(F.struct("doc_id", "th")).alias("chosen"))
-    classes = materialize(classes, "classes")
+    small = materialize(rows.select("doc_id", "key", "th", "n", "cid", "more"), "documents")
+    classes = classes_of(small)
+    members = units_of(rows, classes, join)
+    wanted = members.select("cid").distinct()
+    signs = perhaps_in(rows.select("cid", "n", "bits"), F.col("cid"), wanted, "cid").join(wanted, "cid", "left_semi")
+    signs = materialize(signs.groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "signatures")
     discard(rows)
-    if not classes.where("least <> most").isEmpty():
-        raise RuntimeError("two sets share a 64-bit class number")
-    keys = classes.select("cid", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor("cid").alias("x"), F.bit_xor(F.xxhash64("cid")).alias("y")).where("m > 1")
-    # units of the same members count once
-    unit = materialize(shared.groupBy("m", "x", "y").agg(F.min("key").alias("unit")).select("unit", "m"), "units")
-    members = keys.withColumnRenamed("key", "unit").join(unit, "unit")
-    blocks = F.ceil(F.col("m") / F.lit(join.block))
-    members = materialize(members.select("unit", "m", "cid", F.pmod(F.xxhash64("cid", "unit"), blocks).cast("int").alias("part"), blocks.cast("int").alias("parts")), "members")
-    signs = classes.select("cid", "n", "bits")
-    chosen = classes.select("cid", "chosen.doc_id", "chosen.th")
     links = tried = members.sparkSession.createDataFrame([], PAIRS)
     asked = members.sparkSession.createDataFrame([], "cid long, other long")
     placed = members.withColumn("component", F.col("cid"))
-    for _ in range(ROUNDS):
-        # at most one partner a round
-        held = signs.join(asked.groupBy("cid").agg(F.collect_list("other").alias("tried")), "cid", "left")
-        now = materialize(likeliest_pairs(placed.join(held, "cid"), join), "asked")
-        asked = asked.unionByName(now)
-        pairs = now.select(F.greatest("cid", "other").alias("a"), F.least("cid", "other").alias("b")).distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(verified(pairs, docs, chosen, join))
-        tried = tried.unionByName(pairs)
+    open_ = True
+    for turn in range(ROUNDS):
+        # at most one partner a round, and the hub
+        parts = F.ceil(F.col("m") / F.lit(join.block)).cast("int")
+        dealt = placed.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("cid", "unit", F.lit(turn)), parts).cast("int")})
+        hubs = dealt.where("cid = hub").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.where("hub is null or cid <> hub").unionByName(hubs)
+        known = asked.groupBy("cid").agg(F.collect_set("other").alias("tried"))
+        needed = perhaps_in(signs, F.col("cid"), placed, "cid") if turn else signs
+        found = materialize(likeliest_pairs(dealt.join(needed, "cid").join(known, "cid", "left"), join), "asked")
+        best = found.groupBy("cid").agg(F.max(F.struct("share", (-F.xxhash64("other")).alias("tie"), "other")).alias("x")).select("cid", F.col("x.other").alias("other"))
+        now = materialize(best.unionByName(found.where("share = 0").select("cid", "other")).distinct(), "now")
+        asked = asked.unionByName(now).unionByName(now.select(F.col("other").alias("cid"), F.col("cid").alias("other")))
+        pairs = now.groupBy(F.greatest("cid", "other").alias("x"), F.least("cid", "other").alias("y")).agg(F.min("other").alias("b"))
+        pairs = pairs.select((F.col("x").bitwiseXOR(F.col("y")).bitwiseXOR(F.col("b"))).alias("a"), "b", "x", "y")
+        pairs = materialize(pairs.join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti"), "pairs")
+        links = links.unionByName(verified(pairs.select("a", "b"), docs, classes, join))
+        tried = tried.unionByName(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
         groups = materialize(graph.components(links), "groups")
-        placed = _mixed(members.join(groups.withColumnRenamed("v", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
-    other = F.expr("explode(sequence(0, parts - 1))")
-    open_ = placed.withColumn("other", other)
-    open_ = open_.select("unit", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "cid", "component")
-    rest = further_pairs(open_.join(signs, "cid"), join).distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(materialize(rest, "pairs"), docs, chosen, join)
-    return small, links.unionByName(more)
+        # units without a pair that fits are done, but for those of which only blocks were seen
+        alive = found.select("unit").unionByName(placed.where("hub is not null").select("unit")).distinct()
+        placed = placed.drop("component").join(alive, "unit", "left_semi").join(groups.withColumnRenamed("v", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        placed = _mixed(placed)
+        if placed.isEmpty():
+            open_ = False
+            break
+    if open_:
+        rest = further_pairs(blocks(placed, join).join(perhaps_in(signs, F.col("cid"), placed, "cid"), "cid"), join).distinct().join(tried, ["a", "b"], "left_anti")
+        links = links.unionByName(verified(materialize(rest, "pairs"), docs, classes, join))
+    discard(signs)
+    return small, links
+
+
+def blocks(placed: DataFrame, join: Join) -> DataFrame:
+    """(unit, one, two, part, cid, component): members in blocks, one row for each block (one, two hold its pair) that theirs is gone through with.
+
+    Blocks 0, 1, ... lie outside the largest component of the unit, the others inside; two of these
+    last aren't gone through together. So members of the largest component, the many, are copied
+    once for each block of the others.
+    """
+    size = placed.groupBy("unit", "component").agg(F.count("*").alias("of"))
+    top = size.groupBy("unit").agg(F.max(F.struct("of", "component")).alias("top"), F.sum("of").alias("all"))
+    few, many = F.ceil((F.col("all") - F.col("top.of")) / F.lit(join.block)).cast("int"), F.ceil(F.col("top.of") / F.lit(join.block)).cast("int")
+    rows = placed.join(top.select("unit", F.col("top.component").alias("largest"), few.alias("few"), many.alias("many")), "unit")
+    inside = F.col("component") == F.col("largest")
+    spot = F.xxhash64("cid", "unit", F.lit(ROUNDS))
+    part = F.when(inside, F.col("few") + F.pmod(spot, F.col("many"))).otherwise(F.pmod(spot, F.col("few"))).cast("int")
+    rows = rows.withColumn("part", part)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
+    return rows.select("unit", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "cid", "component")
 
 
 def component_table(docs: DataFrame, join: Join = Join()) -> DataFrame:
@@ -496,17 +556,23 @@ def component_table(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
 
 def representatives(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """docs with one row of each component: of its least doc_id, null last, then by the text's hash. Rows without words all stay."""
+    """docs with one row of each component: of its least doc_id, null last, then by the text's hash. Rows without words all stay.
+
+    Of rows equal in doc_id and text one stays; extra columns pass through whatever their names.
+    """
     rows, links = classes_and_links(docs, join)
     groups = graph.components(links).withColumnRenamed("v", "cid")
     missing = F.col("doc_id").isNull().alias("missing")
-    first = rows.where("n > 0").groupBy("cid").agg(F.min(F.struct(missing, "doc_id", "th")).alias("first"))
+    first = rows.where("n > 0").groupBy("cid").agg(F.min(F.struct(missing, "key", "th")).alias("first"))
     first = first.join(groups, "cid", "left").groupBy(F.coalesce("component", "cid").alias("component")).agg(F.min("first").alias("first"))
-    kept = materialize(first.select(F.coalesce("first.doc_id", F.lit(-1)).alias("_key"), F.col("first.th").alias("_th")), "kept")
-    text = F.col("text").cast("string")
-    keyed = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_th": F.xxhash64(text)})
-    keyed = common.with_mark(keyed, F.xxhash64("_key", "_th"), kept.select(F.xxhash64("_key", "_th").alias("_h")), "_h", "_mark")
-    blank = F.coalesce(F.length(F.regexp_replace(text, f"[{common.SPACE}]", "")), F.lit(0)) == 0
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    chosen = keyed.where(F.col("_mark") & ~blank).join(kept, ["_key", "_th"], "left_semi").dropDuplicates(["_key", "_th"])
-    return chosen.select(*names).unionByName(keyed.where(blank).select(*names))
+    kept = materialize(first.select("first.key", "first.th", F.xxhash64("first.key", "first.th").alias("place")), "kept")
+    keyed = packed(docs).select("_row", F.col("_row.doc_id").cast("long").alias("id"), F.col("_row.text").cast("string").alias("text"))
+    blank = F.coalesce(F.length(F.regexp_replace("text", f"[{common.SPACE}]", "")), F.lit(0)) == 0
+    keyed = keyed.select("_row", F.coalesce("id", F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("th"), blank.alias("blank"))
+    marked = perhaps_in(keyed.where("not blank"), F.xxhash64("key", "th"), kept, "place")
+    # only keys that occur several times need one of their rows chosen
+    several = marked.groupBy("key", "th").agg(F.count("*").alias("rows"))
+    wanted = materialize(kept.select("key", "th").join(several, ["key", "th"]), "chosen")
+    found = marked.join(wanted.hint("shuffle_hash"), ["key", "th"])
+    one = found.where("rows = 1").select("_row").unionByName(found.where("rows > 1").dropDuplicates(["key", "th"]).select("_row"))
+    return unpacked(one.unionByName(keyed.where("blank").select("_row")), docs)

@@ -79,6 +79,51 @@ def test_trees_find_every_pair_that_links():
         assert {p for p in linked if len({side[i] for i in p}) == 2} <= got
 
 
+def test_trees_of_several_levels_pass_over_what_can_not_link():
+    rnd = random.Random(4)
+    join = st.Join(words=1, percent=85)
+    sets = [np.array(sorted(rnd.getrandbits(64) for _ in range(rnd.randint(33, 64))), np.uint64) for _ in range(1500)]
+    sets += [np.sort(np.append(s[1:], np.uint64(rnd.getrandbits(64)))) for s in sets[:20]]
+    bits, sizes = [st.bitmap(s) for s in sets], np.array([len(s) for s in sets])
+    at = np.array([len(b) for b in bits])
+    tree = st.SignatureTree(np.stack([b for b in bits if len(b) == at[0]]), sizes[at == at[0]], np.flatnonzero(at == at[0]))
+    assert len(tree.levels) > 3
+    looked = []
+    st.dual(tree, None, join, lambda a, b: looked.append(len(a) * len(b) if len(a) <= st.LEAF else 0) or True, lambda *x: None)
+    got = proposed(bits, sizes, join)
+    assert {frozenset((i, 1500 + i)) for i in range(20)} <= got and len(got) < 60
+    assert sum(looked) < len(tree.members) ** 2 / 2
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_a_crowd_of_near_copies(spark, block):
+    """Copies of one text with words changed, many of them twice, and texts that share a passage with all."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(120)]
+    rows = [(i, " ".join(base)) for i in range(30)]
+    for i in range(60):
+        other = [*base]
+        for at in rnd.sample(range(120), rnd.choice([1, 2])):
+            other[at] = word()
+        rows += [(100 + i, " ".join(other))] * rnd.choice([1, 2])
+    rows += [(300 + i, " ".join(base[:60] + [word() for _ in range(rnd.choice([5, 9, 60]))])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = st.component_table(docs, st.Join(4, 85, block)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 4, 85))
+
+
+def test_clashing_names_and_very_long_texts(spark):
+    rnd = random.Random(9)
+    text = " ".join(str(rnd.randrange(10**6)) for _ in range(700_000))
+    rows = [(1, text, 1, "a", 2, 3), (2, text + " end", 1, "b", 2, 3), (3, "short text of five words here", 1, "c", 2, 3), (None, None, None, None, None, None), (4, "short text of five words here", 1, "d", 2, 3), (4, "short text of five words here", 1, "d", 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, KEY long, _row string, th long, cid long")
+    got = st.representatives(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r._row or "") for r in got.collect()) == [(0, ""), (1, "a"), (3, "c")]
+    assert len(text) > 4_000_000
+
+
 @pytest.mark.parametrize(("words", "percent", "block"), [(4, 85, 2048), (5, 80, 2048), (2, 60, 3)])
 def test_components_match_brute_force(spark, words, percent, block):
     rows = corpus()
