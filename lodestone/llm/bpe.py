@@ -80,7 +80,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
             yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return common.map_arrow(rows, run, "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -92,7 +92,7 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             out = [enc.decode_bytes(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return common.map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -115,7 +115,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")
+    return common.map_arrow(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")
 
 
 def checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -131,4 +131,4 @@ def checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "lossless"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, lossless boolean")
+    return common.map_arrow(rows, run, "doc_id long, n_tokens long, ids array<int>, lossless boolean")

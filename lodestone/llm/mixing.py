@@ -11,12 +11,14 @@ the first by a seeded hash.
 Only (source, size, count) rows are brought together, one source at a time, and their number
 is that of distinct sizes. The knapsack's width is bounded by FIT whatever the corpus holds.
 Documents are picked without sorting a size's whole group: counts of BINS hash ranges tell
-which ranges are taken whole, and only the one range at the edge is ranked.
+which ranges are taken whole, and only the one range at the edge is ranked. Rows that are
+equal in doc_id, source and text have one hash and are ranked as one; where some of them are
+taken, they are numbered by counts of SALTS random parts, so that no task gets all of them.
 
 Defined results: a null text or one without words has size 0 and nothing is taken of it; the
 null source is a source; repeated rows are documents of their own and equally likely; a
 source of no words has target 0; an empty table gives no rows; extra columns pass through
-mixed() and are ignored by plan().
+mixed() whatever their names and are ignored by plan().
 """
 
 from __future__ import annotations
@@ -25,14 +27,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize
+from .common import WORD_PATTERN, materialize, packed, unpacked
 
 #: Words that the knapsack fits exactly, after the shares and larger documents have been taken.
 FIT = 8192
 BINS = 4096
+SALTS = 1024
 #: One row a source comes to the driver; more sources than this are refused.
 MAX_SOURCES = 1_000_000
 
@@ -125,56 +128,79 @@ def fit(sizes: np.ndarray, counts: np.ndarray, target: float, most: int, window:
     return passes, out
 
 
+KEYS = ["source_key", "size", "hash"]
+
+
 def sized(docs: DataFrame, mix: Mix) -> DataFrame:
-    """docs with _size, _source (never null) and _hash."""
-    source, text = F.col("source").cast("string"), F.col("text").cast("string")
-    return docs.withColumns(
-        {
-            "_size": F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long"),
-            "_source": F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)),
-            "_hash": F.xxhash64(F.lit(mix.seed), F.col("doc_id").cast("long"), text),
-        }
+    """_row (all columns of docs), doc_id, size, source_key (never null) and hash, which tells doc_id and text."""
+    rows = packed(docs).select("_row", F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_row.text").cast("string").alias("text"), F.col("_row.source").cast("string").alias("source"))
+    return rows.select(
+        "_row",
+        "doc_id",
+        F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source"))).alias("source_key"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.lit(mix.seed), "doc_id", "text").alias("hash"),
     )
 
 
+def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with `place`, 0, 1, ... within each key; rows are read from files and told apart by `at`."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(SALTS)))
+    held = rows.groupBy(*keys, "salt").agg(F.count("*").alias("held"))
+    ahead = F.sum("held").over(Window.partitionBy(*keys).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    held = held.select(*keys, "salt", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "salt").orderBy("at"))
+    return rows.withColumn("rank", rank).join(held, [*keys, "salt"]).withColumn("place", F.col("ahead") + F.col("rank") - 1).drop("salt", "rank", "ahead")
+
+
+def room(whole: str, ahead: str, mine: str) -> Column:
+    """How much of `whole` is left for what holds `mine` behind `ahead` others."""
+    return F.greatest(F.lit(0), F.least(F.col(mine), F.col(whole) - F.coalesce(F.col(ahead), F.lit(0)))).cast("long")
+
+
 def plan(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, copies, taken, and its _hash."""
+    """Per document: doc_id, source, size, source_size, target, copies, taken, source_key and hash."""
     spark = docs.sparkSession
-    rows = materialize(sized(docs, mix).select(F.col("doc_id").cast("long").alias("doc_id"), "_source", "_size", "_hash"), "sizes")
-    counts = rows.groupBy("_source", "_size").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("_source").agg(F.sum(F.col("_size") * F.col("n")).alias("whole")).limit(MAX_SOURCES + 1).collect()
+    rows = materialize(sized(docs, mix).select("doc_id", *KEYS, F.monotonically_increasing_id().alias("at")), "sizes")
+    counts = rows.groupBy("source_key", "size").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("whole")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals.sort(key=lambda r: (r._source == "n", r._source))
+    totals.sort(key=lambda r: (r.source_key == "n", r.source_key))
     weights = [mix.weights[i % len(mix.weights)] for i in range(len(totals))]
     goal = targets([r.whole for r in totals], weights, mix.most)
-    goals = spark.createDataFrame([(r._source, r.whole, g) for r, g in zip(totals, goal)], "_source string, source_size long, target double")
+    goals = spark.createDataFrame([(r.source_key, r.whole, g) for r, g in zip(totals, goal)], "source_key string, source_size long, target double")
     most = mix.most
 
     def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        passes, took = fit(pdf["_size"].to_numpy(), pdf["n"].to_numpy(), float(pdf["target"].iloc[0]), most)
-        return pd.DataFrame({"_source": pdf["_source"], "_size": pdf["_size"], "n": pdf["n"], "passes": np.int64(passes), "took": took})
+        passes, took = fit(pdf["size"].to_numpy(), pdf["n"].to_numpy(), float(pdf["target"].iloc[0]), most)
+        return pd.DataFrame({"source_key": pdf["source_key"], "size": pdf["size"], "n": pdf["n"], "passes": np.int64(passes), "took": took})
 
-    chosen = counts.join(goals.select("_source", "target"), "_source").groupBy("_source").applyInPandas(choose, "_source string, _size long, n long, passes long, took long")
+    chosen = counts.join(goals.select("source_key", "target"), "source_key").groupBy("source_key").applyInPandas(choose, "source_key string, size long, n long, passes long, took long")
     chosen = materialize(chosen, "mix")
-    # ranges of the hash: those before the edge are taken whole
-    bin_ = F.pmod(F.col("_hash"), F.lit(BINS))
-    partly = chosen.where("took > 0 and took < n").select("_source", "_size", "took")
-    bins = rows.withColumn("bin", bin_).groupBy("_source", "_size", "bin").agg(F.count("*").alias("held")).join(partly, ["_source", "_size"])
-    before = F.sum("held").over(Window.partitionBy("_source", "_size").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    bins = bins.withColumn("before", F.coalesce(before, F.lit(0)))
-    bins = bins.select("_source", "_size", "bin", F.greatest(F.lit(0), F.least("held", F.col("took") - F.col("before"))).cast("long").alias("room"), "held")
-    rows = rows.withColumn("bin", bin_)
-    placed = rows.join(bins, ["_source", "_size", "bin"], "left")
-    edge = F.col("room").isNotNull() & (F.col("room") > 0) & (F.col("room") < F.col("held"))
-    rank = F.row_number().over(Window.partitionBy("_source", "_size", "bin").orderBy("_hash"))
-    ranked = placed.where(edge).withColumn("more", (rank <= F.col("room")).cast("long"))
-    sure = placed.where(~edge).withColumn("more", F.when(F.col("room").isNull(), F.lit(None)).otherwise((F.col("room") > 0).cast("long")))
-    one = sure.unionByName(ranked).join(chosen.select("_source", "_size", "passes", (F.col("took") == F.col("n")).cast("long").alias("all")), ["_source", "_size"])
-    copies = F.when(F.col("_size") == 0, F.lit(0)).otherwise(F.col("passes") + F.coalesce("more", "all")).cast("long")
-    one = one.join(goals, "_source").withColumn("copies", copies)
-    source = F.when(F.col("_source") != "n", F.substring("_source", 2, 1 << 30))
-    return one.select("doc_id", source.alias("source"), F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"), "_hash")
+    # equal rows count as one thing of `held` rows; ranges of the hash before the edge are taken whole
+    partly = chosen.where("took > 0 and took < n").select("source_key", "size", "took")
+    things = rows.groupBy(*KEYS).agg(F.count("*").alias("held")).join(partly, ["source_key", "size"]).withColumn("bin", F.pmod("hash", F.lit(BINS)))
+    things = materialize(things, "things")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    bins = things.groupBy("source_key", "size", "bin").agg(F.sum("held").alias("in_bin"), F.first("took").alias("took"))
+    bins = bins.withColumn("ahead", F.sum("in_bin").over(before.partitionBy("source_key", "size").orderBy("bin")))
+    bins = bins.select("source_key", "size", "bin", "in_bin", room("took", "ahead", "in_bin").alias("of_bin"))
+    inside = things.select(*KEYS, "held", "bin").join(bins, ["source_key", "size", "bin"])
+    edge = (F.col("of_bin") > 0) & (F.col("of_bin") < F.col("in_bin"))
+    ranked = inside.where(edge).withColumn("ahead", F.sum("held").over(before.partitionBy("source_key", "size", "bin").orderBy("hash")))
+    ranked = ranked.select(*KEYS, "held", room("of_bin", "ahead", "held").alias("more"))
+    sure = inside.where(~edge).select(*KEYS, "held", F.when(F.col("of_bin") > 0, F.col("held")).otherwise(F.lit(0)).cast("long").alias("more"))
+    extra = materialize(sure.unionByName(ranked), "extra")
+    one = rows.join(chosen.select("source_key", "size", "passes", (F.col("took") == F.col("n")).cast("long").alias("all")), ["source_key", "size"])
+    one = one.join(extra, KEYS, "left")
+    some = F.coalesce((F.col("more") > 0) & (F.col("more") < F.col("held")), F.lit(False))
+    few = numbered(one.where(some), KEYS).withColumn("plus", (F.col("place") < F.col("more")).cast("long")).drop("place")
+    one = one.where(~some).withColumn("plus", F.coalesce((F.col("more") > 0).cast("long"), F.col("all"))).unionByName(few)
+    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("passes") + F.col("plus")).cast("long")
+    one = one.join(goals, "source_key").withColumn("copies", copies)
+    source = F.when(F.col("source_key") != "n", F.substring("source_key", 2, 1 << 30))
+    return one.select("doc_id", source.alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "source_key", "hash")
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -182,13 +208,14 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     Rows that are equal in doc_id, source and text share the copies taken of them.
     """
-    keys = ["doc_id", "_source", "_size", "_hash"]
-    taken = plan(docs, mix).withColumn("_source", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))).withColumnRenamed("size", "_size")
-    taken = taken.groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_equal")).where("_copies > 0")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    rows = sized(docs, mix).alias("a").join(taken.alias("b"), same[0] & same[1] & same[2] & same[3])
-    rows = rows.select("a.*", "b._copies", "b._equal")
-    place = F.when(F.col("_equal") > 1, F.row_number().over(Window.partitionBy(*keys).orderBy("_hash"))).otherwise(F.lit(1))
-    share = F.floor(F.col("_copies") / F.col("_equal")) + (place <= F.col("_copies") % F.col("_equal")).cast("long")
-    rows = rows.withColumn("_share", share).where("_share > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_share")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    taken = plan(docs, mix).groupBy(*KEYS).agg(F.sum("copies").alias("copies"), F.count("*").alias("equal")).where("copies > 0")
+    taken = materialize(taken, "taken")
+    rest = F.col("copies") % F.col("equal")
+    rows = sized(docs, mix).drop("doc_id").join(taken.hint("shuffle_hash"), KEYS).withColumn("share", F.floor(F.col("copies") / F.col("equal")))
+    out = rows.where(rest == 0).select("_row", "share")
+    if not taken.where(rest > 0).isEmpty():
+        uneven = materialize(rows.where(rest > 0).withColumns({"rest": rest, "at": F.monotonically_increasing_id()}), "uneven")
+        placed = numbered(uneven, KEYS)
+        out = out.unionByName(placed.select("_row", (F.col("share") + (F.col("place") < F.col("rest")).cast("long")).alias("share")))
+    out = out.where("share > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("share"))))
+    return unpacked(out, docs)

@@ -1,25 +1,27 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network.
 
-Every word of the vocabulary has a sparse random index vector; its context vector is the sum
-of the index vectors of the words around it in the sample. Words outside the vocabulary go
-by their shape and length. A document is the mean of its words' index and context vectors,
-the logarithm of its length, and the shares of distinct words and of words that occurred one
-or two places before; a network with one hidden layer, fitted by numpy, turns it into a logit, and a temperature fitted on documents that the weights haven't seen makes that
-a probability.
-
-The fit uses at most `sample` labelled documents, chosen by a hash of their id; scoring
-covers whole texts of all documents. Only the text is an input.
+Every word has a row of a table of fixed size, by hash; words that share a row share its
+vectors. A row's index vector is sparse and random; its context vector is the sum of the index
+vectors of the rows around its words, over all documents. Beside that a word has a random
+vector of its shape and length. A document is the mean of its words' index, context and shape
+vectors, the logarithm of its length, and the shares of distinct words and of words that
+occurred one or two places before; a network with one hidden layer, fitted by numpy, turns it
+into a logit, and a temperature fitted on documents that the weights haven't seen makes that a
+probability.
+
+The fit uses at most `sample` labelled documents, chosen by a hash of their id; contexts are
+counted and scores given over whole texts of all documents. Only the text is an input.
 
 Defined results: a null text counts as empty and gets the score of a document without words;
 repeated rows score alike; documents whose labels disagree, or are neither 0 nor 1, aren't
 learned from; without labels of both kinds every score is the share of label 1 (0.5 without
-any); extra columns are not read; an empty table gives no rows.
+any); extra columns are not read by classify() and pass through scored(), which replaces a
+column named like its own (in any case of letters); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,19 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import materialize
+from .common import give_back, map_arrow, materialize, unpacked
 
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-REMEMBERED = 500_000
 
 
 @dataclass(frozen=True)
 class Settings:
     #: The most labelled documents that the fit uses.
     sample: int = 4000
-    #: The most words with vectors of their own, and how often they occur at least.
-    vocabulary: int = 8000
-    least: int = 3
+    #: Rows of the table of word vectors, a power of two up to 2**24; every word has one.
+    rows: int = 1 << 14
     width: int = 48
     ones: int = 4  # non-zero components of an index vector
     reach: int = 2  # words to either side that make the context
@@ -60,7 +60,7 @@ def tokens(text: str | None) -> list[str]:
 
 
 def shape(token: str) -> str:
-    """The stand-in of a word outside the vocabulary."""
+    """Kind and rough length of a word."""
     if token[0].isalpha():
         kind = "X" if token.isupper() else "x" if token.islower() else "Xx" if token[0].isupper() and token[1:].islower() else "xX"
     else:
@@ -68,43 +68,36 @@ def shape(token: str) -> str:
     return f"<{kind} {min(len(token), 20).bit_length()}>"
 
 
-class Vocabulary:
-    """Words to rows: known words first, then a fixed number of rows for shapes, by hash."""
+#: Shapes go by hash to as many vectors.
+SHAPES = 256
+
 
-    SHAPES = 256
+class Codes(dict):
+    """Words to codes: 32 bits of the word's hash (the last give its row) and 8 of its shape's. At most `most` bytes of words are remembered."""
 
-    def __init__(self, words: list[str]):
-        self.rows = {w: i for i, w in enumerate(words)}
-        self.first_shape = len(words)
-        self.size = len(words) + self.SHAPES
-        self.seen: dict[str, int] = {}
+    def __init__(self, most: int = 16_000_000):
+        super().__init__()
+        self.most, self.held = most, 0
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"seen": {}}
+    def __missing__(self, token: str) -> int:
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+        code = self[token] = xxhash.xxh32_intdigest(token) << 8 | xxhash.xxh32_intdigest(shape(token)) % SHAPES
+        self.held += 4 * len(token) + 180
+        return code
 
-    def row(self, token: str) -> int:
-        known = self.rows.get(token)
-        return self.first_shape + xxhash.xxh32_intdigest(shape(token)) % self.SHAPES if known is None else known
+    def of(self, some: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, some), np.int64, len(some))
 
-    def codes(self, some: list[str]) -> np.ndarray:
-        """A code for each word that tells it from others; its last 20 bits are its row."""
-        if len(self.seen) > REMEMBERED:
-            self.seen = {}
-        seen = self.seen
-        try:
-            return np.fromiter(map(seen.__getitem__, some), np.int64, len(some))
-        except KeyError:
-            for t in set(some).difference(seen):
-                seen[t] = xxhash.xxh32_intdigest(t) << 20 | self.row(t)
-            return np.fromiter(map(seen.__getitem__, some), np.int64, len(some))
 
-    def ids(self, some: list[str]) -> np.ndarray:
-        return self.codes(some) & 0xFFFFF
+def word_rows(codes: np.ndarray, s: Settings) -> np.ndarray:
+    return codes >> 8 & (s.rows - 1)
 
 
-def index_vectors(size: int, s: Settings) -> np.ndarray:
-    rng = np.random.default_rng(s.seed)
-    out = np.zeros((size, s.width))
+def index_vectors(size: int, s: Settings, salt: int = 0) -> np.ndarray:
+    rng = np.random.default_rng([s.seed, salt])
+    out = np.zeros((size, s.width), np.float32)
     spots = rng.random((size, s.width)).argsort(axis=1)[:, : s.ones]
     out[np.arange(size)[:, None], spots] = rng.choice([-1.0, 1.0], (size, s.ones))
     return out
@@ -114,19 +107,19 @@ def index_vectors(size: int, s: Settings) -> np.ndarray:
 FIGURES = 3
 
 
-def pooled(texts: list[str | None], vocabulary: Vocabulary, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The mean row of table over each text's words; log(1 + words), share of distinct words, share of words of one or two before."""
-    out = np.zeros((len(texts), table.shape[1]))
+def pooled(texts: list[str | None], codes: Codes, words: np.ndarray, shapes: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The mean over each text's words of their rows of `words` plus their rows of `shapes`; log(1 + words), share of distinct words, share of words of one or two before."""
+    out = np.zeros((len(texts), words.shape[1]))
     figures = np.zeros((len(texts), FIGURES))
     for i, t in enumerate(texts):
-        codes = vocabulary.codes(tokens(t))
-        if n := len(codes):
-            words, counts = np.unique(codes, return_counts=True)
-            out[i] = counts @ table[words & 0xFFFFF] / n
+        of = codes.of(tokens(t))
+        if n := len(of):
+            some, counts = np.unique(of, return_counts=True)
+            out[i] = counts @ (words[word_rows(some, s)] + shapes[some & (SHAPES - 1)]) / n
             again = np.zeros(n, bool)
-            again[1:] = codes[1:] == codes[:-1]
-            again[2:] |= codes[2:] == codes[:-2]
-            figures[i] = np.log1p(n), len(words) / n, again.mean()
+            again[1:] = of[1:] == of[:-1]
+            again[2:] |= of[2:] == of[:-2]
+            figures[i] = np.log1p(n), len(some) / n, again.mean()
     return out, figures
 
 
@@ -184,22 +177,23 @@ def fit_network(x: np.ndarray, y: np.ndarray, s: Settings) -> Network:
 
 @dataclass
 class Model:
-    vocabulary: Vocabulary
-    table: np.ndarray  # index and context vectors of every row, side by side
+    words: np.ndarray  # index and context vectors of every row, side by side, and room for shapes
+    shapes: np.ndarray  # the shapes' vectors in that room
     network: Network | None
     prior: float
+    settings: Settings
 
-    def scorer(self) -> tuple[Vocabulary, np.ndarray, np.ndarray, np.ndarray]:
-        """The first layer is linear in the mean, so it is applied to the words' rows beforehand."""
+    def scorer(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The first layer is linear in the mean, so it is applied to the tables' rows beforehand."""
         net = self.network
         w = net.w1 / net.scale[:, None]
-        return self.vocabulary, self.table @ w[:-FIGURES], w[-FIGURES:], net.b1 - net.mean @ w
+        return self.words @ w[:-FIGURES], self.shapes @ w[:-FIGURES], w[-FIGURES:], net.b1 - net.mean @ w
 
-    def score(self, texts: list[str | None], parts: tuple | None = None) -> np.ndarray:
+    def score(self, texts: list[str | None], parts: tuple | None = None, codes: Codes | None = None) -> np.ndarray:
         if self.network is None:
             return np.full(len(texts), self.prior)
-        vocabulary, rows, by_figure, base = parts or self.scorer()
-        mean, figures = pooled(texts, vocabulary, rows)
+        words, shapes, by_figure, base = parts or self.scorer()
+        mean, figures = pooled(texts, Codes() if codes is None else codes, words, shapes, self.settings)
         net = self.network
         logit = np.tanh(mean + figures @ by_figure + base) @ net.w2 + net.b2
         return 1 / (1 + np.exp(-np.clip(logit / net.temperature, -40, 40)))
@@ -219,80 +213,97 @@ def sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
     return materialize(rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), "sample")
 
 
-def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
-    spark = docs.sparkSession
-    some = sample(docs, labels, s)
+def add_contexts(out: np.ndarray, rows: np.ndarray, index: np.ndarray, reach: int) -> None:
+    """Add to each row of out the index vectors of the rows up to `reach` places beside it; -1 parts texts."""
+    size = len(out)
+    for step in range(1, reach + 1):
+        a, b = rows[:-step], rows[step:]
+        fine = (a >= 0) & (b >= 0)
+        pair, n = np.unique(a[fine] * size + b[fine], return_counts=True)
+        for x, y in ((pair // size, pair % size), (pair % size, pair // size)):
+            order = np.argsort(x, kind="stable")
+            x, y, times = x[order], y[order], n[order]
+            at = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+            for start in range(0, len(at), 2048):  # bounds the gathered rows
+                end = at[start + 2048] if start + 2048 < len(at) else len(x)
+                cut = slice(at[start], end)
+                out[x[at[start : start + 2048]]] += np.add.reduceat(times[cut, None] * index[y[cut]], at[start : start + 2048] - at[start], axis=0)
+
+
+def contexts(docs: DataFrame, s: Settings) -> np.ndarray:
+    """The context vectors of all rows over all documents: one table of fixed size. Tasks' tables are added up in steps of 16."""
+    schema = "x binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[str] = Counter()
-        for batch in batches:
-            for part in common.small_batches(iter([batch]), "text"):
-                for t in part.column("text").to_pylist():
-                    found.update(tokens(t))
-        yield pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-
-    counts = some.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= s.least)
-    words = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(s.vocabulary).collect()]
-    vocabulary = Vocabulary(sorted(words))
-    index = index_vectors(vocabulary.size, s)
-    size, reach = vocabulary.size, s.reach
-    held = spark.sparkContext.broadcast((vocabulary, index))
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, vectors = held.value
-        out = np.zeros((size, vectors.shape[1]))
+        index, codes = index_vectors(s.rows, s), Codes()
+        out, gap = np.zeros((s.rows, s.width)), np.full(s.reach, -1)
+        for some in common.small_batches(batches, "text", 1_000_000):
+            texts = [word_rows(codes.of(tokens(t)), s) for t in some.column("text").to_pylist()]
+            add_contexts(out, np.concatenate([x for t in texts for x in (t, gap)]), index, s.reach)
+        yield pa.record_batch([pa.array([out.astype("<f8").tobytes()], pa.binary())], names=["x"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(s.rows * s.width)
         for batch in batches:
-            for part in common.small_batches(iter([batch]), "text"):
-                texts = [known.ids(tokens(t)) for t in part.column("text").to_pylist()]
-                ids = np.concatenate([np.append(t, np.full(reach, -1)) for t in texts]) if texts else np.zeros(0, np.int64)
-                for step in range(1, reach + 1):
-                    a, b = ids[:-step], ids[step:]
-                    fine = (a >= 0) & (b >= 0)
-                    pair, n = np.unique(a[fine] * size + b[fine], return_counts=True)
-                    x, y = pair // size, pair % size
-                    for left, right in ((x, y), (y, x)):
-                        np.add.at(out, left, n[:, None] * vectors[right])
-        yield pa.record_batch([pa.array([out.astype("<f8").tobytes()], pa.binary())], names=["table"])
-
-    context = np.zeros_like(index)
+            for x in batch.column("x"):
+                out += np.frombuffer(x.as_buffer(), "<f8")
+        yield pa.record_batch([pa.array([out.astype("<f8").tobytes()], pa.binary())], names=["x"])
+
     # the sums are of whole numbers, so their order doesn't matter
-    for row in some.select("text").repartition(6).mapInArrow(contexts, "table binary").toLocalIterator():
-        context += np.frombuffer(row.table, "<f8").reshape(index.shape)
+    rows = docs.select(F.col("text").cast("string").alias("text"))
+    tables = map_arrow(rows, count, schema)
+    left = rows.rdd.getNumPartitions()
+    while left > 1:
+        left = -(-left // 16)
+        tables = map_arrow(tables.repartition(left), add, schema)
+    out = np.zeros(s.rows * s.width)
+    for row in tables.collect():  # one table
+        out += np.frombuffer(row.x, "<f8")
+    return out.reshape(s.rows, s.width)
+
+
+def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
+    spark = docs.sparkSession
+    context = contexts(docs, s)
     norm = np.linalg.norm(context, axis=1, keepdims=True)
-    table = np.concatenate([index, context / np.where(norm > 0, norm, 1)], axis=1)
-    both = spark.sparkContext.broadcast((vocabulary, table))
+    none = np.zeros((s.rows, s.width), np.float32)
+    words = np.concatenate([index_vectors(s.rows, s), (context / np.where(norm > 0, norm, 1)).astype(np.float32), none], axis=1)
+    shapes = np.concatenate([none[:SHAPES], none[:SHAPES], index_vectors(SHAPES, s, 1)], axis=1)
+    both = spark.sparkContext.broadcast((words, shapes))
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, vectors = both.value
-        for batch in batches:
-            for part in common.small_batches(iter([batch]), "text"):
-                x = np.concatenate(pooled(part.column("text").to_pylist(), known, vectors), axis=1)
-                yield pa.record_batch([part.column("doc_id"), part.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
+        codes, (by_word, by_shape) = Codes(), both.value
+        for part in common.small_batches(batches, "text"):
+            x = np.concatenate(pooled(part.column("text").to_pylist(), codes, by_word, by_shape, s), axis=1)
+            yield pa.record_batch([part.column("doc_id"), part.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = some.select("doc_id", "y", "text").mapInArrow(pool, "doc_id long, y int, x binary").collect()
+    some = sample(docs, labels, s)
+    rows = map_arrow(some.select("doc_id", "y", "text"), pool, "doc_id long, y int, x binary").collect()  # s.sample rows at most
+    common.discard(some)
+    both.unpersist()
     rows.sort(key=lambda r: r.doc_id)
     y = np.array([r.y for r in rows], float)
     prior = float(y.mean()) if len(y) else 0.5
-    if len(set(y)) < 2:
-        return Model(vocabulary, table, None, prior)
-    return Model(vocabulary, table, fit_network(np.stack([np.frombuffer(r.x) for r in rows]), y, s), prior)
+    network = fit_network(np.stack([np.frombuffer(r.x) for r in rows]), y, s) if len(set(y)) == 2 else None
+    give_back()
+    return Model(words, shapes, network, prior, s)
 
 
 def scored(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
     """docs with score added to their columns (in place of one of that name)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != "score"]
-    schema = docs.select(*(F.col(f"`{c}`") for c in names)).withColumn("score", F.lit(0.0)).schema
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"))
+    rows = docs.select(rest.alias("_row"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = held.value
+        fitted, codes = held.value, Codes()
         parts = fitted.scorer() if fitted.network is not None else None
-        for batch in batches:
-            for some in common.small_batches(iter([batch]), "text"):
-                score = fitted.score(some.column("text").to_pylist(), parts)
-                yield pa.record_batch([*some.columns, pa.array(score)], names=[*names, "score"])
+        for some in common.small_batches(batches, "text"):
+            score = fitted.score(some.column("text").to_pylist(), parts, codes)
+            yield pa.record_batch([some.column("_row"), some.column("text"), pa.array(score)], names=["_row", "text", "score"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, schema)
+    out = map_arrow(rows, run, rows.withColumn("score", F.lit(0.0)).schema)
+    return unpacked(out, docs, {"text": F.col("text")}, {"score": F.col("score")})
 
 
 def classify(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:

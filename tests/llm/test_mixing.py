@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -83,3 +84,32 @@ def test_mixed_repeats_rows(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.plan(none).count() == 0 and mixing.mixed(none).count() == 0
+
+
+def test_equal_rows_share_what_is_taken_of_them(spark):
+    """A third of all rows are the same row, without a doc_id."""
+    rows = [(None, "one and the same text", "b", 1, "x")] * 200 + [(i, f"text number {i} of the rest " + "w " * (i % 9), "abc"[i % 3], 2, "y") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies int, HASH string").repartition(5)
+    plan = mixing.plan(docs).collect()
+    again = sorted((str(r.doc_id), r.copies) for r in mixing.plan(docs.repartition(2)).collect())
+    assert sorted((str(r.doc_id), r.copies) for r in plan) == again
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    got = Counter(r.doc_id for r in out.collect())
+    assert got == Counter({d: n for d in {r.doc_id for r in plan} if (n := sum(r.copies for r in plan if r.doc_id == d))})
+    for source in "abc":
+        mine = [r for r in plan if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 2 and max(r.copies for r in mine) <= 3
+
+
+def test_rows_are_numbered_without_holding_a_key(spark):
+    rows = spark.range(5000).selectExpr("id % 3 as k", "id as at")
+    got = mixing.numbered(rows, ["k"]).collect()
+    for k in range(3):
+        assert sorted(r.place for r in got if r.k == k) == list(range(sum(r.k == k for r in got)))
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 2_000_000, "a"), (2, "b " * 10, "b"), (3, "", "c")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.plan(docs).collect()}
+    assert got[1].size == 2_000_000 and got[2].size == 10 and got[3].taken == 0

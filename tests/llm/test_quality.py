@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from lodestone.llm import quality
 
 
@@ -49,3 +51,47 @@ def test_few_labels_and_empty_tables(spark):
     assert {r.score for r in quality.classify(docs, ones).collect()} == {1.0}
     assert quality.classify(docs.limit(0), none).count() == 0
     assert quality.scored(docs.withColumn("z", docs.doc_id), quality.train(docs, ones)).columns == ["doc_id", "text", "z", "score"]
+
+
+def test_contexts_are_those_of_all_documents(spark):
+    """The table of contexts against plain counting, word by word."""
+    s = quality.Settings(rows=64, width=6, ones=2)
+    texts = ["a b c a b", "b", "", None, "c c d 7 !!", "e f g h i j k l m n o p"] * 3
+    got = quality.contexts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), s)
+    index, codes, want = quality.index_vectors(64, s), quality.Codes(), np.zeros((64, 6))
+    for t in texts:
+        rows = quality.word_rows(codes.of(quality.tokens(t)), s)
+        for i, x in enumerate(rows):
+            for j in range(max(0, i - s.reach), min(len(rows), i + s.reach + 1)):
+                want[x] += index[rows[j]] if i != j else 0
+    assert np.allclose(got, want)
+
+
+def test_score_on_fixed_weights(spark):
+    """Scores of the operator against the formula, a word at a time."""
+    s = quality.Settings(rows=32, width=4, ones=2, hidden=3)
+    rng = np.random.default_rng(1)
+    words, shapes, size = rng.standard_normal((32, 12)), rng.standard_normal((256, 12)), 12 + quality.FIGURES
+    net = quality.Network(rng.standard_normal(size), np.ones(size) * 2, rng.standard_normal((size, 3)), rng.standard_normal(3), rng.standard_normal(3), 0.3, 1.7)
+    model = quality.Model(words, shapes, net, 0.5, s)
+    rows = [(1, "one two two one", 5), (2, None, 6), (3, "x", 7)]
+    got = {r.doc_id: r.score for r in quality.scored(spark.createDataFrame(rows, "doc_id long, text string, SCORE int"), model, s).collect()}
+    for d, text, _ in rows:
+        t = (text or "").split()
+        x = np.zeros(size)
+        for w in t:
+            code = quality.Codes()[w]
+            x[:12] += (words[code >> 8 & 31] + shapes[code & 255]) / len(t)
+        if t:
+            x[12:] = np.log1p(len(t)), len(set(t)) / len(t), np.mean([w in t[max(0, i - 2) : i] for i, w in enumerate(t)])
+        assert abs(got[d] - net.probabilities(x[None])[0]) < 1e-9
+
+
+def test_clashing_names_and_a_very_long_text(spark):
+    docs, labels, _ = corpus(spark, 200)
+    long = spark.createDataFrame([(5000, "ta ri mo " * 1_000_000, "x")], docs.schema)
+    docs = docs.unionByName(long).withColumnRenamed("score", "SCORE").selectExpr("*", "1 as _row", "doc_id as y")
+    out = quality.scored(docs, quality.train(docs, labels))
+    assert out.columns == ["doc_id", "text", "_row", "y", "score"]
+    got = {r.doc_id: r.score for r in out.select("doc_id", "score").collect()}
+    assert 0 <= got[5000] <= 1 and len(got) > 200
