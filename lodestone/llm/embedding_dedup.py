@@ -4,8 +4,11 @@ Vectors of one label and the same components form a class. Each class is hashed
 tables by the signs of its products with random hyperplanes. Classes that meet in a bucket
 are compared by their cosine in double precision; a pair is counted in the first table in
 which it meets, so that links are counted once and never listed: a bucket gives each class
-its number of links, and a forest that connects what is linked. Buckets too large for a task
-are dealt out as pairs of blocks.
+its number of links, and a forest that connects what is linked. Tables in which the same
+classes meet count as one, their first: ids only are dealt out until that is known, and what
+lies close together, and so meets in most tables, travels once. Buckets too large for a task
+are dealt out as pairs of blocks. Components travel in single precision where that holds them
+exactly, and are compared in double precision.
 
 The number of tables follows from the signs' agreement at the threshold and `miss`, the
 chance that a pair at the threshold meets in none; the width of a sign from the number of
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, graph
-from .common import materialize
+from .common import map_arrow, materialize, perhaps_in
 from .signature_trees import UnionFind
 
 
@@ -56,8 +59,19 @@ def sign_codes(vectors: np.ndarray, bits: int, tables: int, seed: int) -> np.nda
     return (signs << np.arange(bits, dtype=np.int64)).sum(axis=2)
 
 
+def pack(v: np.ndarray) -> bytes:
+    """A letter for the width of the numbers, and the numbers."""
+    with np.errstate(over="ignore"):
+        single = v.astype("<f4")
+    return b"f" + single.tobytes() if (single == v).all() else b"d" + v.astype("<f8").tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<f4" if data[:1] == b"f" else "<f8", offset=1).astype(np.float64)
+
+
 def classified(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, print (16 bytes that stand for the components) and vec (float64 bytes); print is null where nothing links."""
+    """vec_id, label, print (16 bytes that stand for the components) and vec (packed components); print is null where nothing links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,11 +80,11 @@ def classified(vectors: DataFrame) -> DataFrame:
                 v = None if x is None or label is None or None in x else np.array(x, np.float64) + 0.0  # no -0.0
                 fine = v is not None and len(v) and np.isfinite(v).all() and v.any()
                 prints.append(hashlib.blake2b(v.tobytes(), digest_size=16).digest() if fine else None)
-                out.append(v.tobytes() if fine else None)
+                out.append(pack(v) if fine else None)
             yield pa.record_batch([batch.column("vec_id"), batch.column("label"), pa.array(prints, pa.binary()), pa.array(out, pa.binary())], names=["vec_id", "label", "print", "vec"])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.mapInArrow(run, "vec_id long, label string, print binary, vec binary")
+    return map_arrow(rows, run, "vec_id long, label string, print binary, vec binary")
 
 
 def compare(one: np.ndarray, two: np.ndarray | None, codes_one: np.ndarray, codes_two: np.ndarray | None, table: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -95,26 +109,34 @@ def links(classes: DataFrame, how: Dedup) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = [np.frombuffer(v.as_py()) for v in batch.column("vec")]
+            vectors = [unpack(v.as_py()) for v in batch.column("vec")]
             sizes = np.array([len(v) for v in vectors])
             codes = np.zeros((len(vectors), tables), np.int64)
             for dim in np.unique(sizes):
                 mine = np.flatnonzero(sizes == dim)
                 x = np.stack([vectors[i] for i in mine])
                 codes[mine] = sign_codes(x / np.linalg.norm(x, axis=1, keepdims=True), bits, tables, seed)
-            flat = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, tables, dtype=np.int32), codes.ravel())
-            yield pa.record_batch([batch.column(c) for c in ("cid", "label", "vec", "copies")] + [pa.array(sizes), flat], names=["cid", "label", "vec", "copies", "dim", "codes"])
-
-    signed = materialize(classes.select("cid", "label", "vec", "copies").mapInArrow(hashed, "cid long, label string, vec binary, copies long, dim long, codes array<long>"), "signs")
-    spots = signed.select("cid", "label", "dim", F.posexplode("codes").alias("table", "code"))
-    unit = F.xxhash64("label", "dim", "table", "code")
-    spots = spots.select("cid", "table", unit.alias("unit"))
-    full = spots.groupBy("unit").agg(F.count("*").alias("m")).where("m > 1")
+            width = "<i4" if bits < 32 else "<i8"
+            packed = [np.ascontiguousarray(row, width).tobytes() for row in codes]
+            yield pa.record_batch([batch.column(c) for c in ("cid", "label", "vec", "copies")] + [pa.array(sizes), pa.array(packed, pa.binary())], names=["cid", "label", "vec", "copies", "dim", "codes"])
+
+    signed = materialize(map_arrow(classes.select("cid", "label", "vec", "copies"), hashed, "cid long, label string, vec binary, copies long, dim long, codes binary"), "signs")
+    piece = 4 if bits < 32 else 8
+    code = F.substring("codes", F.col("table") * piece + 1, F.lit(piece))
+    spots = signed.select("cid", "label", "dim", "codes", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("table"))
+    spots = spots.select("cid", "table", F.xxhash64("label", "dim", "table", code).alias("unit"))
+    marks = [F.count("*").alias("m"), F.bit_xor("cid").alias("x"), F.bit_xor(F.xxhash64("cid")).alias("y"), F.first("table").alias("table")]
+    full = spots.groupBy("unit").agg(*marks).where("m > 1")
+    # units of the same members count once, in their first table
+    full = full.groupBy("m", "x", "y").agg(F.min(F.struct("table", "unit")).alias("at")).select("m", "at.table", "at.unit")
+    full = materialize(full, "buckets")
     blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    spots = spots.join(full, "unit").select("unit", "table", "cid", F.pmod(F.xxhash64("cid", "unit"), blocks).cast("int").alias("part"), blocks.alias("parts"))
+    spots = perhaps_in(spots.select("cid", "unit"), F.col("unit"), full, "unit").join(full, "unit")
+    spots = spots.select("unit", "table", "cid", F.pmod(F.xxhash64("cid", "unit"), blocks).cast("int").alias("part"), blocks.alias("parts"))
     spots = spots.withColumn("other", F.expr("explode(sequence(0, parts - 1))"))
     spots = spots.select("unit", "table", "cid", "part", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
-    rows = spots.join(signed, "cid")
+    spots = materialize(spots, "spots")
+    rows = spots.join(perhaps_in(signed, F.col("cid"), spots, "cid"), "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in common.units(batches, "unit", "one", "two"):
@@ -125,8 +147,8 @@ def links(classes: DataFrame, how: Dedup) -> DataFrame:
                 some = unit.filter(pa.array((labels == label) & (at == table) & (dims == dim)))
                 if some.num_rows < 2:
                     continue
-                codes = np.stack(some.column("codes").to_numpy())
-                x = np.stack([np.frombuffer(v.as_py()) for v in some.column("vec")])
+                codes = np.stack([np.frombuffer(c.as_py(), "<i4" if piece == 4 else "<i8") for c in some.column("codes")])
+                x = np.stack([unpack(v.as_py()) for v in some.column("vec")])
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 cid, copies, part = (some.column(c).to_numpy() for c in ("cid", "copies", "part"))
                 if unit.column("one")[0].as_py() == unit.column("two")[0].as_py():
@@ -147,7 +169,7 @@ def links(classes: DataFrame, how: Dedup) -> DataFrame:
                 yield pa.record_batch([pa.array(cid[a]), pa.array(cid[b]), pa.array(np.zeros(len(a), np.int64))], names=["a", "b", "w"])
 
     rows = rows.repartition("unit", "one", "two").sortWithinPartitions("unit", "one", "two")
-    return rows.select("unit", "one", "two", "part", "table", "cid", "label", "dim", "copies", "codes", "vec").mapInArrow(run, "a long, b long, w long")
+    return map_arrow(rows.select("unit", "one", "two", "part", "table", "cid", "label", "dim", "copies", "codes", "vec"), run, "a long, b long, w long")
 
 
 def component_table(vectors: DataFrame, how: Dedup = Dedup()) -> DataFrame:

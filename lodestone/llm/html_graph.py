@@ -24,6 +24,7 @@ import functools
 import html as html_lib
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -62,17 +63,28 @@ class Tree:
     labels: list[int] = field(default_factory=list)  # 1, 0 or -1 where nothing is marked
 
 
+#: For an opening tag, which open elements end, and which keep those outside them open.
+_ALIKE = {"li": (("li",), ("ul", "ol")), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",)), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",))}
+
+
 def parse(page: str) -> Tree:
-    """The tree of a page's blocks; scripts, styles and the like have no node."""
+    """The tree of a page's blocks; scripts, styles and the like have no node.
+
+    As browsers do, a slash at the end of a tag closes only what can't hold anything. Open
+    elements are counted by name, so that deep pages take time in proportion to their length.
+    """
     tree = Tree()
     stack: list[tuple[str, int]] = []  # open elements; node -1 for inline ones
+    blocks: list[int] = []  # nodes of the open elements that have one
+    shallow: list[Counter[str]] = []  # for each of these, the inline elements open right in it
+    held: Counter[str] = Counter()  # open elements by name
     run: list[str] = []
-    state = {"linked": 0, "depth": 0}
+    state = {"linked": 0}
     uneven: set[str] = set()  # names whose tags don't pair up
     unclosed: set[str] = set()  # names without a further closing tag
 
     def node(kind: str, marks: str, linked: int = 0, label: int = -1) -> int:
-        parent = next((n for _, n in reversed(stack) if n >= 0), -1)
+        parent = blocks[-1] if blocks else -1
         tree.parent.append(parent)
         tree.kind.append(kind)
         tree.marks.append(marks)
@@ -80,6 +92,36 @@ def parse(page: str) -> Tree:
         tree.labels.append(label if label >= 0 or parent < 0 else tree.labels[parent])
         return len(tree.kind) - 1
 
+    def push(name: str, at: int) -> None:
+        stack.append((name, at))
+        held[name] += 1
+        if at < 0:
+            shallow[-1][name] += 1
+        else:
+            blocks.append(at)
+            shallow.append(Counter())
+
+    def pop(spot: int) -> None:
+        while len(stack) > spot:
+            name, at = stack.pop()
+            held[name] -= 1
+            if at < 0:
+                shallow[-1][name] -= 1
+            else:
+                blocks.pop()
+                shallow.pop()
+
+    def find(names: tuple[str, ...], until: tuple[str, ...] = ()) -> int:
+        """The place of the innermost open element of these names, 0 if there is none or one of `until` comes first."""
+        if not any(held[x] for x in names):
+            return 0
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i][0] in until:
+                return 0
+            if stack[i][0] in names:
+                return i
+        return 0
+
     def flush() -> None:
         text = " ".join(html_lib.unescape("".join(run)).split())
         if text:
@@ -89,9 +131,7 @@ def parse(page: str) -> Tree:
 
     def close(at: int) -> None:
         flush()
-        for name, _ in stack[at:]:
-            state["depth"] -= name == "a"
-        del stack[at:]
+        pop(at)
 
     def past(name: str, at: int) -> int:
         """Where an element without a node ends; without a closing tag only script and style take the rest of the page."""
@@ -111,8 +151,7 @@ def parse(page: str) -> Tree:
         unclosed.add(name)
         return n if name in ("script", "style") else at
 
-    node("html", "")
-    stack.append(("#root", 0))
+    push("#root", node("html", ""))
     at, n = 0, len(page)
     while at < n:
         tag = page.find("<", at)
@@ -121,7 +160,7 @@ def parse(page: str) -> Tree:
         if tag > at:
             piece = page[at:tag]
             run.append(piece)
-            if state["depth"]:
+            if held["a"]:
                 state["linked"] += len(piece)
         if tag == n:
             break
@@ -144,14 +183,10 @@ def parse(page: str) -> Tree:
         name = named.group().lower()
         if name[0] == "/":
             name = name[1:]
-            spot = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if not spot:
-                continue
             if name in INLINE:
-                if all(x in INLINE for x, _ in stack[spot:]):
-                    state["depth"] -= sum(x == "a" for x, _ in stack[spot:])
-                    del stack[spot:]
-            else:
+                if shallow[-1][name]:  # else it is open around a block, or not at all
+                    pop(find((name,)))
+            elif spot := find((name,)):
                 close(spot)
             continue
         if name == "head":  # its own elements have no node either
@@ -168,30 +203,21 @@ def parse(page: str) -> Tree:
             else:
                 run.append(" " if name == "br" else "")
             continue
-        if page[end - 2 : end] == "/>":
-            continue
         if name in INLINE:
-            stack.append((name, -1))
-            state["depth"] += name == "a"
+            if name not in MATH or page[end - 2 : end] != "/>":
+                push(name, -1)
             continue
         flush()
-        if name in PARAGRAPH_ENDS:
-            spot = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
-            if spot:
-                close(spot)
-        alike = {"li": ("li", "ul ol"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tr": ("tr", "table"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select")}.get(name)
-        if alike:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in alike[1].split():
-                    break
-                if stack[i][0] in alike[0].split():
-                    close(i)
-                    break
+        if name in PARAGRAPH_ENDS and (spot := find(("p",))):
+            close(spot)
+        alike, until = _ALIKE.get(name, ((), ()))
+        if spot := find(alike, until):
+            close(spot)
         rest = page[named.end() : end]
         found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(rest)} if "=" in rest or "hidden" in rest else {}
         marks = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')} {'hidden' if 'hidden' in found or 'display:none' in found.get('style', '').replace(' ', '') else ''}".lower()
         label = {"1": 1, "0": 0}.get(found.get("data-content", ""), -1)
-        stack.append((name, node(name, marks, 0, label)))
+        push(name, node(name, marks, 0, label))
     flush()
     return tree
 
@@ -458,10 +484,9 @@ def extract_pages(pages: DataFrame, model: Model | None = None) -> DataFrame:
     fitted = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in common.small_batches(iter([batch]), "html"):
-                text = extract(some.column("html").to_pylist(), fitted)
-                yield pa.record_batch([some.column("page_id"), some.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        for some in common.small_batches(batches, "html"):
+            text = extract(some.column("html").to_pylist(), fitted)
+            yield pa.record_batch([some.column("page_id"), some.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return common.map_arrow(rows, run, "page_id long, url string, text string, n_chars long")

@@ -4,7 +4,9 @@ Per text: counts of words, symbols and repeated lines, and its repeated substrin
 words of a batch of texts make one sequence; prefix doubling sorts its suffixes, where a
 suffix's first key is (text, word), so that nothing is equal across texts. The longest
 common prefixes of neighbours in that order give, for every place, the longest substring
-that starts there and occurs again. A repeat is maximal when it can't be extended to the
+that starts there and occurs again. They are compared directly only where the words before
+differ; everywhere else the prefix is one word shorter than the one before (the sum of those
+compared is at most n log n), so a text needs a few arrays of its length and no more. A repeat is maximal when it can't be extended to the
 left either; the union of the maximal repeats' spans gives the covered fraction, and the
 highest LCP the longest repeat.
 
@@ -49,32 +51,34 @@ class Rules:
     max_repeat_share: float = 0.15
 
 
-def suffix_levels(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The order of all suffixes, and for widths 1, 2, 4, ... their ranks by the first `width` words.
+def suffix_order(keys: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The order of all suffixes, each up to the end of its text.
 
-    keys are equal for equal words of one text only, and rise with the text. Equal ranks
-    mean equal whole prefixes: a suffix that ends earlier has a rank of its own. Each round
-    sorts only the suffixes that still share a rank.
+    keys are equal for equal words of one text only, and rise with the text. A suffix that
+    ends earlier comes first. Each round sorts only the suffixes that still share a rank.
     """
     n = len(keys)
-    ends = np.searchsorted(text, text, side="right")
-    order = np.argsort(keys, kind="stable")
+    kind = np.int32 if n < 1 << 31 else np.int64
+    ends = np.searchsorted(text, text, side="right").astype(kind)
+    order = np.argsort(keys, kind="stable").astype(kind)
     ordered = keys[order]
     new = np.ones(n, bool)
     new[1:] = ordered[1:] != ordered[:-1]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    levels, width = [rank.copy()], 1
+    del ordered
+    rank = np.empty(n, kind)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=kind), 0))
+    width = 1
     while True:
         sizes = np.diff(np.append(np.flatnonzero(new), n))
         if not (sizes > 1).any():
-            return order, levels
-        spots = np.flatnonzero(np.repeat(sizes > 1, sizes))
+            return order
+        spots = np.flatnonzero(np.repeat(sizes > 1, sizes)).astype(kind)
         who = order[spots]
-        after = who + width
+        after = who + kind(width)
         inside = after < ends[who]
-        following = np.full(len(who), -1, np.int64)
+        following = np.full(len(who), -1, kind)
         following[inside] = rank[after[inside]]
+        del after, inside
         group = rank[who]
         by = np.lexsort((following, group))
         who, following, group = who[by], following[by], group[by]
@@ -84,7 +88,30 @@ def suffix_levels(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, list[
         new[spots] = first
         rank[who] = np.maximum.accumulate(np.where(first, spots, 0))
         width *= 2
-        levels.append(rank.copy())
+
+
+def agreeing(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many keys from places a and b on are equal; a key tells its text, so this ends where a text does."""
+    n, out = len(keys), np.zeros(len(a), np.int64)
+    left = np.arange(len(a))
+    step = 0
+    while len(left) > 64:  # word by word for the many, which mostly differ soon
+        x, y = a[left] + step, b[left] + step
+        same = (x < n) & (y < n)
+        same[same] = keys[x[same]] == keys[y[same]]
+        out[left[~same]] = step
+        left = left[same]
+        step += 1
+    for i in left.tolist():  # by stretches for the few
+        x, y, size = int(a[i]) + step, int(b[i]) + step, 64
+        while True:
+            size = min(size, n - max(x, y))
+            differ = np.flatnonzero(keys[x : x + size] != keys[y : y + size])
+            if len(differ) or not size:
+                out[i] = x - int(a[i]) + (int(differ[0]) if len(differ) else 0)
+                break
+            x, y, size = x + size, y + size, min(2 * size, 1 << 16)
+    return out
 
 
 def longest_matches(keys: np.ndarray, text: np.ndarray, least: int) -> np.ndarray:
@@ -93,22 +120,22 @@ def longest_matches(keys: np.ndarray, text: np.ndarray, least: int) -> np.ndarra
     match = np.zeros(n, np.int64)
     if n < 2:
         return match
-    order, levels = suffix_levels(keys, text)
-    base = min(least.bit_length() - 1, len(levels) - 1)
-    if 1 << base > least:
-        base -= 1
-    a, b = order[:-1], order[1:]
-    near = np.flatnonzero(levels[base][a] == levels[base][b])
-    a, b = a[near], b[near]
-    lcp = np.zeros(len(near), np.int64)
-    for power in range(len(levels) - 1, -1, -1):
-        x, y = a + lcp, b + lcp
-        inside = (x < n) & (y < n)
-        same = inside & (levels[power][np.where(inside, x, 0)] == levels[power][np.where(inside, y, 0)])
-        lcp[same] += 1 << power
-    lcp[lcp < least] = 0
-    np.maximum.at(match, a, lcp)
-    np.maximum.at(match, b, lcp)
+    order = suffix_order(keys, text)
+    before = np.full(n, -1, order.dtype)  # whose suffix comes just before this one
+    before[order[1:]] = order[:-1]
+    at = np.arange(n)
+    fresh = (before <= 0) | (at == 0)
+    later = np.flatnonzero(~fresh)
+    fresh[later] = keys[later - 1] != keys[before[later] - 1]
+    spots = np.flatnonzero(fresh & (before >= 0))
+    prefix = np.zeros(n, np.int64)
+    prefix[spots] = agreeing(keys, spots, before[spots].astype(np.int64))
+    start = np.maximum.accumulate(np.where(fresh, at, 0))
+    prefix = np.maximum(prefix[start] - (at - start), 0)
+    prefix[prefix < least] = 0
+    match = prefix
+    ahead = before >= 0
+    np.maximum.at(match, before[ahead], prefix[ahead].copy())
     return match
 
 
@@ -175,4 +202,4 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(out[c].to_numpy()) for c in out)], names=["doc_id", *out])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return common.map_arrow(rows, run, SCHEMA)

@@ -34,7 +34,7 @@ import os
 import string
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -235,7 +235,7 @@ def pack_shard(doc_ids: list[int | None], payloads: list[bytes], part: int, seq:
     head = {"part": part, "seq": seq, "n_docs": len(doc_ids), "n_ids": int(starts[-1]), "width": width, "sections": places, "levels": index.places}
     blob = b"".join([MAGIC, json.dumps(head).encode().ljust(HEADER), *sections.values()])
     some = [d for d in doc_ids if d is not None]
-    line = {"part": part, "seq": seq, "n_docs": len(doc_ids), "n_ids": head["n_ids"], "least": some[0] if some else None, "most": some[-1] if some else None}
+    line = {"part": part, "seq": seq, "n_docs": len(doc_ids), "n_ids": head["n_ids"], "least": some[0] if some else None, "most": some[-1] if some else None, "nulls": int(null.sum())}
     return blob, line
 
 
@@ -290,22 +290,21 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_ids
             blob, line = pack_shard(ids, payloads, part, seq, width)
             return pa.record_batch([pa.array(["ids", "manifest"]), pa.array([blob, json.dumps(line).encode()], pa.binary())], names=["kind", "value"])
 
-        for batch in batches:
-            for some in common.small_batches(iter([batch]), "text"):
-                for doc_id, payload in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text").to_pylist()), strict=True):
-                    ids.append(doc_id)
-                    payloads.append(payload + end)
-                    held += len(payload) // width + 1
-                    if held >= shard_ids:
-                        yield close()
-                        seq, held, ids, payloads = seq + 1, 0, [], []
+        for some in common.small_batches(batches, "text"):
+            for doc_id, payload in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text").to_pylist()), strict=True):
+                ids.append(doc_id)
+                payloads.append(payload + end)
+                held += len(payload) // width + 1
+                if held >= shard_ids:
+                    yield close()
+                    seq, held, ids, payloads = seq + 1, 0, [], []
         if ids:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the text's hash lets the documents of one doc_id fall into several ranges
     ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(F.asc_nulls_first("doc_id"), "tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie")
-    blobs = ordered.select("doc_id", "text").mapInArrow(run, "kind string, value binary")
+    blobs = common.map_arrow(ordered.select("doc_id", "text"), run, "kind string, value binary")
     writer = blobs.select("kind", F.col("value").cast("string").alias("value")).write.partitionBy("kind")
     writer.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
@@ -316,12 +315,12 @@ def _missing(spark: SparkSession, path: str) -> bool:
     return not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def shards(spark: SparkSession, path: str) -> DataFrame:
-    """(content binary): the shard files."""
-    if _missing(spark, f"{path}/kind=ids"):
+def shards(spark: SparkSession, path: str, parts: list[int] | None = None) -> DataFrame:
+    """(content binary): the shard files, or those of some parts."""
+    if _missing(spark, f"{path}/kind=ids") or parts == []:
         return spark.createDataFrame([], "content binary")
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
-    return spark.read.format("binaryFile").schema(schema).load(f"{path}/kind=ids").select("content")
+    return spark.read.format("binaryFile").schema(schema).load(f"{path}/kind=ids" if parts is None else [f"{path}/kind=ids/part-{p:05d}-*" for p in parts]).select("content")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -332,13 +331,13 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     """
     none = _missing(spark, f"{path}/kind=manifest")
     lines = spark.createDataFrame([], "value string") if none else spark.read.schema("value string").text(f"{path}/kind=manifest")
-    line = lines.select(F.from_json("value", "part long, seq long, n_docs long, n_ids long, least long, most long").alias("x")).select("x.*")
+    line = lines.select(F.from_json("value", "part long, seq long, n_docs long, n_ids long, least long, most long, nulls long").alias("x")).select("x.*")
     line = line.withColumn("block", F.floor(F.col("part") / 1024))
     block = line.groupBy("block").agg(F.sum("n_ids").alias("total"))
     whole = "rows between unbounded preceding and 1 preceding"
     block = block.select("block", F.expr(f"coalesce(sum(total) over (order by block {whole}), 0L)").alias("ahead"))
     inside = F.expr(f"coalesce(sum(n_ids) over (partition by block order by part, seq {whole}), 0L)")
-    return line.withColumn("inside", inside).join(block, "block").select("part", "seq", "n_docs", "n_ids", "least", "most", (F.col("ahead") + F.col("inside")).alias("base"))
+    return line.withColumn("inside", inside).join(block, "block").select("part", "seq", "n_docs", "n_ids", "least", "most", "nulls", (F.col("ahead") + F.col("inside")).alias("base"))
 
 
 def _each(fn, schema: str, source: DataFrame) -> DataFrame:  # noqa: ANN001
@@ -347,7 +346,7 @@ def _each(fn, schema: str, source: DataFrame) -> DataFrame:  # noqa: ANN001
             for i in range(batch.num_rows):
                 yield fn(Shard(batch.column("content")[i].as_buffer().to_pybytes()))
 
-    return source.mapInArrow(run, schema)
+    return common.map_arrow(source, run, schema)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -375,13 +374,78 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "part", "seq")
 
 
+def _ranges(spark: SparkSession, file) -> Callable[[int, int], bytes]:  # noqa: ANN001
+    """A reader of byte ranges of a file in any store that Spark reads."""
+    stream = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(file)
+    read_all = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray
+
+    def read(at: int, size: int) -> bytes:
+        if not size:
+            return b""
+        stream.seek(at)
+        return bytes(read_all(stream, size))
+
+    return read
+
+
+def look_up(read: Callable[[int, int], bytes], doc_id: int | None) -> list[np.ndarray]:
+    """The ids of every document of a key, out of a shard of which only ranges are read.
+
+    Read are the head, the index' bits (a few for each document), one fingerprint and slot, the
+    keys and starts of the slot's documents, and their ids.
+    """
+    start = read(0, len(MAGIC) + HEADER)
+    if start[: len(MAGIC)] != MAGIC:
+        raise ValueError("not a token shard")
+    head = json.loads(start[len(MAGIC) :])
+
+    def cells(name: str, kind: str, at: int, count: int) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        return np.frombuffer(read(head["sections"][name][0] + at * size, count * size), kind)
+
+    key = hashed_keys(np.array([doc_id or 0]), np.array([doc_id is None]))
+    index = PerfectHash(cells("levels", "<u8", 0, head["sections"]["levels"][1] // 8), head["levels"])
+    slot = int(index.slots(key)[0])
+    if slot < 0 or cells("prints", "<u4", slot, 1)[0] != fingerprints(key)[0]:
+        return []
+    first, count = map(int, cells("slots", "<u4", 2 * slot, 2))
+    null, own = bool(cells("null", "u1", first, 1)[0]), int(cells("keys", "<i8", first, 1)[0])
+    if null != (doc_id is None) or not null and own != doc_id:
+        return []
+    starts = cells("starts", "<u8", first, count + 1).astype(np.int64)
+    ids = cells("ids", f"<u{head['width']}", int(starts[0]), int(starts[-1] - starts[0])).astype("<u4")
+    return [ids[a:b] for a, b in zip(starts - starts[0], starts[1:] - starts[0])]
+
+
+def _holding(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
+    """(part, key) of the parts that may hold the keys, by the manifest."""
+    keys = spark.createDataFrame([(d,) for d in dict.fromkeys(doc_ids)], "key long")
+    lines = manifest(spark, path).select("part", "least", "most", "nulls")
+    inside = (F.col("key") >= F.col("least")) & (F.col("key") <= F.col("most")) | F.col("key").isNull() & (F.col("nulls") > 0)
+    return lines.join(F.broadcast(keys), inside).select("part", "key").distinct()  # the keys are the caller's own list
+
+
+def get(spark: SparkSession, path: str, doc_id: int | None) -> list[np.ndarray]:
+    """The ids of every document of one key. The manifest names the shards, of which ranges are read."""
+    found: list[tuple[int, np.ndarray]] = []
+    jvm = spark.sparkContext._jvm
+    for row in sorted(_holding(spark, path, [doc_id]).collect()):
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/kind=ids/part-{row.part:05d}-*")
+        for status in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(folder):
+            read = _ranges(spark, status.getPath())
+            for ids in look_up(read, doc_id):
+                found.append((row.part, ids))
+    return [ids for _, ids in found]
+
+
 def fetch(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
-    """(doc_id, ids): the documents of the given keys, each shard asked through its index."""
+    """(doc_id, ids): the documents of the given keys; only files of parts that the manifest names are read, each asked through its index."""
     null, keys = np.array([d is None for d in doc_ids], bool), np.array([d or 0 for d in doc_ids], np.int64)
+    parts = sorted({r.part for r in _holding(spark, path, doc_ids).collect()})  # as many rows as keys and the shards they span
 
     def ask(shard: Shard) -> pa.RecordBatch:
         first, count = shard.find(keys, null)
         hits = [(doc_ids[k], int(first[k]) + j) for k in np.flatnonzero(count) for j in range(int(count[k]))]
         return pa.record_batch([pa.array([d for d, _ in hits], pa.int64()), pa.array([shard.document(i).astype(np.int64) for _, i in hits], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    return _each(ask, "doc_id long, ids array<long>", shards(spark, path))
+    return _each(ask, "doc_id long, ids array<long>", shards(spark, path, parts))

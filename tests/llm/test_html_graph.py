@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from lodestone.llm import html_graph as hg
@@ -72,3 +74,39 @@ def test_only_unseen_elements_are_left_out():
 def test_many_unclosed_elements_take_linear_time():
     pages = ["<svg>" * 100_000, "<svg><svg></svg>" * 50_000, "<canvas>x" * 100_000]
     assert len(hg.extract(pages, hg.default_model())) == 3
+
+
+def test_deep_pages_take_linear_time():
+    deep = 50_000
+    pages = ["<div>" * deep + "x" + "</div>" * deep, "<b>" * deep + "<p>t" * 50, "<li><div>" * deep, "<div>" * deep + "</b></p></li>" * deep, "<a><i>" * deep + "</u>" * deep]
+    began = time.monotonic()
+    for page in pages:
+        hg.parse(page)
+    assert time.monotonic() - began < 60  # about two seconds each; quadratic time takes minutes
+    page = "<article><p>" + "A sentence of the text. " * 400_000 + "</p></article>"
+    assert hg.extract([page], hg.default_model()) == [("A sentence of the text. " * 400_000).strip()]
+
+
+def test_a_slash_closes_only_what_holds_nothing():
+    tree = hg.parse("<div/>text<article/>more<br/>and<math><mspace/><mi/></math><p/>last")
+    texts = [m for k, m in zip(tree.kind, tree.marks) if k == "#text"]
+    assert texts == ["text", "more and", "last"]
+    assert tree.kind == ["html", "div", "#text", "article", "#text", "p", "#text"] and tree.parent == [-1, 0, 1, 1, 3, 3, 5]
+
+
+def test_text_is_what_enumerated_marginals_keep():
+    """Whole extraction against all labellings of small pages, with weights of its own."""
+    rng = np.random.default_rng(8)
+    for seed in range(12):
+        model = hg.Model(rng.standard_normal(hg.WIDTH), rng.standard_normal((2, 2, 2)))
+        page = "".join(rng.choice(["<p>one text", "<div>two", "<ul><li>three<li>four</ul>", "</div>", "<nav>five</nav>", "<b>six</b>"], 5))
+        tree = hg.parse(page)
+        f, n = hg.forest([tree]), len(tree.kind)
+        odds = np.zeros((n, 2))
+        for code in range(2**n):
+            y = [(code >> i) & 1 for i in range(n)]
+            p = np.exp(sum(y[i] * (f.x[i] @ model.weights) + (model.edges[f.kind[i], y[f.parent[i]], y[i]] if f.parent[i] >= 0 else 0) for i in range(n)))
+            for i in range(n):
+                odds[i, y[i]] += p
+        kept = [m for i, (k, m) in enumerate(zip(tree.kind, tree.marks)) if k == "#text" and odds[i, 1] >= odds[i, 0]]
+        assert hg.extract([page], model) == ["\n\n".join(kept)], page

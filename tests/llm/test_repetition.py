@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from lodestone.llm import repetition
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,3 +76,30 @@ def test_judge_takes_nulls_extra_columns_and_empty_tables(spark):
     got = repetition.judge(rows).collect()
     assert sorted((r.doc_id or -1, r.n_words, r.kept) for r in got) == [(-1, 2, False), (1, 0, False), (1, 2, False)]
     assert repetition.judge(rows.limit(0)).count() == 0
+
+
+def test_one_text_of_a_million_words_needs_little_memory():
+    import tracemalloc
+
+    for text, longest in (("same " * 1_000_000, 999_999), ("a b c d e f g " * 150_000, 1_049_993)):
+        words = text.split()
+        keys = np.unique(words, return_inverse=True)[1]
+        tracemalloc.start()
+        match = repetition.longest_matches(keys, np.zeros(len(keys), np.int64), 8)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert match.max() == longest and peak < 120 * len(words)
+
+
+def test_agreeing_places():
+    rnd = np.random.default_rng(4)
+    keys = np.repeat(rnd.integers(0, 3, 40), rnd.integers(1, 300, 40))
+    a, b = rnd.integers(0, len(keys), 500), rnd.integers(0, len(keys), 500)
+    want = []
+    for x, y in zip(a, b):
+        k = 0
+        while max(x, y) + k < len(keys) and keys[x + k] == keys[y + k]:
+            k += 1
+        want.append(k)
+    assert repetition.agreeing(keys, a, b).tolist() == want
+    assert repetition.agreeing(keys, a[:30], b[:30]).tolist() == want[:30]

@@ -63,6 +63,9 @@ def test_files_hold_every_document_in_order(spark, tmp_path):
         at, last = at + r.n_tokens, r.doc_id if r.doc_id is not None else -1
     found = ts.fetch(spark, path, [6, None, 4444]).collect()
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in found) == [-1, -1, 6, 6, 6]
+    for key in (6, None, 4444, 9, 33):
+        mine = sorted(i for (d, _, _), i in zip(made, ids) if d == key)
+        assert sorted(x.tolist() for x in ts.get(spark, path, key)) == mine
     lines = ts.manifest(spark, path).orderBy("base").collect()
     assert [r.base for r in lines] == [sum(x.n_ids for x in lines[:i]) for i in range(len(lines))]
 
@@ -70,4 +73,30 @@ def test_files_hold_every_document_in_order(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     ts.write(spark.createDataFrame([], "doc_id long, text string"), path, PATH)
-    assert ts.read(spark, path).count() == 0
+    assert ts.read(spark, path).count() == 0 and ts.get(spark, path, 1) == [] and ts.fetch(spark, path, [1, None]).count() == 0
+
+
+def test_keyed_access_reads_ranges_only():
+    docs = list(range(0, 60_000, 3))
+    payloads = [struct.pack("<50I", *range(i, i + 50)) for i in docs]
+    blob, _ = ts.pack_shard(docs, payloads, 0, 0)
+    taken = []
+
+    def read(at, size):
+        taken.append(size)
+        return blob[at : at + size]
+
+    assert [x.tolist() for x in ts.look_up(read, 30_000)] == [list(range(30_000, 30_050))]
+    assert len(taken) <= 8 and sum(taken) < 0.01 * len(blob)
+    assert ts.look_up(read, 30_001) == [] and ts.look_up(read, None) == []
+
+
+def test_a_very_long_text(spark, tmp_path):
+    text = "some words and 12345 numbers, " * 400_000
+    path = f"file://{tmp_path}/long"
+    ts.write(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"), path, PATH, shard_ids=1000)
+    got = {r.doc_id: r for r in ts.read(spark, path).collect()}
+    (ids,) = ts.get(spark, path, 1)
+    assert got[1].n_tokens == len(ids) and zlib.crc32(ids.tobytes()) == got[1].ids_crc32
+    few = Tokenizer.from_file(PATH).encode(text[:300], add_special_tokens=False).ids
+    assert ids.tolist() == few * (len(text) // 300) + [2]
