@@ -1,26 +1,29 @@
-"""Fuzzy line dedup over a whole corpus: MinHash bands, exact Jaccard, union-find. DataFrame functions only.
+"""Fuzzy line dedup over a whole corpus: MinHash bands, exact Jaccard, union-find.
 
 A line's set holds the hashes of its character shingles: the `shingle` characters from every
 position on. Lines of the same text, but for case and surrounding blanks, form a class;
 hashes of lines are 64 bits wide, and lines that share one hash without sharing another are
 told apart and only compared exactly.
 
-1. The hashes of a line lie on a ring. Each of `bands` fixed places on the ring gives one key,
-   the next `rows` hashes behind it: the least of as many hashes in a random order, so that two
-   sets of similarity s have a key in common with a chance of s**rows. There are so many bands
-   that a pair at exactly the threshold meets in none of them with a chance of `miss` at most;
-   pairs above it miss far more rarely. `rows` grows with the logarithm of the corpus, so that
-   unrelated lines seldom meet however many there are, and `bands` with it.
+1. Hashes of shingles fall into bins by their first bits; the signature is the least hash of
+   each bin, or of the next one that isn't empty. Each `rows` bins in turn make the key of a
+   band, so that two sets of similarity s have a key in common with a chance of s**rows. There
+   are so many bands that a pair at exactly the threshold meets in none of them with a chance
+   of `miss` at most; pairs above it miss far more rarely. `rows` grows with the logarithm of
+   the corpus, so that unrelated lines seldom meet however many there are, and `bands` with it.
 2. Each class of a bucket is tried with two hubs, the class with the most copies and the one
-   with the least hash; pairs whose sizes fit are verified by the exact Jaccard similarity of
-   the whole sets.
-3. Buckets of three or more whose classes aren't connected are tried with one more hub, the
-   class that most links lead to. Then all pairs of different components of a bucket are
-   verified, in blocks. So no pair that meets in a bucket stays untried, but for pairs inside a
-   component, which can't change it.
+   with the least hash; pairs are verified by the exact Jaccard similarity of the whole sets.
+3. Buckets of three or more whose classes aren't connected are gone through in blocks: all
+   pairs of different components whose signatures agree in half their bins (at a similarity of
+   0.8, all but 1 in 10,000 do) are verified until they are connected. So no pair that meets in
+   a bucket stays untried, but for pairs inside a component, which can't change it, and only
+   links that connect leave a task.
 4. Connected components of the verified links; of each component, and of each class outside,
    the first line in order of (doc_id, text hash, place) stays.
 
+Signatures and exact similarities are numpy's work on Arrow batches: DataFrame functions alone
+take more than the time allowed (README has the figures). All else is DataFrame functions.
+
 Only texts of lines that meet others travel: a bitmap of fixed size keeps the rest at home.
 
 Defined results: null and empty texts stay as they are; lines under `least` characters stay
@@ -32,13 +35,17 @@ names, but columns named like the three new ones are replaced; an empty table gi
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import graph
-from .common import discard, materialize, packed, perhaps_in, unpacked, with_mark
+from . import common, graph
+from .common import discard, map_arrow, materialize, packed, perhaps_in, unpacked, with_mark
+from .signature_trees import UnionFind, blocks
 
 
 @dataclass(frozen=True)
@@ -48,6 +55,8 @@ class Lines:
     least: int = 20
     #: The chance that a pair at exactly the threshold meets in no bucket.
     miss: float = 0.015
+    #: The most lines of a block.
+    block: int = 256
 
     def banding(self, documents: int) -> tuple[int, int]:
         """Hashes of a key, and keys of a line, for a corpus of so many documents."""
@@ -55,8 +64,6 @@ class Lines:
         return rows, math.ceil(math.log(self.miss) / math.log1p(-((self.percent / 100) ** rows)))
 
 
-#: Lists of a bucket's members that one task tries with the others, and the most members of a list.
-BLOCK = 1024
 PLACE = ["_doc", "_th", "_pos"]
 NO_ID = -(1 << 63)
 ADDED = ["n_lines", "n_removed", "n_near"]
@@ -78,16 +85,75 @@ def long_lines(docs: DataFrame, how: Lines) -> DataFrame:
     return lines.where(F.char_length("line") >= how.least).withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(1), F.col("line"))})
 
 
-def hashes(line: Column, how: Lines) -> Column:
-    """Hashes of the shingles of a line, with repeats; a line shorter than a shingle is one."""
-    width = 4 * how.shingle  # of code points of 4 bytes
+def _mixed_up(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def windows(points: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` code points, put together from runs of 1, 2, 4, ..."""
+    with np.errstate(over="ignore"):
+        power, span = _mixed_up(points.astype(np.uint64) + np.uint64(1)), 1
+        out, held = np.full(len(points), size, np.uint64), 0
+        while held < size:
+            if size & span:
+                n = len(points) - held - span + 1
+                out = _mixed_up(out[:n] * np.uint64(0x9E3779B97F4A7C15) + power[held : held + n])
+                held += span
+            if held < size:
+                power = _mixed_up(power[: len(power) - span] * np.uint64(0xD6E8FEB86659FD93) + power[span:])
+            span *= 2
+    return out
+
+
+def shingles(lines: list[str], how: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the shingles of all lines, one after the other, and how many each line has; a line shorter than a shingle is one."""
+    size = how.shingle
+    lines = [x if len(x) >= size else x + "\0" * (size - len(x)) for x in lines]
+    points = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
+    length = np.array([len(x) for x in lines], np.int64)
+    count = length - size + 1
+    skipped = np.arange(len(lines)) * (size - 1)
+    return windows(points, size)[np.arange(count.sum()) + np.repeat(skipped, count)], count
+
+
+def shingle_set(line: str, how: Lines) -> np.ndarray:
+    return np.unique(shingles([line], how)[0])
+
 
-    def windows(wide: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.octet_length(wide) - width + 1, F.lit(1)), F.lit(4))
-        return F.transform(starts, lambda i: F.xxhash64(F.substring(wide, i, F.lit(width))))
+def signatures(lines: list[str], how: Lines, bins: int) -> np.ndarray:
+    """(lines, bins): the least hash of each bin, or of the next that isn't empty."""
+    found, count = shingles(lines, how)
+    spot = (found >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    out = np.full(len(lines) * bins, none)
+    np.minimum.at(out, np.repeat(np.arange(len(lines)) * bins, count) + spot.astype(np.int64), found)
+    out = out.reshape(len(lines), bins)
+    twice = np.concatenate([out, out], axis=1) != none
+    follow = np.where(twice, np.arange(2 * bins), 2 * bins)
+    follow = np.minimum.accumulate(follow[:, ::-1], axis=1)[:, ::-1][:, :bins]
+    return np.take_along_axis(out, follow % bins, axis=1)
 
-    # the outer transform has one element: it binds the encoded line, so that it is made once
-    return F.get(F.transform(F.array(F.encode(line, "UTF-32")), windows), 0)
+
+def band_keys(signature: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """(lines, bands) keys, as signed integers."""
+    out = np.empty((len(signature), bands), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(bands):
+            key = np.full(len(signature), i + 1, np.uint64)
+            for j in range(i * rows, (i + 1) * rows):
+                key = _mixed_up(key * np.uint64(0x9E3779B97F4A7C15) + signature[:, j])
+            out[:, i] = key
+    return out.view(np.int64)
+
+
+def alike(one: np.ndarray, two: np.ndarray, how: Lines) -> bool:
+    """Whether two sets are similar enough."""
+    if 100 * min(len(one), len(two)) < how.percent * max(len(one), len(two)):
+        return False
+    shared = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * shared >= how.percent * (len(one) + len(two) - shared)
 
 
 def once(df: DataFrame, value: Column, name: str) -> DataFrame:
@@ -96,19 +162,16 @@ def once(df: DataFrame, value: Column, name: str) -> DataFrame:
 
 
 def signed(docs: DataFrame, how: Lines, rows: int, bands: int) -> DataFrame:
-    """Every long line: its place, a, b, n (size of its set) and its keys k0, k1, ..."""
-    places = [-(1 << 63) + i * ((1 << 64) // bands) for i in range(bands)]
-    marks = F.array(*(F.lit(p).cast("long") for p in places))
-    lines = once(long_lines(docs, how), hashes(F.col("line"), how), "h").drop("line")
-    ring = once(lines, F.sort_array(F.array_union("h", marks)), "ring").drop("h")
-    n = (F.size("ring") - bands).alias("n")
-    ring = once(ring.select(*PLACE, "a", "b", n, "ring"), F.concat("ring", F.slice("ring", 1, rows + bands)), "round").drop("ring")
+    """Every long line: its place, a, b and its keys k0, k1, ..."""
+    names = [f"k{i}" for i in range(bands)]
 
-    def key(i: int) -> Column:
-        behind = F.slice("round", F.array_position("round", F.lit(places[i]).cast("long")).cast("int") + 1, F.lit(rows + bands))
-        return F.xxhash64(F.lit(i), F.slice(F.array_except(behind, marks), 1, rows))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in common.small_batches(batches, "line", 1_000_000):
+            keys = band_keys(signatures(some.column("line").to_pylist(), how, rows * bands), rows, bands)
+            yield pa.record_batch([some.column(c) for c in (*PLACE, "a", "b")] + [pa.array(k) for k in keys.T.copy()], names=[*PLACE, "a", "b", *names])
 
-    return ring.select(*PLACE, "a", "b", "n", *(key(i).alias(f"k{i}") for i in range(bands)))
+    lines = long_lines(docs, how).select(*PLACE, "a", "b", "line")
+    return map_arrow(lines, run, "_doc long, _th long, _pos int, a long, b long, " + ", ".join(f"{k} long" for k in names))
 
 
 def hub_pairs(members: DataFrame, hubs: Column) -> DataFrame:
@@ -118,14 +181,19 @@ def hub_pairs(members: DataFrame, hubs: Column) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, how: Lines) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. texts: (a, n, line)."""
-    both = pairs.join(texts.select("a", F.col("n").alias("n_a"), F.col("line").alias("line_a")), "a")
-    both = both.join(texts.select(F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("line").alias("line_b")), "b")
-    both = both.where((100 * F.col("n_a") >= how.percent * F.col("n_b")) & (100 * F.col("n_b") >= how.percent * F.col("n_a")))
-    both = once(both, F.struct(hashes(F.col("line_a"), how).alias("a"), hashes(F.col("line_b"), how).alias("b")), "h")
-    both = once(both.select("a", "b", "n_a", "n_b", "h"), F.size(F.array_intersect("h.a", "h.b")), "shared")
-    fits = F.col("shared") * 100 >= how.percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))
-    return materialize(both.where(fits).select("a", "b"), "line_links")
+    """The pairs (a, b) whose whole sets are similar enough. texts: (a, line)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in common.small_batches(batches, "line_a", 1_000_000):
+            sets: dict[str, np.ndarray] = {}
+            one, two = some.column("line_a").to_pylist(), some.column("line_b").to_pylist()
+            for x in {*one, *two}:
+                sets[x] = shingle_set(x, how)
+            fits = [alike(sets[x], sets[y], how) for x, y in zip(one, two)]
+            yield pa.record_batch([some.column("a"), some.column("b")], names=["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    both = pairs.join(texts.select("a", F.col("line").alias("line_a")), "a").join(texts.select(F.col("a").alias("b"), F.col("line").alias("line_b")), "b")
+    return materialize(map_arrow(both.select("a", "b", "line_a", "line_b"), run, "a long, b long"), "line_links")
 
 
 def placed(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -136,48 +204,66 @@ def placed(members: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(found.join(mixed, "key"), "line_mixed")
 
 
-def pairs_between(members: DataFrame, how: Lines) -> DataFrame:
-    """(a, b): all pairs of classes of a bucket that lie in different components and whose sizes fit."""
-    size = members.groupBy("key", "component").agg(F.count("*").alias("n_of"))
-    part = F.pmod(F.xxhash64("a"), F.ceil(F.col("n_of") / F.lit(BLOCK)))
-    lists = members.join(size, ["key", "component"]).groupBy("key", "component", part.alias("part")).agg(F.collect_list(F.struct("a", "n")).alias("of"))
-    parts = lists.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
-    lists = materialize(lists.join(parts, "key").withColumn("deal", F.pmod(F.xxhash64("component", "part"), F.col("parts"))), "line_lists")
-    other = lists.select("key", F.col("component").alias("component_2"), F.col("of").alias("of_2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("deal"))
-    both = lists.join(other, ["key", "deal"]).where("component < component_2")
-    both = both.select(F.explode("of").alias("x"), "of_2").select("x", F.explode("of_2").alias("y"))
-    both = both.where((100 * F.col("x.n") >= how.percent * F.col("y.n")) & (100 * F.col("y.n") >= how.percent * F.col("x.n")))
-    return both.select(F.greatest("x.a", "y.a").alias("a"), F.least("x.a", "y.a").alias("b")).distinct()
+def connecting(ids: list[int], lines: list[str], group: list[int], side: np.ndarray | None, how: Lines, bins: int = 32) -> list[tuple[int, int]]:
+    """Links that connect the components (group) of lines, of all pairs or of those between side 0 and side 1."""
+    signature = signatures(lines, how, bins)
+    short = np.array([len(x) < 2 * bins for x in lines])  # few shingles say little in bins
+    number = {g: i for i, g in enumerate(dict.fromkeys(group))}
+    forest, mine = UnionFind(len(number)), [number[g] for g in group]
+    sets: dict[int, np.ndarray] = {}
+    links = []
+
+    def of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_set(lines[i], how)
+        return sets[i]
+
+    for i in range(len(ids)) if side is None else np.flatnonzero(side == 0).tolist():
+        other = np.arange(i + 1, len(ids)) if side is None else np.flatnonzero(side == 1)
+        agree = (signature[other] == signature[i]).sum(axis=1)
+        for j in other[(2 * agree >= bins) | short[other] | short[i]].tolist():
+            if forest.find(mine[i]) != forest.find(mine[j]) and alike(of(i), of(j), how):
+                forest.join(mine[i], mine[j])
+                links.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+    return links
+
+
+def links_between(members: DataFrame, texts: DataFrame, how: Lines) -> DataFrame:
+    """(a, b): links that connect the components of buckets. members: (key, a, component)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in common.units(batches, "unit", "one", "two"):
+            one, two = unit.column("one")[0].as_py(), unit.column("two")[0].as_py()
+            side = None if one == two else (unit.column("part").to_numpy() == two).astype(int)
+            links = connecting(unit.column("cid").to_pylist(), unit.column("line").to_pylist(), unit.column("component").to_pylist(), side, how)
+            yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+    dealt = blocks(members.select(F.col("key").alias("unit"), F.col("a").alias("cid"), "component"), how)
+    rows = dealt.join(texts.withColumnRenamed("a", "cid"), "cid").repartition("unit", "one", "two").sortWithinPartitions("unit", "one", "two")
+    return map_arrow(rows.select("unit", "one", "two", "part", "cid", "component", "line"), run, "a long, b long")
 
 
 def buckets(classes: DataFrame, bands: int) -> DataFrame:
-    """(a, n, key, m, hubs): the classes of each bucket (key) of m > 1 classes, with the bucket's hubs."""
-    keys = classes.select("a", "n", "copies", F.explode(F.array(*(F.col(f"k{i}") for i in range(bands)))).alias("key"))
+    """(a, key, m, hubs): the classes of each bucket (key) of m > 1 classes, with the bucket's hubs."""
+    keys = classes.select("a", "copies", F.explode(F.array(*(F.col(f"k{i}") for i in range(bands)))).alias("key"))
     full = keys.groupBy("key").agg(F.count("*").alias("m"), F.max_by("a", "copies").alias("h0"), F.min("a").alias("h1")).where("m > 1")
     full = materialize(full, "line_buckets")
-    return materialize(perhaps_in(keys.select("a", "n", "key"), F.col("key"), full, "key").join(full.select("key", "m", F.array("h0", "h1").alias("hubs")), "key"), "line_members")
+    met = perhaps_in(keys.select("a", "key"), F.col("key"), full, "key").join(full.select("key", "m", F.array("h0", "h1").alias("hubs")), "key")
+    return materialize(met, "line_members")
 
 
 def line_links(docs: DataFrame, classes: DataFrame, bands: int, how: Lines) -> DataFrame:
     """(a, b): verified links that connect the classes of lines that links connect."""
     members = buckets(classes, bands)
-    wanted = materialize(members.select("a", "n").distinct(), "line_wanted")
+    wanted = materialize(members.select("a").distinct(), "line_wanted")
     texts = perhaps_in(long_lines(docs, how).select("a", "line"), F.col("a"), wanted, "a").groupBy("a").agg(F.min("line").alias("line"))
     texts = materialize(texts.join(wanted, "a"), "line_texts")
-    first = materialize(hub_pairs(members, F.col("hubs")), "line_pairs")
-    links = verified(first, texts, how)
+    links = verified(materialize(hub_pairs(members, F.col("hubs")), "line_pairs"), texts, how)
     # in buckets of two nothing is left to try
-    crowded = placed(members.where("m > 2").select("a", "n", "key"), links)
-    if crowded.isEmpty():
-        return links
-    degree = links.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count("*").alias("degree"))
-    best = crowded.join(degree, "a", "left").groupBy("key").agg(F.max_by("a", F.coalesce("degree", F.lit(0))).alias("hub"))
-    second = hub_pairs(crowded.join(best, "key"), F.array("hub")).join(first, ["a", "b"], "left_anti")
-    second = materialize(second, "line_pairs")
-    links = links.unionByName(verified(second, texts, how))
-    crowded = placed(crowded.drop("component"), links)
-    third = pairs_between(crowded, how).join(first.unionByName(second), ["a", "b"], "left_anti")
-    return links.unionByName(verified(materialize(third, "line_pairs"), texts, how))
+    crowded = placed(members.where("m > 2").select("a", "key"), links)
+    if not crowded.isEmpty():
+        links = links.unionByName(materialize(links_between(crowded, texts, how), "line_links"))
+    return links
 
 
 def removed(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
@@ -185,7 +271,7 @@ def removed(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
     rows, bands = how.banding(docs.count())
     lines = materialize(signed(docs, how, rows, bands), "lines")
     keys = [f"k{i}" for i in range(bands)]
-    classes = lines.groupBy("a").agg(F.count("*").alias("copies"), F.min("b").alias("least"), F.max("b").alias("most"), *(F.min(c).alias(c) for c in ("n", *keys)))
+    classes = lines.groupBy("a").agg(F.count("*").alias("copies"), F.min("b").alias("least"), F.max("b").alias("most"), *(F.min(c).alias(c) for c in keys))
     classes = materialize(classes, "line_classes")
     links = line_links(docs, classes.where("least = most"), bands, how)
     groups = materialize(graph.components(links).withColumnRenamed("v", "a"), "line_groups")
@@ -196,17 +282,17 @@ def removed(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
     # a class outside all components is told by both hashes
     group = some.select(*PLACE, "a", F.coalesce("component", "a").alias("g"), F.when(F.col("component").isNull(), F.col("b")).otherwise(F.lit(0)).alias("h"))
     group = materialize(group, "line_places")
-    first = group.groupBy("g", "h").agg(F.min(F.struct(*PLACE, "a")).alias("first"))
+    first = materialize(group.groupBy("g", "h").agg(F.min(F.struct(*PLACE, "a")).alias("first")), "line_firsts")
     gone = group.join(first, ["g", "h"]).where(F.struct(*PLACE) != F.struct(*(F.col(f"first.{p}") for p in PLACE)))
     out = gone.groupBy("_doc", "_th").agg(F.collect_set("_pos").alias("gone"), F.count_if(F.col("a") != F.col("first.a")).alias("n_near"))
     out = materialize(out, "removed")
-    for df in (lines, classes, groups, several, group):
+    for df in (lines, classes, groups, several, group, first):
         discard(df)
     return out
 
 
-def dedup(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
-    """docs with the text that stays, and n_lines, n_removed and n_near of each."""
+def kept(docs: DataFrame, how: Lines) -> DataFrame:
+    """Per document: _row, the text that stays (kept) and ADDED; equal rows once."""
     gone = removed(docs, how)
     rows = documents(docs).withColumn("key", F.xxhash64("_doc", "_th"))
     # documents that lose nothing and occur once stay where they are
@@ -224,4 +310,23 @@ def dedup(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     out = out.withColumn("kept", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")))
     figures = [F.coalesce(F.size("lines"), F.lit(0)), F.coalesce(F.size("gone"), F.lit(0)), F.coalesce("n_near", F.lit(0))]
-    return unpacked(out, docs, {"text": F.col("kept")}, {n: x.cast("long") for n, x in zip(ADDED, figures)})
+    return out.select("_row", "kept", *(x.cast("long").alias(n) for n, x in zip(ADDED, figures)))
+
+
+def dedup(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
+    """docs with the text that stays, and n_lines, n_removed and n_near of each."""
+    return unpacked(kept(docs, how), docs, {"text": F.col("kept")}, {n: F.col(n) for n in ADDED})
+
+
+def cleaned(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
+    """docs with the text that stays, without documents that lose lines and have none but blanks left.
+
+    All other columns stay as they are, but for n_chars, which follows a text that changes.
+    """
+    rest = kept(docs, how).where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("kept", r"\s", " ")) != ""))
+    changed = {"text": F.col("kept")}
+    for c in docs.columns:
+        if c.lower() == "n_chars":
+            size = F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col(f"_row.`{c}`"))
+            changed[c] = size.cast(docs.schema[c].dataType)
+    return unpacked(rest, docs, changed)

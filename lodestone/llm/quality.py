@@ -289,8 +289,8 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     return Model(words, shapes, network, prior, s)
 
 
-def scored(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
-    """docs with score added to their columns (in place of one of that name)."""
+def _scores(docs: DataFrame, model: Model) -> DataFrame:
+    """_row (all columns but the text), text and score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"))
     rows = docs.select(rest.alias("_row"), F.col("text").cast("string").alias("text"))
@@ -302,12 +302,21 @@ def scored(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame
             score = fitted.score(some.column("text").to_pylist(), parts, codes)
             yield pa.record_batch([some.column("_row"), some.column("text"), pa.array(score)], names=["_row", "text", "score"])
 
-    out = map_arrow(rows, run, rows.withColumn("score", F.lit(0.0)).schema)
-    return unpacked(out, docs, {"text": F.col("text")}, {"score": F.col("score")})
+    return map_arrow(rows, run, rows.withColumn("score", F.lit(0.0)).schema)
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with score added to their columns (in place of one of that name)."""
+    return unpacked(_scores(docs, model), docs, {"text": F.col("text")}, {"score": F.col("score")})
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, as they are."""
+    return unpacked(_scores(docs, model).where(F.col("score") >= model.settings.threshold), docs, {"text": F.col("text")})
 
 
 def classify(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = scored(rows, train(docs, labels, s), s)
+    out = scored(rows, train(docs, labels, s))
     return out.select("doc_id", _held_out(s).alias("held_out"), "score", (F.col("score") >= s.threshold).cast("int").alias("predicted"))

@@ -522,7 +522,7 @@ def classes_and_links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame
     return small, links
 
 
-def blocks(placed: DataFrame, join: Join) -> DataFrame:
+def blocks(placed: DataFrame, join) -> DataFrame:  # noqa: ANN001
     """(unit, one, two, part, cid, component): members in blocks, one row for each block (one, two hold its pair) that theirs is gone through with.
 
     Blocks 0, 1, ... lie outside the largest component of the unit, the others inside; two of these

@@ -1,6 +1,7 @@
 import random
 
-from pyspark.sql import functions as F
+import numpy as np
+import pytest
 
 from lodestone.llm import line_dedup as ld
 
@@ -77,14 +78,6 @@ def test_every_removed_line_resembles_one_that_stays(spark):
     assert same[100].text is None and same[101].text == "" and same[103].n_removed == 1 and same[103].text == ""
 
 
-def test_plans_stay_in_the_jvm(spark, capsys):
-    docs = spark.createDataFrame([(1, "a line that is long enough to count")], "doc_id long, text string")
-    ld.signed(docs, HOW, 4, 8).explain()
-    ld.dedup(docs).explain()
-    plan = capsys.readouterr().out
-    assert "xxhash64" in plan and "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
-
-
 def test_empty(spark):
     assert ld.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -102,17 +95,62 @@ def test_pairs_of_lines_that_share_a_passage(spark):
     assert {r.doc_id for r in got} == set(range(1, 1000, 2))
 
 
-def test_all_pairs_between_components_of_a_bucket(spark):
-    rows = [(1, a, a % 7, 10 if a < 40 else 100) for a in range(60)] + [(2, a, 3, 10) for a in range(30)]
-    members = spark.createDataFrame(rows, "key long, a long, component long, n int")
-    got = sorted((r.a, r.b) for r in ld.pairs_between(members, HOW).collect())
-    assert got == sorted((a, b) for a in range(60) for b in range(a) if a % 7 != b % 7 and (a < 40) == (b < 40))
-
-
-def test_shingles_are_taken_at_every_position(spark):
-    lines = ["repeated repeated repeated", "é𝄞 and more", "short", "字" * 3 + "abcdefg"]
-    got = spark.createDataFrame([(x,) for x in lines], "line string").select(F.size(F.array_distinct(ld.hashes(F.col("line"), HOW))).alias("n")).collect()
-    assert [r.n for r in got] == [len(shingles(x)) for x in lines]
+@pytest.mark.parametrize("block", [3, 256])
+def test_links_between_components_of_a_bucket(spark, block):
+    """All pairs of different components against brute force; of a component only one link to another is needed."""
+    rnd = random.Random(4)
+    base = "".join(rnd.choice("abcdefghijklmnop ") for _ in range(120))
+    lines = []
+    for i in range(40):
+        at = rnd.sample(range(120), rnd.choice([0, 1, 2, 3]))
+        lines.append("".join("#" if k in at else c for k, c in enumerate(base)) + str(i))
+    members = spark.createDataFrame([(1, i, i % 30) for i in range(40)] + [(2, i, 5) for i in range(9)], "key long, a long, component long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "a long, line string")
+    got = {(r.a, r.b) for r in ld.links_between(members, texts, ld.Lines(block=block)).collect()}
+    sets = [shingles(x) for x in lines]
+    linked = {(i, j) for i in range(40) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+
+    def parts(pairs):
+        up = list(range(30))
+        for i, j in pairs:
+            x, y = up[i % 30], up[j % 30]
+            up = [min(x, y) if u in (x, y) else u for u in up]
+        return up
+
+    assert got <= linked and parts(got) == parts(linked)
+
+
+def test_shingles_are_taken_at_every_position():
+    lines = ["repeated repeated repeated", "é𝄞 and more", "short", "", "字" * 3 + "abcdefg"]
+    for size in (1, 3, 5, 8):
+        how = ld.Lines(shingle=size)
+        want = [{x[i : i + size] for i in range(max(1, len(x) - size + 1))} for x in lines]
+        assert [len(ld.shingle_set(x, how)) for x in lines] == [len(w) for w in want]
+        found, count = ld.shingles(lines, how)
+        assert count.tolist() == [max(1, len(x) - size + 1) for x in lines]
+        one = dict(zip([x[i : i + size] for x in lines for i in range(max(1, len(x) - size + 1))], found.tolist()))
+        assert len(set(one.values())) == len(one)
+        ends = np.cumsum(count)
+        assert all(set(found[e - c : e].tolist()) == {one[g] for g in w} for e, c, w in zip(ends, count, want))
+
+
+def test_signatures_agree_as_often_as_sets_do():
+    rnd = random.Random(7)
+    pairs = []
+    for _ in range(300):
+        a = [rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)]
+        b = [*a]
+        for at in rnd.sample(range(300), 3):
+            b[at] = "#"
+        pairs.append(("".join(a), "".join(b)))
+    like = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in pairs]
+    one, two = (ld.signatures([p[k] for p in pairs], HOW, 32) for k in (0, 1))
+    assert abs((one == two).mean() - np.mean(like)) < 0.02
+    keys = [ld.band_keys(x, 4, 8) for x in (one, two)]
+    assert abs((keys[0] == keys[1]).mean() - np.mean(np.array(like) ** 4)) < 0.05
+    # a signature's bins hold the least hash of the bin, or of the next that holds one
+    few = ld.signatures(["a line of few"], HOW, 32)[0]
+    assert set(few.tolist()) == set(ld.shingle_set("a line of few", HOW).tolist())
 
 
 def test_one_edit_in_a_line_without_blanks(spark):
@@ -169,3 +207,11 @@ def test_clashing_names_repeated_rows_and_long_texts(spark):
     docs = spark.createDataFrame([(1, long), (2, long), (3, many + "\n" + long)], "doc_id long, text string")
     out = {r.doc_id: r for r in ld.dedup(docs).collect()}
     assert out[1].text == long and out[2].text == "" and out[3].n_removed >= 1 and long not in out[3].text
+
+
+def test_cleaned_keeps_the_columns(spark):
+    line = "this line is long enough to be compared with others of its kind"
+    rows = [(1, line, 63, 7), (2, line, 63, 8), (3, line + "\nshort", 99, 9), (4, None, None, 1), (5, "", 0, 2), (6, " ", 1, 3)]
+    out = ld.cleaned(spark.createDataFrame(rows, "doc_id long, text string, N_chars int, n_removed int"))
+    assert out.columns == ["doc_id", "text", "N_chars", "n_removed"] and out.schema["N_chars"].dataType.simpleString() == "int"
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[0]) == [(1, line, 63, 7), (3, "short", 5, 9), (4, None, None, 1), (5, "", 0, 2), (6, " ", 1, 3)]

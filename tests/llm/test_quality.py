@@ -75,7 +75,7 @@ def test_score_on_fixed_weights(spark):
     net = quality.Network(rng.standard_normal(size), np.ones(size) * 2, rng.standard_normal((size, 3)), rng.standard_normal(3), rng.standard_normal(3), 0.3, 1.7)
     model = quality.Model(words, shapes, net, 0.5, s)
     rows = [(1, "one two two one", 5), (2, None, 6), (3, "x", 7)]
-    got = {r.doc_id: r.score for r in quality.scored(spark.createDataFrame(rows, "doc_id long, text string, SCORE int"), model, s).collect()}
+    got = {r.doc_id: r.score for r in quality.scored(spark.createDataFrame(rows, "doc_id long, text string, SCORE int"), model).collect()}
     for d, text, _ in rows:
         t = (text or "").split()
         x = np.zeros(size)
