@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector
+from . import knn
 
 
 def farthest_first(rows: DataFrame, k: int, min_sep: float = 0.0, first: int | None = None) -> DataFrame:
@@ -15,30 +16,33 @@ def farthest_first(rows: DataFrame, k: int, min_sep: float = 0.0, first: int | N
     a fifth. k rounds, each one pass that keeps the least angle so far.
     """
     spark = rows.sparkSession
-    rows = rows.select("qid", F.col("vec").cast("array<double>").alias("vec")).cache()
+    rows = rows.select("qid", F.col("vec").cast("array<double>").alias("vec")).withColumn("near", F.lit(10.0)).cache()
     start = rows.agg(F.min("qid")).first()[0] if first is None else first
-    chosen = [start]
-    centers = [rows.where(F.col("qid") == start).first().vec]
+    chosen, last = [start], rows.where(F.col("qid") == start).first().vec
     while len(chosen) < k:
-        near = F.least(*(vector.angle(F.col("vec"), F.array(*map(F.lit, c))) for c in centers), F.lit(10.0))
+        if last is not None:
+            after = rows.withColumn("near", F.least("near", vector.angle(F.col("vec"), F.array(*map(F.lit, last))))).cache()
         # -d as second key: the least id among the farthest
-        best = rows.where(~F.col("qid").isin(chosen)).select(near.alias("a"), (-F.col("qid")).alias("d"), "vec").where(F.col("a") >= min_sep).agg(F.max(F.struct("a", "d", "vec"))).first()[0]
+        best = after.where(~F.col("qid").isin(chosen)).select("near", (-F.col("qid")).alias("d"), "vec").where(F.col("near") >= min_sep).agg(F.max(F.struct("near", "d", "vec"))).first()[0]
+        if after is not rows:
+            rows.unpersist()
+            rows = after
+        last = None
         if best is None:
             if min_sep < 1e-9:
                 break
             min_sep *= 0.8
             continue
         chosen.append(-best.d)
-        centers.append(best.vec)
+        last = best.vec
     rows.unpersist()
     return spark.createDataFrame([(i, q) for i, q in enumerate(chosen)], "place int, qid long")
 
 
 def assign(rows: DataFrame, centers: DataFrame) -> DataFrame:
-    """(qid, cluster_id, d2): the nearest center of each row, the lesser number on a tie. centers are few (k rows)."""
-    pairs = rows.select("qid", "vec").crossJoin(F.broadcast(centers.select("cluster_id", "center")))
-    best = pairs.select("qid", F.struct(vector.l2sq(F.col("vec"), F.col("center")).alias("d2"), "cluster_id").alias("x")).groupBy("qid").agg(F.min("x").alias("x"))
-    return best.select("qid", F.col("x.cluster_id").alias("cluster_id"), F.col("x.d2").alias("d2"))
+    """(qid, cluster_id, d2): the nearest center of each row, the lesser number on a tie."""
+    found = knn.exact_knn(rows, centers.select(F.col("cluster_id").cast("long").alias("base_id"), F.col("center").alias("vec")), 1)
+    return found.select("qid", F.col("base_id").cast("int").alias("cluster_id"), "d2")
 
 
 def kmeans(rows: DataFrame, k: int, rounds: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector
-from . import knn
+from . import knn, quantiles
 
 
 def sizes(members: DataFrame) -> DataFrame:
@@ -34,11 +34,16 @@ def radii(members: DataFrame, centers: DataFrame) -> DataFrame:
 
 def shape(radius: DataFrame) -> DataFrame:
     """Per cluster the radius percentiles of training (interpolated) and of serving (by place), skews and mean density."""
-    ordered = F.array_sort(F.collect_list("radius"))
-    out = radius.groupBy("cluster_id").agg(F.count("*").alias("n"), F.percentile("radius", F.array(F.lit(0.5), F.lit(0.9))).alias("p"), ordered.alias("r"), F.avg("radius").alias("mean"))
-    upper = F.element_at("r", (F.floor(F.col("n") / 2) + 1).cast("int"))
-    low = F.element_at("r", (F.floor(F.lit(0.9) * (F.col("n") - 1)) + 1).cast("int"))
-    out = out.select("cluster_id", "n", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), upper.alias("p50_upper"), low.alias("p90_floor"), (F.lit(1.0) / (F.col("mean") + 1e-6)).alias("density_mean"))
+    rows = radius.select(F.col("cluster_id").alias("g"), F.col("radius").alias("x"))
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
+    half, high = F.lit(0.5) * (F.col("n") - 1), F.lit(0.9) * (F.col("n") - 1)
+    # the ranks of both kinds of percentiles, from 0
+    ranks = {"a": F.floor(half), "b": F.ceil(half), "c": F.floor(high), "d": F.ceil(high), "upper": F.floor(F.col("n") / 2)}
+    wanted = sizes.select("g", F.explode(F.array_distinct(F.array(*(r.cast("long") for r in ranks.values())))).alias("rank"))
+    found = quantiles.values_at(rows, wanted).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))  # five a cluster
+    out = sizes.join(found, "g").select("g", "n", "mean", *(F.element_at("at", r.cast("long")).alias(name) for name, r in ranks.items()), (half - F.floor(half)).alias("s"), (high - F.floor(high)).alias("t"))
+    between = lambda x, y, part: F.col(x) + (F.col(y) - F.col(x)) * F.col(part)
+    out = out.select(F.col("g").alias("cluster_id"), "n", between("a", "b", "s").alias("p50"), between("c", "d", "t").alias("p90"), F.col("upper").alias("p50_upper"), F.col("c").alias("p90_floor"), (F.lit(1.0) / (F.col("mean") + 1e-6)).alias("density_mean"))
     skew = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return out.withColumns({"skew": skew("p90", "p50"), "skew_serve": skew("p90_floor", "p50_upper")})
 
@@ -46,15 +51,15 @@ def shape(radius: DataFrame) -> DataFrame:
 def density(members: DataFrame, place: int = 10) -> DataFrame:
     """(cluster_id, density): 1 / median distance of a member to its 10th nearest fellow; 0 with too few members or at distance 0.
 
-    Fellows are compared inside their cluster only, by a join on it.
+    Fellows are compared inside their cluster only, block by block.
     """
-    rows = members.where("cluster_id >= 0").select("cluster_id", F.col("qid"), F.col("vec").cast("array<double>").alias("vec"))
-    other = rows.select("cluster_id", F.col("qid").alias("base_id"), F.col("vec").alias("w"))
-    pairs = rows.join(other, "cluster_id").where("qid <> base_id").select("cluster_id", "qid", "base_id", vector.l2sq(F.col("vec"), F.col("w")).alias("d2"))
-    rank = F.row_number().over(Window.partitionBy("cluster_id", "qid").orderBy("d2", "base_id"))
-    far = pairs.withColumn("rank", rank).where(F.col("rank") <= place).where(F.col("rank") == place)
-    value = far.groupBy("cluster_id").agg(F.median(F.sqrt("d2")).alias("m"))
-    out = rows.select("cluster_id").distinct().join(value, "cluster_id", "left")
+    rows = members.where("cluster_id >= 0").select(F.col("cluster_id").alias("group"), "qid", "vec")
+    found = knn.grouped_knn(rows, rows.select("group", F.col("qid").alias("base_id"), "vec"), place + 1).where("qid <> base_id")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
+    far = found.withColumn("place", rank).where(F.col("place") == place)
+    values = far.join(rows.select("qid", "group"), "qid").select(F.col("group").alias("g"), F.sqrt("d2").alias("x"))
+    value = quantiles.group_percentiles(values, {"m": 0.5}).select(F.col("g").alias("cluster_id"), "m")
+    out = rows.select(F.col("group").alias("cluster_id")).distinct().join(value, "cluster_id", "left")
     return out.select("cluster_id", F.when(F.col("m") > 0, F.lit(1.0) / F.col("m")).otherwise(0.0).alias("density"))
 
 

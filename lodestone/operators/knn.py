@@ -120,6 +120,35 @@ def exact_knn(queries: DataFrame, base: DataFrame, k: int, normalize_base: bool
     return top(pairs.mapInArrow(multiply, PAIRS), k).select("qid", "rank", "base_id", "d2")
 
 
+def _packed(rows: DataFrame, id_name: str, size: int) -> DataFrame:
+    """(group, ids, vecs): rows (group, id, vec) dealt by a hash into blocks of about `size` rows of one group."""
+    counts = rows.groupBy("group").agg(F.ceil(F.count("*") / F.lit(size)).alias("parts"))
+    dealt = rows.join(counts, "group").withColumn("part", F.pmod(F.xxhash64(id_name), F.col("parts")))
+    return dealt.groupBy("group", "part").agg(F.collect_list(F.struct(id_name, "vec")).alias("rows")).select("group", F.col(f"rows.{id_name}").alias("ids"), F.col("rows.vec").alias("vecs"))
+
+
+def grouped_knn(queries: DataFrame, base: DataFrame, k: int, size: int = 1024) -> DataFrame:
+    """(qid, rank, base_id, d2): each query's k nearest of its own group. queries: (group, qid, vec), base: (group, base_id, vec).
+
+    Blocks of a group meet, not rows, and each pair of blocks keeps the k best of each query; so
+    a group of any size is spread over tasks.
+    """
+    double = F.col("vec").cast("array<double>").alias("vec")
+    left = _packed(queries.select("group", F.col("qid").cast("long").alias("qid"), double).where("vec is not null"), "qid", size)
+    right = _packed(base.select("group", F.col("base_id").cast("long").alias("base_id"), double).where("vec is not null"), "base_id", size)
+    pairs = left.select("group", F.col("ids").alias("qids"), F.col("vecs").alias("qvecs")).join(right, "group").select("qids", "qvecs", "ids", "vecs")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qids, qvecs, ids, vecs = (batch.column(c)[i].values for c in ("qids", "qvecs", "ids", "vecs"))
+                qid = qids.to_numpy()
+                row, found, d2 = best(matrix(qvecs), matrix(vecs), ids.to_numpy(), k)
+                yield pa.record_batch([pa.array(qid[row]), pa.array(found), pa.array(d2)], names=["qid", "base_id", "d2"])
+
+    return top(pairs.mapInArrow(multiply, PAIRS), k).select("qid", "rank", "base_id", "d2")
+
+
 def nearest_query(queries: DataFrame) -> DataFrame:
     """(qid, other, cosine): the other query with the highest cosine, the least id on a tie. For unit vectors."""
     found = exact_knn(queries, queries.select(F.col("qid").alias("base_id"), "vec"), 2).where("qid <> base_id")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vector
 from . import knn
 
 
@@ -21,9 +20,9 @@ def anchor_candidates(anchors: DataFrame, edges: DataFrame, seeds: int, hops: in
 def anchor_reuse_knn(members: DataFrame, base: DataFrame, anchors: DataFrame, edges: DataFrame, k: int, seeds: int, hops: int = 1) -> DataFrame:
     """(qid, rank, base_id, d2): every query's k nearest among its cluster's candidates.
 
-    Candidates are found once a cluster, not once a query; the join is on the cluster.
+    Candidates are found once a cluster, not once a query; blocks of queries and of candidates
+    meet by cluster.
     """
     candidates = anchor_candidates(anchors, edges, seeds, hops)
-    vectors = candidates.join(base.select("base_id", F.col("vec").alias("v")), "base_id")
-    rows = members.where("cluster_id >= 0").select("qid", "cluster_id", "vec").join(vectors, "cluster_id")
-    return knn.top(rows.select("qid", "base_id", vector.l2sq(F.col("vec"), F.col("v")).alias("d2")), k).select("qid", "rank", "base_id", "d2")
+    vectors = candidates.join(base.select("base_id", "vec"), "base_id").select(F.col("cluster_id").alias("group"), "base_id", "vec")
+    return knn.grouped_knn(members.where("cluster_id >= 0").select(F.col("cluster_id").alias("group"), "qid", "vec"), vectors, k)
