@@ -7,13 +7,23 @@ from pyspark.sql import functions as F
 
 from . import gbdt
 
-# Feature lists of the three heads, in order (fixed values).
-SHAPE = ["cluster_size_log", "cluster_density", "cluster_radius_p50", "cluster_radius_p90", "radius_skew", "dist_centroid_to_entryL0", "entry_dist_norm", "dist_centroid_top1_smallEF", "overlap128_vs_256", "jaccard128_vs_256", "log1p_cluster_size", "cluster_size"]
+# The features of the three heads, in the order that models without names expect.
+SHAPE = [
+    "cluster_size", "cluster_size_log", "log1p_cluster_size",
+    "cluster_density", "cluster_radius_p50", "cluster_radius_p90", "radius_skew",
+    "dist_centroid_to_entryL0", "entry_dist_norm",
+    "dist_centroid_top1_smallEF",
+    "overlap128_vs_256", "jaccard128_vs_256",
+]
 PROBE = ["lid_probe256_k10", "rc_probe256_k10", "expansion2k_over_k_probe256_k10"]
 ANCHOR = ["lid_k_efc", "rc_k_efc", "expand2k_over_k_efc"]
 HEAD_A = [*SHAPE, *PROBE, "recall_at_k"]
 HEAD_B = [*SHAPE, *ANCHOR, "efc", "log_efc", "recall_at_k"]
-HEAD_M = [*HEAD_B, "ef_warm", "log_efw", "efw_over_efc"]
+HEAD_M = [*SHAPE, *ANCHOR, "efc", "ef_warm", "log_efc", "log_efw", "efw_over_efc", "recall_at_k"]
+
+# Features that predictions may only rise with, and only fall with; no rule for others.
+RISING = ["cluster_radius_p50", "cluster_radius_p90", "radius_skew", "overlap128_vs_256", "jaccard128_vs_256", "recall_at_k", *PROBE, *ANCHOR]
+FALLING = ["cluster_density", "efc", "log_efc"]
 
 
 def decode_ef(z: Column) -> Column:

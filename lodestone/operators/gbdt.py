@@ -195,7 +195,8 @@ def fit(x: np.ndarray, y: np.ndarray, features: list[str], s: Settings = Setting
     rng = np.random.default_rng(s.seed)
     edges = _edges(x, s.bins)
     binned = np.stack([np.where(np.isnan(c), len(e) + 1, np.searchsorted(e, c, side="left")) for c, e in zip(x.T, edges)], axis=1)
-    start = float(np.quantile(y, s.alpha)) if s.loss == "quantile" else float(y.mean())
+    # from the quantile itself all residuals may have one sign, and no split would gain anything
+    start = float(np.median(y)) if s.loss == "quantile" else float(y.mean())
     trees, z = [Tree(value=[start])], np.full(len(y), start)
     for _ in range(s.trees):
         scale = float(np.quantile(np.abs(y - z), 0.9)) or 1e-9

@@ -1,13 +1,14 @@
-"""Best-first search over a neighbour graph, one task for each cluster of queries.
+"""Best-first search over a neighbour graph, one task for each block of a cluster's queries.
 
-The search chases pointers, which no relational operator does well; so each cluster is one
-group, and its anchor search is done once and handed to all its queries. The graph and its
+The search chases pointers, which no relational operator does well; so the queries of a
+cluster go together, and their anchor search is done once and handed to all of them. The graph and its
 vectors go to the workers as flat arrays, only after a check of their size.
 """
 
 from __future__ import annotations
 
 import heapq
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,9 +64,15 @@ def search(g: Graph, q: np.ndarray, ef: int, seeds: np.ndarray) -> tuple[list[tu
     The order of equal distances is by row. It stops once the nearest open row is farther
     than the worst of a full list.
     """
+    found, visited, _ = walk(g, q, ef, seeds)
+    return found, visited
+
+
+def walk(g: Graph, q: np.ndarray, ef: int, seeds: np.ndarray) -> tuple[list[tuple[float, int]], int, int]:
+    """What search() gives, and the number of rows whose neighbours were looked at."""
     seeds = np.unique(seeds[seeds >= 0])
     if not len(seeds) or ef < 1:
-        return [], 0
+        return [], 0, 0
     seen = np.zeros(len(g.ids), bool)
     seen[seeds] = True
     open_ = [(float(d), int(r)) for d, r in zip(g.distance(seeds, q), seeds)]
@@ -74,11 +81,12 @@ def search(g: Graph, q: np.ndarray, ef: int, seeds: np.ndarray) -> tuple[list[tu
     heapq.heapify(top)
     while len(top) > ef:
         heapq.heappop(top)
-    visited = len(seeds)
+    visited, steps = len(seeds), 0
     while open_:
         d, r = heapq.heappop(open_)
         if len(top) >= ef and d > -top[0][0]:
             break
+        steps += 1
         near = g.to[g.start[r] : g.start[r + 1]]
         near = near[~seen[near]]
         if not len(near):
@@ -91,7 +99,7 @@ def search(g: Graph, q: np.ndarray, ef: int, seeds: np.ndarray) -> tuple[list[tu
                 heapq.heappush(top, (-x, -n))
                 if len(top) > ef:
                     heapq.heappop(top)
-    return sorted((-d, -r) for d, r in top), visited
+    return sorted((-d, -r) for d, r in top), visited, steps
 
 
 def reuse(g: Graph, q: np.ndarray, anchor: np.ndarray, m: float, ef: int, k: int) -> tuple[list[tuple[float, int]], int]:
@@ -124,32 +132,40 @@ def probe(centers: DataFrame, g: Graph, efforts: tuple[int, ...]) -> DataFrame:
     return rows.mapInPandas(run, PROBE)
 
 
-RESULT = "cluster_id int, efc int, ef_warm int, m double, qid long, rank long, base_id long, d2 double, visited long"
+RESULT = "cluster_id int, efc int, ef_warm int, m double, qid long, rank long, base_id long, d2 double, visited long, steps long, seconds double"
+#: Queries of a cluster that one task searches for together.
+QUERIES = 32
 
 
 def search_clusters(members: DataFrame, centers: DataFrame, settings: DataFrame, g: Graph, k: int) -> DataFrame:
     """Results of every query under every setting (cluster_id, efc, ef_warm, m) of its cluster.
 
-    One anchor search serves all settings of a cluster that share efc.
+    One anchor search serves all settings that share efc of a block of a cluster's queries; a
+    large cluster makes many blocks. steps are those of the anchor search, seconds the time of
+    the query's own.
     """
     held = members.sparkSession.sparkContext.broadcast(g)
     rows = members.where("cluster_id >= 0").select(F.col("cluster_id").cast("int").alias("cluster_id"), "qid", F.col("vec").cast("array<double>").alias("vec"))
-    queries = rows.groupBy("cluster_id").agg(F.collect_list(F.struct("qid", "vec")).alias("queries"))
+    parts = rows.groupBy("cluster_id").agg(F.ceil(F.count("*") / F.lit(QUERIES)).alias("parts"))
+    rows = rows.join(parts, "cluster_id").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")))
+    queries = rows.groupBy("cluster_id", "part").agg(F.collect_list(F.struct("qid", "vec")).alias("queries"))
     grouped = settings.groupBy("cluster_id", "efc").agg(F.collect_set(F.struct("ef_warm", "m")).alias("cells"))
-    work = grouped.join(queries, "cluster_id").join(centers, "cluster_id")
+    work = grouped.join(queries, "cluster_id").join(centers, "cluster_id").repartition("cluster_id", "efc", "part")
 
     def run(frames):  # noqa: ANN001, ANN202
         graph = held.value
         for frame in frames:
             for row in frame.itertuples():
                 center = np.array(row.center, float)
-                entry = graph.entry(center)
-                anchor = np.array([r for _, r in search(graph, center, int(row.efc), np.array([entry]))[0]], np.int64)
+                near, _, steps = walk(graph, center, int(row.efc), np.array([graph.entry(center)]))
+                anchor = np.array([r for _, r in near], np.int64)
                 out = []
                 for cell in sorted(row.cells, key=lambda c: (c["ef_warm"], c["m"])):
                     for q in sorted(row.queries, key=lambda x: x["qid"]):
+                        began = time.perf_counter()
                         found, visited = reuse(graph, np.array(q["vec"], float), anchor, cell["m"], int(cell["ef_warm"]), k)
-                        out += [(row.cluster_id, row.efc, cell["ef_warm"], cell["m"], q["qid"], i + 1, int(graph.ids[r]), d, visited) for i, (d, r) in enumerate(found)]
+                        took = time.perf_counter() - began
+                        out += [(row.cluster_id, row.efc, cell["ef_warm"], cell["m"], q["qid"], i + 1, int(graph.ids[r]), d, visited, steps, took) for i, (d, r) in enumerate(found)]
                 if out:
                     yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
 

@@ -53,14 +53,9 @@ def select_features(default: list[str], keep: list[str] | None = None, drop: lis
     return out
 
 
-#: How predictions may move with a feature (fixed values).
-RISING = ("overlap", "jaccard", "radius", "skew", "recall")
-FALLING = ("density",)
-
-
-def monotone_signs(features: list[str], falling: tuple[str, ...] = ()) -> list[int]:
-    """1, -1 or 0 for each feature; `falling` names further ones that predictions fall with."""
-    return [-1 if f in falling or any(w in f for w in FALLING) else 1 if any(w in f for w in RISING) else 0 for f in features]
+def monotone_signs(features: list[str], rising: list[str], falling: list[str]) -> list[int]:
+    """1, -1 or 0 for each feature: whether predictions may only rise or fall with it."""
+    return [1 if f in rising else -1 if f in falling else 0 for f in features]
 
 
 def with_recall(df: DataFrame, k: int) -> DataFrame:

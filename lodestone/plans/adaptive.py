@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import adaptive, features, gbdt, graph_search, prep, recall, similarity
+from ..sources.scratch import kept
 from .tables import K, LARGE, PROBES, SMALL, Workload
 
 #: Cells of the collected grid: (efc, ef_warm, share of ef_warm).
-CELLS = [(efc, efw, share) for efc in (32, 64, 128) for efw in (16, 32, 64) for share in (0.25, 0.5, 1.0) if efw <= efc]
-LEARN = gbdt.Settings(loss="quantile", trees=40, min_rows=6)
+CELLS = [(efc, efw, share) for efc in (16, 64, 128) for efw in (10, 16, 24, 32, 48, 64, 128) for share in (0.5, 1.0) if efw <= efc]
+#: Recall levels that the heads learn the cheapest cell of.
+LEVELS = [0.5, 0.6, 0.7, 0.75, 0.8, 0.825, 0.85, 0.875, 0.9, 0.925, 0.95, 0.97, 0.98, 0.99, 1.0]
+QUANTILE = gbdt.Settings(loss="quantile", trees=120, min_rows=4)
+MONOTONE = gbdt.Settings(loss="huber", trees=120, min_rows=4, min_gain=1e-4)
 
 
 def cluster_features(w: Workload, faithful_skew: bool = False) -> DataFrame:
@@ -73,15 +77,30 @@ def graph_results(w: Workload, cells: list[tuple[int, int, float]]) -> DataFrame
 def collected(w: Workload) -> DataFrame:
     """The training table: one row a cluster and cell, with features, recall and rows visited."""
     cells = [(efc, efw, share * efw) for efc, efw, share in CELLS]
-    found = graph_results(w, cells).cache()
-    hit = found.join(w.truth.select("qid", "base_id"), ["qid", "base_id"], "left_semi").groupBy("cluster_id", "efc", "ef_warm", "m").agg(F.count("*").alias("hits"))
-    seen = found.where("rank = 1").groupBy("cluster_id", "efc", "ef_warm", "m").agg(F.avg("visited").alias("visited_mean"))
-    static = cluster_features(w)
-    rows = static.join(seen, "cluster_id").join(hit, ["cluster_id", "efc", "ef_warm", "m"], "left")
+    found = kept(graph_results(w, cells), "results")
+    key = ["cluster_id", "efc", "ef_warm", "m"]
+    hit = found.join(w.truth.select("qid", "base_id"), ["qid", "base_id"], "left_semi").groupBy(*key).agg(F.count("*").alias("hits"))
+    # a query that finds anything has a row of rank 1
+    first = found.where("rank = 1").groupBy(*key)
+    seen = first.agg(F.avg("visited").alias("visited_mean"), F.max("steps").alias("centroid_steps"), (F.count("*") / F.greatest(F.lit(1e-12), F.sum("seconds"))).alias("qps_run"))
+    static = kept(cluster_features(w), "static")
+    rows = static.join(seen, "cluster_id").join(hit, key, "left")
     rows = rows.withColumn("recall_at_k", F.coalesce("hits", F.lit(0)) / (F.col("cluster_size") * K)).drop("hits")
     return features.derived(anchor_features(w, rows))
 
 
+def cheapest(rows: DataFrame, levels: list[float]) -> DataFrame:
+    """For each cluster and recall level the cell that reaches it with the fewest rows visited; recall_at_k is the level.
+
+    Levels that no cell of a cluster reaches have no row of it.
+    """
+    table = rows.sparkSession.createDataFrame([(x,) for x in levels], "level double")  # a few levels
+    fits = rows.join(F.broadcast(table), F.col("recall_at_k") >= F.col("level") - F.lit(1e-9))
+    others = [c for c in rows.columns if c not in ("cluster_id", "recall_at_k")]
+    best = fits.groupBy("cluster_id", "level").agg(F.min(F.struct("visited_mean", "efc", "ef_warm", "m", *(F.col(c).alias(f"of_{c}") for c in others))).alias("x"))
+    return best.select("cluster_id", F.col("level").alias("recall_at_k"), *(F.col(f"x.of_{c}").alias(c) for c in others))
+
+
 def prepared(rows: DataFrame) -> DataFrame:
     trio = [*adaptive.PROBE, *adaptive.ANCHOR]
     prep.require(rows, "recall_at_k", *adaptive.ANCHOR)
@@ -89,28 +108,33 @@ def prepared(rows: DataFrame) -> DataFrame:
 
 
 def trained(w: Workload) -> dict[str, gbdt.Ensemble]:
-    """The three heads: efc, then ef_warm, then m, each by the features known at its turn."""
-    raw = collected(w).cache()
-    rows = prepared(raw).cache()
+    """Six models: the heads for efc, ef_warm and m (A, B, M), each by the features known at its turn, once for a quantile and once monotone (A_mono, ...)."""
+    rows = kept(cheapest(kept(collected(w), "collected"), LEVELS), "cheapest")
+    rows = kept(prepared(rows), "prepared")
     heads = {}
-    for name, names, target, falling in (("A", adaptive.HEAD_A, "efc", ()), ("B", adaptive.HEAD_B, "ef_warm", ("efc", "log_efc")), ("M", adaptive.HEAD_M, "m", ("efc", "log_efc"))):
-        heads[name] = (names, target, LEARN, prep.monotone_signs(names, falling))
-    models = gbdt.fit_heads(rows, heads)
-    rows.unpersist()
-    raw.unpersist()
-    return models
+    for name, names, target in (("A", adaptive.HEAD_A, "efc"), ("B", adaptive.HEAD_B, "ef_warm"), ("M", adaptive.HEAD_M, "m")):
+        heads[name] = (names, target, QUANTILE, None)
+        heads[f"{name}_mono"] = (names, target, MONOTONE, prep.monotone_signs(names, adaptive.RISING, adaptive.FALLING))
+    return gbdt.fit_heads(rows, heads)
+
 
+def search(w: Workload, targets: list[float], monotone: bool = False) -> DataFrame:
+    """Per target recall: recall reached, mean rows visited, queries a second of search time, over all queries.
 
-def search(w: Workload, targets: list[float]) -> DataFrame:
-    """Per target recall: recall reached and mean rows visited, over all queries."""
-    static = cluster_features(w).cache()
+    Parameters come from the quantile heads, or from the monotone ones, of which none falls with
+    the target while its other features stay.
+    """
+    static = kept(cluster_features(w), "static")
     models = trained(w)
-    chosen = adaptive.choose(static, lambda rows: anchor_features(w, rows), models, targets).cache()
+    models = {name: models[f"{name}_mono" if monotone else name] for name in "ABM"}
+    chosen = kept(adaptive.choose(static, lambda rows: kept(anchor_features(w, rows), "anchored"), models, targets), "chosen")
     found = graph_search.search_clusters(w.queries, w.centers, chosen.select("cluster_id", "efc", "ef_warm", "m").distinct(), graph_search.collect_graph(w.base, w.graph), K)
     rows = found.join(chosen.select("target", "cluster_id", "efc", "ef_warm", "m"), ["cluster_id", "efc", "ef_warm", "m"])
+    rows = kept(rows, "found")
     per = [recall.overall(recall.hits(w.queries, w.truth, rows.where(F.abs(F.col("target") - t) < 1e-9), K)).select(F.lit(t).alias("target"), "recall") for t in targets]
     out = per[0]
     for p in per[1:]:
         out = out.unionByName(p)
-    visited = rows.where("rank = 1").groupBy(F.round("target", 9).alias("t")).agg(F.avg("visited").alias("visited_mean"))
-    return out.join(visited, F.round("target", 9) == F.col("t"), "left").select(F.round("target", 6).alias("target_recall"), F.round("recall", 6).alias("recall"), F.round("visited_mean", 3).alias("visited_mean"))
+    first = rows.where("rank = 1").groupBy(F.round("target", 9).alias("t"))
+    cost = first.agg(F.avg("visited").alias("visited_mean"), (F.count("*") / F.greatest(F.lit(1e-12), F.sum("seconds"))).alias("qps"))
+    return out.join(cost, F.round("target", 9) == F.col("t"), "left").select(F.round("target", 6).alias("target_recall"), F.round("qps", 3).alias("qps"), F.round("recall", 6).alias("recall"), F.round("visited_mean", 3).alias("visited_mean"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features, grid, knn, recall, reuse
+from ..sources.scratch import kept
 
 K = 10
 DEGREE = 16
@@ -62,9 +63,9 @@ class Workload:
         return knn.nearest_query(self.queries)
 
     def hold(self) -> Workload:
-        """Keep what plans of several actions read again and again."""
+        """Write what plans of several actions read again and again."""
         for name in ("centers", "probes", "graph", "truth"):
-            self.__dict__[name] = getattr(self, name).cache()
+            self.__dict__[name] = kept(getattr(self, name), name)
         return self
 
     def reuse(self, seeds: int = SEEDS, k: int = K) -> DataFrame:

@@ -180,7 +180,10 @@ def test_preparation(spark):
     with pytest.raises(ValueError, match="missing"):
         prep.require(df, "w")
     assert prep.select_features(["a", "b", "c"], ["c", "a"], ["a"]) == ["c"]
-    assert prep.monotone_signs(["cluster_density", "overlap_x", "efc", "other"], ("efc",)) == [-1, 1, -1, 0]
+    signs = dict(zip(adaptive.HEAD_M, prep.monotone_signs(adaptive.HEAD_M, adaptive.RISING, adaptive.FALLING)))
+    assert {f for f, s in signs.items() if s < 0} == {"cluster_density", "efc", "log_efc"}
+    assert {f for f, s in signs.items() if s > 0} == {"cluster_radius_p50", "cluster_radius_p90", "radius_skew", "overlap128_vs_256", "jaccard128_vs_256", "recall_at_k", *adaptive.ANCHOR}
+    assert prep.monotone_signs(adaptive.HEAD_A, adaptive.RISING, adaptive.FALLING)[-4:] == [1, 1, 1, 1]
 
 
 @pytest.mark.parametrize("model", synth.MODELS)
@@ -228,3 +231,75 @@ def test_efforts_are_compared_over_the_whole_base(spark):
         few, many = ({r for _, r in graph_search.search(g, center, ef, np.array([g.entry(center)]))[0][:K]} for ef in (SMALL, LARGE))
         want[row.cluster_id] = len(few & many) / K
     assert got and {c: want[c] for c in got} == pytest.approx(got)
+
+
+def test_order_of_features():
+    """Positional models are read with these lists."""
+    assert adaptive.HEAD_A[:4] == ["cluster_size", "cluster_size_log", "log1p_cluster_size", "cluster_density"]
+    assert adaptive.HEAD_A[10:] == ["overlap128_vs_256", "jaccard128_vs_256", "lid_probe256_k10", "rc_probe256_k10", "expansion2k_over_k_probe256_k10", "recall_at_k"]
+    assert adaptive.HEAD_B[12:] == ["lid_k_efc", "rc_k_efc", "expand2k_over_k_efc", "efc", "log_efc", "recall_at_k"]
+    assert adaptive.HEAD_M[15:] == ["efc", "ef_warm", "log_efc", "log_efw", "efw_over_efc", "recall_at_k"]
+
+
+def test_percentiles_with_infinities_and_wide_ranges(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "FEW", 50)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal(3000), [np.inf] * 40, [-np.inf] * 7, [1e308, -1e308], np.full(500, 0.25)])
+    df = spark.createDataFrame([(float(v),) for v in x], "v double").repartition(3)
+    shares = [0.0, 0.001, 0.01, 0.5, 0.9, 0.99, 1.0]
+    got = quantiles.exact_percentiles(df, "v", shares)
+    ordered = np.sort(x)
+    for p, v in zip(shares, got):
+        a, b = ordered[math.floor(p * (len(x) - 1))], ordered[math.ceil(p * (len(x) - 1))]
+        assert v == a == b or v == pytest.approx(a + (b - a) * (p * (len(x) - 1) % 1))
+
+
+def test_percentiles_of_groups(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "BINS", 4)
+    rng = np.random.default_rng(4)
+    groups = {1: rng.standard_normal(700), 2: np.array([5.0]), 3: np.repeat([1.0, 2.0], [300, 2]), 4: rng.lognormal(0, 4, 500)}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x], "g int, x double").repartition(3)
+    got = {r.g: r for r in quantiles.group_percentiles(df, {"a": 0.5, "b": 0.9}).collect()}
+    for g, x in groups.items():
+        assert (got[g].n, got[g].a, got[g].b) == (len(x), pytest.approx(np.percentile(x, 50)), pytest.approx(np.percentile(x, 90)))
+    ranks = spark.createDataFrame([(4, r) for r in range(0, 500, 7)], "g int, rank long")
+    found = {r["rank"]: r.x for r in quantiles.values_at(df, ranks).collect()}
+    assert found == {r: np.sort(groups[4])[r] for r in range(0, 500, 7)}
+
+
+def test_neighbours_within_groups(spark):
+    rng = np.random.default_rng(6)
+    x, group = rng.standard_normal((300, 5)), np.arange(300) % 4 // 2
+    rows = spark.createDataFrame([(int(g), i, v.tolist()) for i, (g, v) in enumerate(zip(group, x))], "group int, qid long, vec array<double>").repartition(3)
+    got = {(r.qid, r["rank"]): r.base_id for r in knn.grouped_knn(rows, rows.withColumnRenamed("qid", "base_id"), 3, size=37).collect()}
+    for i in range(300):
+        d = np.where(group == group[i], ((x - x[i]) ** 2).sum(axis=1), np.inf)
+        assert [got[i, k] for k in (1, 2, 3)] == np.argsort(d, kind="stable")[:3].tolist()
+
+
+def test_a_higher_target_costs_more(spark):
+    from lodestone.plans import adaptive as plan
+    from lodestone.plans.tables import Workload
+
+    got = plan.search(Workload(spark, "/root/testdata/sf0.1").hold(), [0.8, 0.9, 0.95]).orderBy("target_recall").collect()
+    visited = [r.visited_mean for r in got]
+    assert visited[0] * 1.15 < visited[1] < visited[2] and all(r.recall >= r.target_recall - 0.02 and r.qps > 0 for r in got)
+
+
+def test_the_cheapest_cell_of_each_level(spark):
+    from lodestone.plans import adaptive as plan
+
+    rows = [(1, 16, 10, 5.0, 0.7, 100.0), (1, 64, 16, 8.0, 0.9, 200.0), (1, 64, 24, 9.0, 0.9, 180.0), (2, 16, 10, 5.0, 0.95, 90.0)]
+    table = spark.createDataFrame(rows, "cluster_id int, efc int, ef_warm int, m double, recall_at_k double, visited_mean double")
+    got = {(r.cluster_id, r.recall_at_k): (r.efc, r.ef_warm, r.m) for r in plan.cheapest(table, [0.7, 0.8, 0.95]).collect()}
+    assert got == {(1, 0.7): (16, 10, 5.0), (1, 0.8): (64, 24, 9.0), (2, 0.7): (16, 10, 5.0), (2, 0.8): (16, 10, 5.0), (2, 0.95): (16, 10, 5.0)}
+
+
+def test_search_over_the_whole_list_is_exact(spark):
+    """With full effort the graph search gives the neighbours that comparing with all rows gives."""
+    members, base = held_out(spark, 200)
+    graph = graph_search.collect_graph(base, knn.knn_graph(base, 12))
+    centers = features.centroids(members)
+    settings = centers.select("cluster_id", F.lit(160).alias("efc"), F.lit(160).alias("ef_warm"), F.lit(160.0).alias("m"))
+    key = lambda rows: sorted((r.qid, r["rank"], r.base_id, round(r.d2, 9)) for r in rows.collect())
+    assert key(graph_search.search_clusters(members, centers, settings, graph, 10)) == key(knn.exact_knn(members, base, 10))
