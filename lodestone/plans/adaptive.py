@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import adaptive, features, gbdt, graph_search, prep, recall, similarity
+from ..operators import adaptive, features, gbdt, graph_search, knn, prep, recall, similarity
 from ..sources.scratch import kept
 from .tables import K, LARGE, PROBES, SMALL, Workload
 
@@ -17,6 +17,24 @@ QUANTILE = gbdt.Settings(loss="quantile", trees=120, min_rows=4)
 MONOTONE = gbdt.Settings(loss="huber", trees=120, min_rows=4, min_gain=1e-4)
 
 
+ALIKE = {"overlap": similarity.overlap, "jaccard": similarity.jaccard}
+#: Depths of the lists' comparisons, and of the recalls of the training table.
+DEPTHS = (1, 10, 100)
+# The columns of the training table, in order.
+COLUMNS = [
+    "cluster_id", "cluster_size",
+    "cluster_density", "cluster_radius_p50", "cluster_radius_p90", "radius_skew",
+    "dist_centroid_to_entryL0", "entry_dist_norm", "dist_centroid_top1_smallEF",
+    "overlap128_vs_256", "jaccard128_vs_256",
+    "overlap128_vs_256_k1", "overlap128_vs_256_k10", "overlap128_vs_256_k100",
+    "jaccard128_vs_256_k1", "jaccard128_vs_256_k10", "jaccard128_vs_256_k100",
+    "lid_probe256_k10", "rc_probe256_k10", "expansion2k_over_k_probe256_k10",
+    "efc", "ef_warm", "L_aligned",
+    "recall_at_1", "recall_at_10", "recall_at_100", "qps_run",
+    "centroid_steps", "visited_mean",
+]
+
+
 def cluster_features(w: Workload, faithful_skew: bool = False) -> DataFrame:
     """The static features of each cluster, under the names that the heads know.
 
@@ -32,7 +50,10 @@ def cluster_features(w: Workload, faithful_skew: bool = False) -> DataFrame:
     found = graph_search.probe(w.centers, graph_search.collect_graph(w.base, w.graph), (SMALL, LARGE))
     few, many = (similarity.lists(found.where(F.col("ef") == ef), "cluster_id").withColumnRenamed("ids", name) for ef, name in ((SMALL, "few"), (LARGE, "many")))
     lists = few.join(many, "cluster_id")
-    alike = lists.select("cluster_id", similarity.overlap(F.col("few"), F.col("many"), K).alias("overlap128_vs_256"), similarity.jaccard(F.col("few"), F.col("many"), K).alias("jaccard128_vs_256"))
+    sides = F.col("few"), F.col("many")
+    alike = [f(*sides, K).alias(f"{name}128_vs_256") for name, f in ALIKE.items()]
+    alike += [f(*(F.slice(x, 1, 100) for x in sides), k).alias(f"{name}128_vs_256_k{k}") for name, f in ALIKE.items() for k in DEPTHS]
+    alike = lists.select("cluster_id", *alike)
     local = features.local_shape(w.probes)
     names = [f"{c}_serve" if faithful_skew else c for c in ("lid", "rc", "expansion")]
     local = local.select("cluster_id", *(F.col(n).alias(to) for n, to in zip(names, adaptive.PROBE)))
@@ -55,6 +76,7 @@ def cluster_features(w: Workload, faithful_skew: bool = False) -> DataFrame:
         "overlap128_vs_256",
         "jaccard128_vs_256",
         *adaptive.PROBE,
+        *(f"{name}128_vs_256_k{k}" for name in ALIKE for k in DEPTHS),
     )
 
 
@@ -89,6 +111,23 @@ def collected(w: Workload) -> DataFrame:
     return features.derived(anchor_features(w, rows))
 
 
+def training_runs(w: Workload) -> DataFrame:
+    """One row a cluster and valid cell of the grid, with the columns of a training file; truth has 100 neighbours."""
+    most, key = DEPTHS[-1], ["cluster_id", "efc", "ef_warm", "m"]
+    grid = w.grid().withColumn("m", F.col("share") * F.col("ef_warm")).select(F.col("efc").cast("int").alias("efc"), F.col("ef_warm").cast("int").alias("ef_warm"), "m")
+    truth = knn.exact_knn(w.queries, w.base, most).select("qid", "base_id", F.col("rank").alias("place"))
+    graph = graph_search.collect_graph(w.base, w.graph)
+    found = kept(graph_search.search_clusters(w.queries, w.centers, grid.crossJoin(w.centers.select("cluster_id")), graph, most), "results")  # the grid is a setting
+    hits = [(F.count_if((F.col("rank") <= k) & (F.col("place") <= k))).alias(f"hits_{k}") for k in DEPTHS]
+    hit = found.join(truth, ["qid", "base_id"]).groupBy(*key).agg(*hits)
+    first = found.where("rank = 1").groupBy(*key)
+    seen = first.agg(F.avg("visited").alias("visited_mean"), F.max("steps").alias("centroid_steps"), (F.count("*") / F.greatest(F.lit(1e-12), F.sum("seconds"))).alias("qps_run"))
+    held = truth.groupBy("qid").agg(F.count("*").alias("held")).join(w.queries, "qid").groupBy("cluster_id").agg(*(F.sum(F.least("held", F.lit(k))).alias(f"all_{k}") for k in DEPTHS))
+    rows = kept(cluster_features(w), "static").join(seen, "cluster_id").join(hit, key, "left").join(held, "cluster_id")
+    rows = rows.withColumns({f"recall_at_{k}": F.coalesce(f"hits_{k}", F.lit(0)) / F.col(f"all_{k}") for k in DEPTHS})
+    return rows.withColumn("L_aligned", F.col("m") / F.col("ef_warm")).select(*COLUMNS)
+
+
 def cheapest(rows: DataFrame, levels: list[float]) -> DataFrame:
     """For each cluster and recall level the cell that reaches it with the fewest rows visited; recall_at_k is the level.
 

@@ -445,6 +445,11 @@ def graph_search(w: Workload) -> DataFrame:
     return adaptive_plan.graph_results(w.hold(), [(64, 32, 16.0), (64, 16, 8.0)]).select("cluster_id", "efc", "ef_warm", "m", "qid", "rank", "base_id", r6("d2"), "visited")
 
 
+@query
+def training_runs(w: Workload) -> DataFrame:
+    return adaptive_plan.training_runs(w.hold())
+
+
 @query
 def gbdt_train(w: Workload) -> DataFrame:
     models = adaptive_plan.trained(w.hold())

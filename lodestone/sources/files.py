@@ -55,9 +55,32 @@ def model_text(model: Ensemble) -> str:
     return "\n\n".join(out) + "\n"
 
 
+def put_text(path: str, text: str) -> None:
+    """Write one file into any store that Spark writes to; paths without a scheme are its default's."""
+    spark = SparkSession.active()
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 def write_model(model: Ensemble, path: str) -> None:
-    with open(path, "w") as f:
-        f.write(model_text(model))
+    put_text(path, model_text(model))
+
+
+def write_importance(model: Ensemble, path: str) -> None:
+    """feature,gain lines, highest gain first."""
+    put_text(path, "feature,gain\n" + "".join(f"{name},{gain:.6f}\n" for name, gain in model.importance()))
+
+
+def write_models(models: dict[str, Ensemble], folder: str, **more) -> None:  # noqa: ANN003
+    """Of each model its trees and importances, and of all the feature lists (meta.json)."""
+    for name, model in models.items():
+        write_model(model, f"{folder}/model_{name}.txt")
+        write_importance(model, f"{folder}/fi_{name}.csv")
+    write_meta(f"{folder}/meta.json", {name: m.features for name, m in models.items()}, **more)
 
 
 def model_table(spark: SparkSession, model: Ensemble) -> DataFrame:
@@ -79,8 +102,7 @@ def read_meta(spark: SparkSession, path: str, defaults: dict[str, list[str]]) ->
 
 
 def write_meta(path: str, features: dict[str, list[str]], **more) -> None:  # noqa: ANN003
-    with open(path, "w") as f:
-        json.dump({f"features_{head}_used": names for head, names in features.items()} | more, f, indent=1)
+    put_text(path, json.dumps({f"features_{head}_used": names for head, names in features.items()} | more, indent=1))
 
 
 def read_recall_head(text: str) -> tuple[dict[str, float], dict[str, list[tuple[float, float]]]]:
@@ -128,6 +150,21 @@ def write_csv(df: DataFrame, path: str, decimals: int = 6) -> None:
     df.select(*fixed).write.mode("overwrite").option("header", True).csv(path)
 
 
+# The columns of the cluster file and of the file of queries.
+CLUSTER_COLUMNS = ["cluster", "center_idx", "qpc", "sigma_deg", "theta_min_deg"]
+QUERY_COLUMNS = ["target_recall", "qid", "search_time_s", "recall"]
+
+
+def write_clusters(clusters: DataFrame, path: str) -> None:
+    """The generator's clusters, with six decimals."""
+    write_csv(clusters.select(*CLUSTER_COLUMNS), path)
+
+
+def write_queries(rows: DataFrame, path: str) -> None:
+    """Time and recall of each query and target, with six decimals."""
+    write_csv(rows.select(*QUERY_COLUMNS), path)
+
+
 def read_runs(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)

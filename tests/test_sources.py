@@ -60,3 +60,28 @@ def test_tables(spark, tmp_path):
         assert files.load_or_build(spark, f"{tmp_path}/index", make).count() == 1
     assert len(built) == 1
     assert files.first_existing(str(tmp_path), ["no", "runs"]).endswith("runs") and files.first_existing(str(tmp_path), ["no", "none"]).endswith("/no")
+
+
+def test_written_files(spark, tmp_path):
+    model = gbdt.Ensemble(["a", "b"], [gbdt.Tree([0], [1.5], [-1], [-2], [10.0, 20.0], [1.0]), gbdt.Tree([1], [0.5], [-1], [-2], [1.0, 2.0], [3.0])])
+    files.write_models({"A_efc": model}, f"file://{tmp_path}/models", alpha=0.85)
+    back = files.read_model(spark, f"file://{tmp_path}/models/model_A_efc.txt", ["a", "b"], False)
+    assert [t.value for t in back.trees] == [[10.0, 20.0], [1.0, 2.0]]
+    assert (tmp_path / "models/fi_A_efc.csv").read_text() == "feature,gain\nb,3.000000\na,1.000000\n"
+    assert files.read_meta(spark, f"file://{tmp_path}/models/meta.json", {"A_efc": ["x"], "B": ["y"]}) == {"A_efc": ["a", "b"], "B": ["y"]}
+    files.write_clusters(spark.createDataFrame([(0, 7, 80, 5.0, 2.25)], "cluster int, center_idx long, qpc int, sigma_deg double, theta_min_deg double").coalesce(1), f"file://{tmp_path}/clusters")
+    files.write_queries(spark.createDataFrame([(0.85, 3, 0.001, 0.9)], "target_recall double, qid long, search_time_s double, recall double").coalesce(1), f"file://{tmp_path}/queries")
+    read = lambda name: "".join(p.read_text() for p in (tmp_path / name).glob("*.csv"))
+    assert read("clusters") == "cluster,center_idx,qpc,sigma_deg,theta_min_deg\n0,7,80,5.000000,2.250000\n"
+    assert read("queries") == "target_recall,qid,search_time_s,recall\n0.850000,3,0.001000,0.900000\n"
+
+
+def test_training_runs(spark):
+    from lodestone.plans import adaptive as plan
+    from lodestone.plans.tables import Workload
+
+    rows = plan.training_runs(Workload(spark, "/root/testdata/sf0.001").hold())
+    assert rows.columns == plan.COLUMNS and len(plan.COLUMNS) == 29
+    got = rows.collect()
+    assert len({(r.cluster_id, r.efc, r.ef_warm, r.L_aligned) for r in got}) == len(got) and len(got) % 15 == 0
+    assert all(0 <= r[c] <= 1 for r in got for c in ("recall_at_1", "recall_at_10", "recall_at_100", "overlap128_vs_256_k100")) and all(r.qps_run > 0 and r.centroid_steps > 0 for r in got)
