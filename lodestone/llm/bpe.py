@@ -31,6 +31,9 @@ _SAFE = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 #: Texts longer than this many characters are cut at the first safe boundary after each such stretch.
 STRETCH = 1 << 16
 
+#: Characters of texts that are encoded together; their ids are Python integers for a while, which take most memory.
+PIECE = 250_000
+
 _encodings: dict[tuple[str, str], tiktoken.Encoding] = {}
 
 
@@ -75,7 +78,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
-        for batch in common.small_batches(batches, "text"):
+        for batch in common.small_batches(batches, "text", PIECE):
             ids = [encode(t, enc) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -100,7 +103,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
-        for batch in common.small_batches(batches, "text"):
+        for batch in common.small_batches(batches, "text", PIECE):
             counts, ids_sha, back_sha, same = [], [], [], []
             for text in batch.column("text").to_pylist():
                 ids = encode(text, enc)
@@ -123,7 +126,7 @@ def checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
-        for batch in common.small_batches(batches, "text"):
+        for batch in common.small_batches(batches, "text", PIECE):
             texts = batch.column("text").to_pylist()
             ids = [encode(t, enc) for t in texts]
             same = [enc.decode_bytes(i) == (t or "").encode() for i, t in zip(ids, texts)]

@@ -109,7 +109,7 @@ def unpacked(df: DataFrame, docs: DataFrame, instead: dict[str, Column] | None =
     return df.select(*own, *(v.alias(k) for k, v in (added or {}).items()))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about `chars` bytes of a string column, one row at least."""
     for batch in batches:
         array = batch.column(column)

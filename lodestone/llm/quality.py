@@ -95,11 +95,16 @@ def word_rows(codes: np.ndarray, s: Settings) -> np.ndarray:
     return codes >> 8 & (s.rows - 1)
 
 
-def index_vectors(size: int, s: Settings, salt: int = 0) -> np.ndarray:
+def index_spots(size: int, s: Settings, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(size, ones) components that aren't 0 of each row's index vector, and what they are: 1 or -1."""
     rng = np.random.default_rng([s.seed, salt])
+    return rng.random((size, s.width)).argsort(axis=1)[:, : s.ones], rng.choice([-1.0, 1.0], (size, s.ones))
+
+
+def index_vectors(size: int, s: Settings, salt: int = 0) -> np.ndarray:
     out = np.zeros((size, s.width), np.float32)
-    spots = rng.random((size, s.width)).argsort(axis=1)[:, : s.ones]
-    out[np.arange(size)[:, None], spots] = rng.choice([-1.0, 1.0], (size, s.ones))
+    spots, signs = index_spots(size, s, salt)
+    out[np.arange(size)[:, None], spots] = signs
     return out
 
 
@@ -213,21 +218,14 @@ def sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
     return materialize(rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), "sample")
 
 
-def add_contexts(out: np.ndarray, rows: np.ndarray, index: np.ndarray, reach: int) -> None:
-    """Add to each row of out the index vectors of the rows up to `reach` places beside it; -1 parts texts."""
-    size = len(out)
-    for step in range(1, reach + 1):
+def add_contexts(out: np.ndarray, rows: np.ndarray, spots: np.ndarray, signs: np.ndarray, s: Settings) -> None:
+    """Add to each row of out (flat) the index vectors of the rows up to `reach` places beside it; -1 parts texts."""
+    for step in range(1, s.reach + 1):
         a, b = rows[:-step], rows[step:]
         fine = (a >= 0) & (b >= 0)
-        pair, n = np.unique(a[fine] * size + b[fine], return_counts=True)
-        for x, y in ((pair // size, pair % size), (pair % size, pair // size)):
-            order = np.argsort(x, kind="stable")
-            x, y, times = x[order], y[order], n[order]
-            at = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
-            for start in range(0, len(at), 2048):  # bounds the gathered rows
-                end = at[start + 2048] if start + 2048 < len(at) else len(x)
-                cut = slice(at[start], end)
-                out[x[at[start : start + 2048]]] += np.add.reduceat(times[cut, None] * index[y[cut]], at[start : start + 2048] - at[start], axis=0)
+        a, b = a[fine], b[fine]
+        for x, y in ((a, b), (b, a)):
+            out += np.bincount((x[:, None] * s.width + spots[y]).ravel(), signs[y].ravel(), len(out))
 
 
 def contexts(docs: DataFrame, s: Settings) -> np.ndarray:
@@ -235,11 +233,11 @@ def contexts(docs: DataFrame, s: Settings) -> np.ndarray:
     schema = "x binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, codes = index_vectors(s.rows, s), Codes()
-        out, gap = np.zeros((s.rows, s.width)), np.full(s.reach, -1)
+        (spots, signs), codes = index_spots(s.rows, s), Codes()
+        out, gap = np.zeros(s.rows * s.width), np.full(s.reach, -1)
         for some in common.small_batches(batches, "text", 1_000_000):
             texts = [word_rows(codes.of(tokens(t)), s) for t in some.column("text").to_pylist()]
-            add_contexts(out, np.concatenate([x for t in texts for x in (t, gap)]), index, s.reach)
+            add_contexts(out, np.concatenate([x for t in texts for x in (t, gap)]), spots, signs, s)
         yield pa.record_batch([pa.array([out.astype("<f8").tobytes()], pa.binary())], names=["x"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
