@@ -88,11 +88,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def fresh(df: DataFrame, *names: str) -> DataFrame:
-    """Keep only the named columns, so that an input's extra columns can't clash with an operator's own."""
-    return df.select(*(F.col(f"`{n}`") for n in names))
-
-
 def packed(docs: DataFrame) -> DataFrame:
     """docs as one column _row, so that no column of it can clash with an operator's own."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))

@@ -64,6 +64,8 @@ class Lines:
         return rows, math.ceil(math.log(self.miss) / math.log1p(-((self.percent / 100) ** rows)))
 
 
+#: Blocks of so many lines are compared without a look at signatures.
+SMALL = 8
 PLACE = ["_doc", "_th", "_pos"]
 NO_ID = -(1 << 63)
 ADDED = ["n_lines", "n_removed", "n_near"]
@@ -118,8 +120,10 @@ def shingles(lines: list[str], how: Lines) -> tuple[np.ndarray, np.ndarray]:
     return windows(points, size)[np.arange(count.sum()) + np.repeat(skipped, count)], count
 
 
-def shingle_set(line: str, how: Lines) -> np.ndarray:
-    return np.unique(shingles([line], how)[0])
+def shingle_sets(lines: list[str], how: Lines) -> list[np.ndarray]:
+    """The set of each line, sorted."""
+    found, count = shingles(lines, how)
+    return [np.unique(x) for x in np.split(found, np.cumsum(count)[:-1])] if lines else []
 
 
 def signatures(lines: list[str], how: Lines, bins: int) -> np.ndarray:
@@ -152,7 +156,7 @@ def alike(one: np.ndarray, two: np.ndarray, how: Lines) -> bool:
     """Whether two sets are similar enough."""
     if 100 * min(len(one), len(two)) < how.percent * max(len(one), len(two)):
         return False
-    shared = len(np.intersect1d(one, two, assume_unique=True))
+    shared = int(np.count_nonzero(two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one))
     return 100 * shared >= how.percent * (len(one) + len(two) - shared)
 
 
@@ -185,10 +189,9 @@ def verified(pairs: DataFrame, texts: DataFrame, how: Lines) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in common.small_batches(batches, "line_a", 1_000_000):
-            sets: dict[str, np.ndarray] = {}
             one, two = some.column("line_a").to_pylist(), some.column("line_b").to_pylist()
-            for x in {*one, *two}:
-                sets[x] = shingle_set(x, how)
+            lines = list({*one, *two})
+            sets = dict(zip(lines, shingle_sets(lines, how)))
             fits = [alike(sets[x], sets[y], how) for x, y in zip(one, two)]
             yield pa.record_batch([some.column("a"), some.column("b")], names=["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
@@ -206,23 +209,20 @@ def placed(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def connecting(ids: list[int], lines: list[str], group: list[int], side: np.ndarray | None, how: Lines, bins: int = 32) -> list[tuple[int, int]]:
     """Links that connect the components (group) of lines, of all pairs or of those between side 0 and side 1."""
-    signature = signatures(lines, how, bins)
-    short = np.array([len(x) < 2 * bins for x in lines])  # few shingles say little in bins
+    sets = shingle_sets(lines, how)
     number = {g: i for i, g in enumerate(dict.fromkeys(group))}
     forest, mine = UnionFind(len(number)), [number[g] for g in group]
-    sets: dict[int, np.ndarray] = {}
+    sift = len(ids) > SMALL
+    if sift:
+        signature = signatures(lines, how, bins)
+        short = np.array([len(x) < 2 * bins for x in lines])  # few shingles say little in bins
     links = []
-
-    def of(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = shingle_set(lines[i], how)
-        return sets[i]
-
     for i in range(len(ids)) if side is None else np.flatnonzero(side == 0).tolist():
         other = np.arange(i + 1, len(ids)) if side is None else np.flatnonzero(side == 1)
-        agree = (signature[other] == signature[i]).sum(axis=1)
-        for j in other[(2 * agree >= bins) | short[other] | short[i]].tolist():
-            if forest.find(mine[i]) != forest.find(mine[j]) and alike(of(i), of(j), how):
+        if sift:
+            other = other[(2 * (signature[other] == signature[i]).sum(axis=1) >= bins) | short[other] | short[i]]
+        for j in other.tolist():
+            if forest.find(mine[i]) != forest.find(mine[j]) and alike(sets[i], sets[j], how):
                 forest.join(mine[i], mine[j])
                 links.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
     return links
@@ -244,10 +244,12 @@ def links_between(members: DataFrame, texts: DataFrame, how: Lines) -> DataFrame
 
 
 def buckets(classes: DataFrame, bands: int) -> DataFrame:
-    """(a, key, m, hubs): the classes of each bucket (key) of m > 1 classes, with the bucket's hubs."""
+    """(a, key, m, hubs): the classes of each bucket (key) of m > 1 classes, with the bucket's hubs. Buckets of the same classes are one."""
     keys = classes.select("a", "copies", F.explode(F.array(*(F.col(f"k{i}") for i in range(bands)))).alias("key"))
-    full = keys.groupBy("key").agg(F.count("*").alias("m"), F.max_by("a", "copies").alias("h0"), F.min("a").alias("h1")).where("m > 1")
-    full = materialize(full, "line_buckets")
+    marks = [F.count("*").alias("m"), F.bit_xor("a").alias("x"), F.bit_xor(F.xxhash64("a")).alias("y"), F.max_by("a", "copies").alias("h0"), F.min("a").alias("h1")]
+    full = keys.groupBy("key").agg(*marks).where("m > 1")
+    full = full.groupBy("m", "x", "y").agg(F.min("key").alias("key"), F.min("h0").alias("h0"), F.min("h1").alias("h1"))
+    full = materialize(full.drop("x", "y"), "line_buckets")
     met = perhaps_in(keys.select("a", "key"), F.col("key"), full, "key").join(full.select("key", "m", F.array("h0", "h1").alias("hubs")), "key")
     return materialize(met, "line_members")
 

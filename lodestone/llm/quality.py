@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -182,8 +182,8 @@ def fit_network(x: np.ndarray, y: np.ndarray, s: Settings) -> Network:
 
 @dataclass
 class Model:
-    words: np.ndarray  # index and context vectors of every row, side by side, and room for shapes
-    shapes: np.ndarray  # the shapes' vectors in that room
+    words: np.ndarray | None  # index and context vectors of every row, side by side, and room for shapes
+    shapes: np.ndarray | None  # the shapes' vectors in that room
     network: Network | None
     prior: float
     settings: Settings
@@ -289,13 +289,14 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
 
 def _scores(docs: DataFrame, model: Model) -> DataFrame:
     """_row (all columns but the text), text and score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    # the tables go out as the first layer sees them, a quarter of their size
+    parts = model.scorer() if model.network is not None else None
+    held = docs.sparkSession.sparkContext.broadcast((replace(model, words=None, shapes=None), parts))
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"))
     rows = docs.select(rest.alias("_row"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, codes = held.value, Codes()
-        parts = fitted.scorer() if fitted.network is not None else None
+        (fitted, parts), codes = held.value, Codes()
         for some in common.small_batches(batches, "text"):
             score = fitted.score(some.column("text").to_pylist(), parts, codes)
             yield pa.record_batch([some.column("_row"), some.column("text"), pa.array(score)], names=["_row", "text", "score"])

@@ -125,7 +125,7 @@ def test_shingles_are_taken_at_every_position():
     for size in (1, 3, 5, 8):
         how = ld.Lines(shingle=size)
         want = [{x[i : i + size] for i in range(max(1, len(x) - size + 1))} for x in lines]
-        assert [len(ld.shingle_set(x, how)) for x in lines] == [len(w) for w in want]
+        assert [len(x) for x in ld.shingle_sets(lines, how)] == [len(w) for w in want]
         found, count = ld.shingles(lines, how)
         assert count.tolist() == [max(1, len(x) - size + 1) for x in lines]
         one = dict(zip([x[i : i + size] for x in lines for i in range(max(1, len(x) - size + 1))], found.tolist()))
@@ -150,7 +150,7 @@ def test_signatures_agree_as_often_as_sets_do():
     assert abs((keys[0] == keys[1]).mean() - np.mean(np.array(like) ** 4)) < 0.05
     # a signature's bins hold the least hash of the bin, or of the next that holds one
     few = ld.signatures(["a line of few"], HOW, 32)[0]
-    assert set(few.tolist()) == set(ld.shingle_set("a line of few", HOW).tolist())
+    assert set(few.tolist()) == set(ld.shingle_sets(["a line of few"], HOW)[0].tolist())
 
 
 def test_one_edit_in_a_line_without_blanks(spark):
