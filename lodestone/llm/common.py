@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -70,11 +71,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_DROP_SHUFFLES, before)
+    ease(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path  # noqa: SLF001
     return out
 
 
+#: The driver's heap is collected when more than this part of it is taken, at most once in so many seconds.
+TAKEN, REST = 0.6, 3.0
+_eased = [0.0]
+
+
+def ease(spark: SparkSession) -> None:
+    """Hand the heap that plans of earlier actions took back to the system: the driver would keep all it may have."""
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > TAKEN * runtime.maxMemory() and time.monotonic() > _eased[0] + REST:
+        jvm.java.lang.System.gc()
+        _eased[0] = time.monotonic()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table that materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_lodestone_path", None)
@@ -157,31 +173,46 @@ class WordCodes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-#: Words of 64 bits of a membership filter: 1 MB, whatever it stands for.
-FILTER_WORDS = 1 << 17
+#: Words of 64 bits of a membership filter: 1 MB at least, 64 MB at most.
+FILTER_WORDS, MOST_FILTER_WORDS = 1 << 17, 1 << 23
+#: Bits of a filter for each key, of which a key sets four.
+KEY_BITS = 16
+
+
+def filter_words(keys: int) -> int:
+    """The size of a filter for so many keys: up to 33 million of them, 1 in 400 other rows passes."""
+    words = FILTER_WORDS
+    while 64 * words < KEY_BITS * keys and words < MOST_FILTER_WORDS:
+        words *= 2
+    return words
 
 
-def with_mark(rows: DataFrame, key: Column, wanted: DataFrame, name: str, mark: str) -> DataFrame:
+def with_mark(rows: DataFrame, key: Column, wanted: DataFrame, name: str, mark: str, keys: int = 0) -> DataFrame:
     """rows with a flag that is true where the long key may be in the column `name` of wanted.
 
-    wanted is hashed into a bitmap of fixed size that every task gets; with more keys more
-    other rows are marked, but never a wanted one missed. What joins afterwards has less to move.
+    wanted, of about `keys` rows, is hashed into a bitmap that every task gets; with more keys than
+    it is made for more other rows are marked, but never a wanted one missed. What joins afterwards
+    has less to move.
     """
-    spot = lambda c: F.pmod(F.xxhash64(F.lit(77), c), F.lit(64 * FILTER_WORDS))
-    marks = wanted.select(spot(F.col(name)).alias("spot"))
+    size = filter_words(keys)
+    hashes = lambda c: [F.xxhash64(F.lit(n), c) for n in (77, 78)]
+    spots = lambda many: [F.pmod(x, F.lit(64 * size)) for h in many for x in (h, F.shiftright(h, 32))]
+    marks = wanted.select(F.explode(F.array(*spots(hashes(F.col(name))))).alias("spot"))
     words = marks.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("bits"))
-    every = rows.sparkSession.range(FILTER_WORDS).withColumnRenamed("id", "word").join(words, "word", "left")
+    every = rows.sparkSession.range(size).withColumnRenamed("id", "word").join(words, "word", "left")
     one = every.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("x"))
     one = one.select(F.transform("x", lambda y: y["bits"]).alias("_filter"))
-    placed = rows.withColumn("_spot", spot(key)).crossJoin(F.broadcast(one))
-    word = F.get("_filter", F.shiftright("_spot", 6).cast("int"))
-    hit = F.call_function("shiftright", word, F.pmod("_spot", F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-    return placed.withColumn(mark, F.coalesce(hit, F.lit(False))).drop("_spot", "_filter")
+    placed = rows.withColumns(dict(zip(("_spot", "_spot_2"), hashes(key)))).crossJoin(F.broadcast(one))
+    hit = F.lit(True)
+    for spot in spots([F.col("_spot"), F.col("_spot_2")]):
+        word = F.get("_filter", F.shiftright(spot, 6).cast("int"))
+        hit = hit & (F.call_function("shiftright", word, F.pmod(spot, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return placed.withColumn(mark, F.coalesce(hit, F.lit(False))).drop("_spot", "_spot_2", "_filter")
 
 
-def perhaps_in(rows: DataFrame, key: Column, wanted: DataFrame, name: str) -> DataFrame:
+def perhaps_in(rows: DataFrame, key: Column, wanted: DataFrame, name: str, keys: int = 0) -> DataFrame:
     """The rows whose long key may be in the column `name` of wanted, and few others."""
-    return with_mark(rows, key, wanted, name, "_mark").where("_mark").drop("_mark")
+    return with_mark(rows, key, wanted, name, "_mark", keys).where("_mark").drop("_mark")
 
 
 def units(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:

@@ -24,7 +24,7 @@ told apart and only compared exactly.
 Signatures and exact similarities are numpy's work on Arrow batches: DataFrame functions alone
 take more than the time allowed (README has the figures). All else is DataFrame functions.
 
-Only texts of lines that meet others travel: a bitmap of fixed size keeps the rest at home.
+Only texts of lines that meet others travel: a bitmap, sized by their number, keeps the rest at home.
 
 Defined results: null and empty texts stay as they are; lines under `least` characters stay
 everywhere; rows equal in doc_id and text are one document; null doc_ids come first; a
@@ -250,7 +250,7 @@ def buckets(classes: DataFrame, bands: int) -> DataFrame:
     full = keys.groupBy("key").agg(*marks).where("m > 1")
     full = full.groupBy("m", "x", "y").agg(F.min("key").alias("key"), F.min("h0").alias("h0"), F.min("h1").alias("h1"))
     full = materialize(full.drop("x", "y"), "line_buckets")
-    met = perhaps_in(keys.select("a", "key"), F.col("key"), full, "key").join(full.select("key", "m", F.array("h0", "h1").alias("hubs")), "key")
+    met = perhaps_in(keys.select("a", "key"), F.col("key"), full, "key", full.count()).join(full.select("key", "m", F.array("h0", "h1").alias("hubs")), "key")
     return materialize(met, "line_members")
 
 
@@ -258,7 +258,7 @@ def line_links(docs: DataFrame, classes: DataFrame, bands: int, how: Lines) -> D
     """(a, b): verified links that connect the classes of lines that links connect."""
     members = buckets(classes, bands)
     wanted = materialize(members.select("a").distinct(), "line_wanted")
-    texts = perhaps_in(long_lines(docs, how).select("a", "line"), F.col("a"), wanted, "a").groupBy("a").agg(F.min("line").alias("line"))
+    texts = perhaps_in(long_lines(docs, how).select("a", "line"), F.col("a"), wanted, "a", wanted.count()).groupBy("a").agg(F.min("line").alias("line"))
     texts = materialize(texts.join(wanted, "a"), "line_texts")
     links = verified(materialize(hub_pairs(members, F.col("hubs")), "line_pairs"), texts, how)
     # in buckets of two nothing is left to try
@@ -280,7 +280,7 @@ def removed(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
     # only classes of several lines, and those that links connect, can lose lines
     several = classes.where("copies > 1").select("a").unionByName(groups.select("a")).distinct()
     several = materialize(several.join(groups, "a", "left"), "line_several")
-    some = perhaps_in(lines.select(*PLACE, "a", "b"), F.col("a"), several, "a").join(several, "a")
+    some = perhaps_in(lines.select(*PLACE, "a", "b"), F.col("a"), several, "a", several.count()).join(several, "a")
     # a class outside all components is told by both hashes
     group = some.select(*PLACE, "a", F.coalesce("component", "a").alias("g"), F.when(F.col("component").isNull(), F.col("b")).otherwise(F.lit(0)).alias("h"))
     group = materialize(group, "line_places")
@@ -301,7 +301,7 @@ def kept(docs: DataFrame, how: Lines) -> DataFrame:
     counts = rows.select("_doc", "_th", "key").groupBy("_doc", "_th").agg(F.count("*").alias("rows")).where("rows > 1")
     special = gone.join(counts, ["_doc", "_th"], "full")
     special = materialize(special.select("_doc", "_th", F.xxhash64("_doc", "_th").alias("key"), "gone", "n_near", F.coalesce("rows", F.lit(1)).alias("rows")), "changed")
-    marked = with_mark(rows, F.col("key"), special, "key", "special").drop("key")
+    marked = with_mark(rows, F.col("key"), special, "key", "special", special.count()).drop("key")
     # the changes fit in memory where the texts needn't, so these are hashed and the texts are not sorted
     changed = marked.where("special").join(special.select("_doc", "_th", "gone", "n_near", "rows").hint("shuffle_hash"), ["_doc", "_th"], "left")
     names = ["_row", "text", "gone", "n_near"]
