@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -77,18 +78,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-#: The driver's heap is collected when more than this part of it is taken, at most once in so many seconds.
-TAKEN, REST = 0.6, 3.0
+#: The driver's memory is looked after at most once in so many seconds; its heap is collected when more than this part of it is taken.
+REST, TAKEN = 3.0, 0.6
 _eased = [0.0]
 
 
 def ease(spark: SparkSession) -> None:
-    """Hand the heap that plans of earlier actions took back to the system: the driver would keep all it may have."""
+    """Hand memory that plans of earlier actions took back to the system: the driver would keep all it may have."""
+    if time.monotonic() < _eased[0] + REST:
+        return
+    _eased[0] = time.monotonic()
     jvm = spark.sparkContext._jvm
     runtime = jvm.java.lang.Runtime.getRuntime()
-    if runtime.totalMemory() > TAKEN * runtime.maxMemory() and time.monotonic() > _eased[0] + REST:
+    if runtime.totalMemory() > TAKEN * runtime.maxMemory():
         jvm.java.lang.System.gc()
-        _eased[0] = time.monotonic()
+    give_back()
+    with contextlib.suppress(Py4JError):  # other Java machines have no such command
+        trim_driver(spark)
+
+
+def trim_driver(spark: SparkSession) -> str:
+    """Hand memory that is free but held by the driver's allocator, outside the heap, back to the system; what the Java machine says of it."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    named = jvm.java.lang.Class.forName
+    kinds, given = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = named(kind)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    return named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, given)
 
 
 def discard(df: DataFrame) -> None:

@@ -88,25 +88,49 @@ def long_lines(docs: DataFrame, how: Lines) -> DataFrame:
 
 
 def _mixed_up(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    z = y >> np.uint64(27)
+    y ^= z
+    y *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(y, np.uint64(31), out=z)
+    y ^= z
+    return y
 
 
 def windows(points: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of `size` code points, put together from runs of 1, 2, 4, ..."""
+    """Hashes of all runs of `size` code points: polynomials in their hashes, put together from runs of 1, 2, 4, ..."""
+    power, span, factor = _mixed_up(points.astype(np.uint64) + np.uint64(1)), 1, np.uint64(0xD6E8FEB86659FD95)
+    out, held = np.full(len(points), size, np.uint64), 0
     with np.errstate(over="ignore"):
-        power, span = _mixed_up(points.astype(np.uint64) + np.uint64(1)), 1
-        out, held = np.full(len(points), size, np.uint64), 0
         while held < size:
             if size & span:
                 n = len(points) - held - span + 1
-                out = _mixed_up(out[:n] * np.uint64(0x9E3779B97F4A7C15) + power[held : held + n])
+                out = out[:n] * factor
+                out += power[held : held + n]
                 held += span
             if held < size:
-                power = _mixed_up(power[: len(power) - span] * np.uint64(0xD6E8FEB86659FD93) + power[span:])
+                longer = power[: len(power) - span] * factor
+                longer += power[span:]
+                power, factor = longer, factor * factor
             span *= 2
-    return out
+        return _mixed_up(out)
+
+
+#: Lines are hashed in pieces of so many characters, whose numbers fit in a core's cache.
+PIECE = 60_000
+
+
+def pieces(lines: list[str]) -> Iterator[list[str]]:
+    start, size = 0, 0
+    for i, x in enumerate(lines):
+        if size and size + len(x) > PIECE:
+            yield lines[start:i]
+            start, size = i, 0
+        size += len(x)
+    if start < len(lines):
+        yield lines[start:]
 
 
 def shingles(lines: list[str], how: Lines) -> tuple[np.ndarray, np.ndarray]:
@@ -122,32 +146,52 @@ def shingles(lines: list[str], how: Lines) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(lines: list[str], how: Lines) -> list[np.ndarray]:
     """The set of each line, sorted."""
-    found, count = shingles(lines, how)
-    return [np.unique(x) for x in np.split(found, np.cumsum(count)[:-1])] if lines else []
+    out = []
+    for some in pieces(lines):
+        found, count = shingles(some, how)
+        ends = np.cumsum(count)
+        starts = ends - count
+        for start, end in zip(starts.tolist(), ends.tolist()):
+            found[start:end].sort()
+        new = np.empty(len(found), bool)
+        np.not_equal(found[1:], found[:-1], out=new[1:])
+        new[starts] = True
+        found, ends = found[new], np.cumsum(np.add.reduceat(new, starts, dtype=np.int64)).tolist()
+        out += [found[start:end] for start, end in zip([0, *ends], ends)]
+    return out
 
 
 def signatures(lines: list[str], how: Lines, bins: int) -> np.ndarray:
     """(lines, bins): the least hash of each bin, or of the next that isn't empty."""
-    found, count = shingles(lines, how)
+    return np.concatenate([binned(*shingles(some, how), bins) for some in pieces(lines)] or [np.empty((0, bins), np.uint64)])
+
+
+def binned(found: np.ndarray, count: np.ndarray, bins: int) -> np.ndarray:
+    """The signatures of lines that have so many hashes (count) of those found."""
     spot = (found >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    out = np.full(len(lines) * bins, none)
-    np.minimum.at(out, np.repeat(np.arange(len(lines)) * bins, count) + spot.astype(np.int64), found)
-    out = out.reshape(len(lines), bins)
-    twice = np.concatenate([out, out], axis=1) != none
-    follow = np.where(twice, np.arange(2 * bins), 2 * bins)
-    follow = np.minimum.accumulate(follow[:, ::-1], axis=1)[:, ::-1][:, :bins]
-    return np.take_along_axis(out, follow % bins, axis=1)
+    out = np.full(len(count) * bins, none)
+    np.minimum.at(out, np.repeat(np.arange(len(count)) * bins, count) + spot.astype(np.int64), found)
+    out = out.reshape(len(count), bins)
+    empty = (out == none).any(axis=1)
+    if empty.any():
+        some = out[empty]
+        twice = np.concatenate([some, some], axis=1) != none
+        follow = np.where(twice, np.arange(2 * bins), 2 * bins)
+        follow = np.minimum.accumulate(follow[:, ::-1], axis=1)[:, ::-1][:, :bins]
+        out[empty] = np.take_along_axis(some, follow % bins, axis=1)
+    return out
 
 
 def band_keys(signature: np.ndarray, rows: int, bands: int) -> np.ndarray:
     """(lines, bands) keys, as signed integers."""
     out = np.empty((len(signature), bands), np.uint64)
+    signature = np.ascontiguousarray(signature.T)
     with np.errstate(over="ignore"):
         for i in range(bands):
-            key = np.full(len(signature), i + 1, np.uint64)
+            key = np.full(len(out), i + 1, np.uint64)
             for j in range(i * rows, (i + 1) * rows):
-                key = _mixed_up(key * np.uint64(0x9E3779B97F4A7C15) + signature[:, j])
+                key = _mixed_up(key * np.uint64(0x9E3779B97F4A7C15) + signature[j])
             out[:, i] = key
     return out.view(np.int64)
 
@@ -199,23 +243,22 @@ def verified(pairs: DataFrame, texts: DataFrame, how: Lines) -> DataFrame:
     return materialize(map_arrow(both.select("a", "b", "line_a", "line_b"), run, "a long, b long"), "line_links")
 
 
-def placed(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members with the component of each, without the buckets that one component fills."""
-    groups = graph.components(links).withColumnRenamed("v", "a")
+def placed(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """members with the component of each, without the buckets that one component fills. groups: (a, component)."""
     found = materialize(members.join(groups, "a", "left").withColumn("component", F.coalesce("component", "a")), "line_placed")
     mixed = found.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
     return materialize(found.join(mixed, "key"), "line_mixed")
 
 
-def connecting(ids: list[int], lines: list[str], group: list[int], side: np.ndarray | None, how: Lines, bins: int = 32) -> list[tuple[int, int]]:
-    """Links that connect the components (group) of lines, of all pairs or of those between side 0 and side 1."""
-    sets = shingle_sets(lines, how)
+def connecting(ids: list[int], sets: list[np.ndarray], group: list[int], side: np.ndarray | None, how: Lines, bins: int = 32) -> list[tuple[int, int]]:
+    """Links that connect the components (group) of lines with these sets, of all pairs or of those between side 0 and side 1."""
     number = {g: i for i, g in enumerate(dict.fromkeys(group))}
     forest, mine = UnionFind(len(number)), [number[g] for g in group]
     sift = len(ids) > SMALL
     if sift:
-        signature = signatures(lines, how, bins)
-        short = np.array([len(x) < 2 * bins for x in lines])  # few shingles say little in bins
+        size = np.array([len(x) for x in sets])
+        signature = binned(np.concatenate(sets), size, bins)
+        short = size < 2 * bins  # few shingles say little in bins
     links = []
     for i in range(len(ids)) if side is None else np.flatnonzero(side == 0).tolist():
         other = np.arange(i + 1, len(ids)) if side is None else np.flatnonzero(side == 1)
@@ -231,12 +274,28 @@ def connecting(ids: list[int], lines: list[str], group: list[int], side: np.ndar
 def links_between(members: DataFrame, texts: DataFrame, how: Lines) -> DataFrame:
     """(a, b): links that connect the components of buckets. members: (key, a, component)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in common.units(batches, "unit", "one", "two"):
+    def linked(units: list[pa.Table]) -> pa.RecordBatch:
+        links, start = [], 0
+        sets = shingle_sets([x for unit in units for x in unit.column("line").to_pylist()], how)
+        for unit in units:
             one, two = unit.column("one")[0].as_py(), unit.column("two")[0].as_py()
             side = None if one == two else (unit.column("part").to_numpy() == two).astype(int)
-            links = connecting(unit.column("cid").to_pylist(), unit.column("line").to_pylist(), unit.column("component").to_pylist(), side, how)
-            yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+            end = start + len(unit)
+            links += connecting(unit.column("cid").to_pylist(), sets[start:end], unit.column("component").to_pylist(), side, how)
+            start = end
+        return pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # most units are small, so many are gone through at once
+        held, size = [], 0
+        for unit in common.units(batches, "unit", "one", "two"):
+            held.append(unit)
+            size += unit.column("line").nbytes
+            if size > 500_000:
+                yield linked(held)
+                held, size = [], 0
+        if held:
+            yield linked(held)
 
     dealt = blocks(members.select(F.col("key").alias("unit"), F.col("a").alias("cid"), "component"), how)
     rows = dealt.join(texts.withColumnRenamed("a", "cid"), "cid").repartition("unit", "one", "two").sortWithinPartitions("unit", "one", "two")
@@ -255,14 +314,17 @@ def buckets(classes: DataFrame, bands: int) -> DataFrame:
 
 
 def line_links(docs: DataFrame, classes: DataFrame, bands: int, how: Lines) -> DataFrame:
-    """(a, b): verified links that connect the classes of lines that links connect."""
+    """(a, b): edges that connect the classes of lines that verified links connect."""
     members = buckets(classes, bands)
     wanted = materialize(members.select("a").distinct(), "line_wanted")
     texts = perhaps_in(long_lines(docs, how).select("a", "line"), F.col("a"), wanted, "a", wanted.count()).groupBy("a").agg(F.min("line").alias("line"))
     texts = materialize(texts.join(wanted, "a"), "line_texts")
     links = verified(materialize(hub_pairs(members, F.col("hubs")), "line_pairs"), texts, how)
+    groups = materialize(graph.components(links).withColumnRenamed("v", "a"), "line_stars")
+    # components so far go on as stars, which are settled if nothing joins them
+    links = groups.select("a", F.col("component").alias("b"))
     # in buckets of two nothing is left to try
-    crowded = placed(members.where("m > 2").select("a", "key"), links)
+    crowded = placed(members.where("m > 2").select("a", "key"), groups)
     if not crowded.isEmpty():
         links = links.unionByName(materialize(links_between(crowded, texts, how), "line_links"))
     return links

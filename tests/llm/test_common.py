@@ -34,11 +34,16 @@ def test_the_drivers_heap_is_given_back(spark, monkeypatch):
                     gc = staticmethod(lambda: calls.append(1))
 
     session = type("S", (), {"sparkContext": type("C", (), {"_jvm": Jvm})})
-    monkeypatch.setattr(common, "_eased", [0.0])
+    monkeypatch.setattr(common, "trim_driver", lambda _: "")
+    monkeypatch.setattr(common, "_eased", [float("-inf")])
     common.ease(session)
     common.ease(session)
     assert len(calls) == 1  # at most once in REST seconds
     monkeypatch.setattr(common, "TAKEN", 0.95)
-    monkeypatch.setattr(common, "_eased", [0.0])
+    monkeypatch.setattr(common, "_eased", [float("-inf")])
     common.ease(session)
     assert len(calls) == 1
+
+
+def test_memory_outside_the_drivers_heap_is_given_back(spark):
+    assert "Trim native heap" in common.trim_driver(spark)

@@ -215,3 +215,26 @@ def test_cleaned_keeps_the_columns(spark):
     out = ld.cleaned(spark.createDataFrame(rows, "doc_id long, text string, N_chars int, n_removed int"))
     assert out.columns == ["doc_id", "text", "N_chars", "n_removed"] and out.schema["N_chars"].dataType.simpleString() == "int"
     assert sorted(map(tuple, out.collect()), key=lambda r: r[0]) == [(1, line, 63, 7), (3, "short", 5, 9), (4, None, None, 1), (5, "", 0, 2), (6, " ", 1, 3)]
+
+
+def test_sets_and_signatures_of_many_lines_are_those_of_each():
+    rnd = random.Random(6)
+    lines = ["".join(rnd.choice("abcdefgh é字") for _ in range(rnd.choice([0, 3, 8, 40, 400]))) for _ in range(500)] + ["ab" * 100_000, "x"]
+    assert sum(map(len, lines)) > 3 * ld.PIECE and ld.shingle_sets([], HOW) == [] and len(ld.signatures([], HOW, 32)) == 0
+    sets, signs = ld.shingle_sets(lines, HOW), ld.signatures(lines, HOW, 32)
+    for line, found, sign in zip(lines, sets, signs):
+        assert np.array_equal(found, np.unique(ld.shingles([line], HOW)[0]))
+        assert np.array_equal(sign, ld.signatures([line], HOW, 32)[0])
+
+
+def test_small_units_share_a_batch(spark, monkeypatch):
+    """Thousands of buckets of three give a few batches of links, not one each."""
+    made = []
+    monkeypatch.setattr(ld, "map_arrow", lambda df, fn, schema: made.append((df, fn)))
+    members = spark.createDataFrame([(u, 3 * u + k, 3 * u + k) for u in range(3000) for k in range(3)], "key long, a long, component long")
+    texts = spark.createDataFrame([(3 * u + k, f"line {u} of a crowd of many lines that are all alike, number {u}" + "." * k) for u in range(3000) for k in range(3)], "a long, line string")
+    ld.links_between(members, texts, HOW)
+    df, fn = made[0]
+    out = list(fn(df.coalesce(1).sortWithinPartitions("unit", "one", "two").toArrow().to_batches()))
+    links = {(a, b) for x in out for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist())}
+    assert len(out) <= 10 and all(a // 3 == b // 3 for a, b in links) and len({a for a, _ in links} | {b for _, b in links}) == 9000
