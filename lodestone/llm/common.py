@@ -109,6 +109,15 @@ def trim_driver(spark: SparkSession) -> str:
     return named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, given)
 
 
+def ease_executors(spark: SparkSession) -> None:
+    """Hand the heap that an earlier step took on the executors back to the system; they would keep all they may have.
+
+    Short tasks, several for each core, ask for it; an executor that gets none keeps its heap.
+    """
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table that materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_lodestone_path", None)

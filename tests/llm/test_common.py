@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lodestone.llm import common
 
 
@@ -47,3 +49,18 @@ def test_the_drivers_heap_is_given_back(spark, monkeypatch):
 
 def test_memory_outside_the_drivers_heap_is_given_back(spark):
     assert "Trim native heap" in common.trim_driver(spark)
+
+
+def test_stages_begin_with_the_memory_of_the_one_before(spark, monkeypatch):
+    common.ease_executors(spark)  # runs on any session
+
+    class Asked(Exception):
+        pass
+
+    def asked(_):
+        raise Asked
+
+    monkeypatch.setattr(corpus_pipeline, "ease_executors", asked)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Asked):
+            stage(spark, spark.range(1), "nowhere")
