@@ -1,9 +1,10 @@
-"""Exact nearest neighbours: block products and bounded top-k.
+"""Exact nearest neighbours: tiles of distances and bounded top-k.
 
 Queries go to every task that scans the base while they fit in BROADCAST_BYTES, which is
-checked; larger query sets are dealt out as blocks, and pairs of blocks are multiplied. Each
-block keeps the k best of each query, so what is shuffled is k rows a query and block. Order
-is total: by squared distance, then id.
+checked; larger query sets and groups are dealt out as cells, a part of the queries against a
+part of the base. A task holds the queries of one cell and the k best of each so far, while the
+base rows pass by batch by batch; so its memory depends on neither table's size. What is shuffled
+on is k rows a query and part of the base. Order is total: by squared distance, then id.
 """
 
 from __future__ import annotations
@@ -12,13 +13,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 64 << 20
-#: Rows of a base block, and of a block of queries.
-BASE_ROWS = 8192
-QUERY_ROWS = 4096
+BROADCAST_BYTES = 8 << 20
+#: Of a cell's queries: bytes of their vectors, and of their lists so far.
+CELL_BYTES = 16 << 20
+#: Pairs of rows that one cell compares, once there are cells enough for all cores.
+CELL_PAIRS = 1 << 31
+#: Rows of a tile of distances: of the base, and of the queries.
+BASE_ROWS = 2048
+QUERY_ROWS = 512
+#: Pairs whose exact distances are computed at a time, and rows sent on at a time.
+EXACT = 1 << 15
+SENT = 1 << 16
 
 PAIRS = "qid long, base_id long, d2 double"
 
@@ -27,34 +36,79 @@ def matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     """A column of equally long lists as a matrix of doubles."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    out = flat.reshape(len(column), -1) if len(column) else np.zeros((0, dim or 0))
-    if dim is not None and len(out) and out.shape[1] != dim:
-        raise ValueError(f"vectors of {out.shape[1]} and of {dim} components can't be compared")
-    return out
+    if not len(column):
+        return np.zeros((0, dim or 0))
+    ends = pc.min_max(pc.list_value_length(column)).as_py()
+    for n in ends.values():
+        if n != (ends["min"] if dim is None else dim):
+            raise ValueError(f"vectors of {n} and of {ends['min'] if dim is None else dim} components can't be compared")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.maximum(1e-30, (x * x).sum(axis=1, keepdims=True)))
 
 
-def best(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of q, id and squared distance of each row's k nearest of v, in order of (distance, id)."""
-    if q.shape[1] != v.shape[1]:
-        raise ValueError(f"vectors of {v.shape[1]} and of {q.shape[1]} components can't be compared")
-    rough = (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None] - 2 * (q @ v.T)
-    if rough.shape[1] > k:
-        edge = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
-        row, col = np.nonzero(rough <= edge + 1e-9 * (1 + np.abs(edge)))
-    else:
-        row, col = np.nonzero(np.ones_like(rough, bool))
-    gap = q[row] - v[col]
-    d2 = (gap * gap).sum(axis=1)
-    order = np.lexsort((ids[col], d2, row))
-    row, col, d2 = row[order], col[order], d2[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    keep = place < k
-    return row[keep], ids[col[keep]], d2[keep]
+class Best:
+    """The k nearest of each of some queries, in order of (distance, id), over base rows that come piece by piece."""
+
+    def __init__(self, q: np.ndarray, k: int) -> None:
+        self.q, self.k, self.norms = q, k, (q * q).sum(axis=1)
+        self.held = np.zeros(len(q), np.int64)
+        self.d2, self.ids = np.full((len(q), k), np.inf), np.zeros((len(q), k), np.int64)
+
+    def add(self, v: np.ndarray, ids: np.ndarray) -> None:
+        if not len(v) or not len(self.q):
+            return
+        if self.q.shape[1] != v.shape[1]:
+            raise ValueError(f"vectors of {v.shape[1]} and of {self.q.shape[1]} components can't be compared")
+        for at in range(0, len(v), BASE_ROWS):
+            some = v[at : at + BASE_ROWS]
+            v2 = np.column_stack([-2 * some, (some * some).sum(axis=1)])
+            for start in range(0, len(self.q), QUERY_ROWS):
+                self._tile(start, min(start + QUERY_ROWS, len(self.q)), some, v2, ids[at : at + BASE_ROWS])
+
+    def _tile(self, start: int, stop: int, v: np.ndarray, v2: np.ndarray, ids: np.ndarray) -> None:
+        q, mine = self.q[start:stop], self.norms[start:stop]
+        # squared distances less the query's norm, by one product
+        rough = np.column_stack([q, np.ones(len(q))]) @ v2.T
+        # bound of what rounding makes of rough, and of the exact distance
+        slack = 8e-16 * (q.shape[1] + 9) * (mine + np.fmax.reduce(v2[:, -1]))
+        most = np.where(self.held[start:stop] < self.k, np.inf, self.d2[start:stop, -1]) - mine + slack
+        near = rough > most[:, None]
+        np.logical_not(near, out=near)  # what is no number stays, and comes last
+        if rough.shape[1] > self.k and np.count_nonzero(near) > 2 * self.k * len(q):
+            near &= ~(rough > (np.partition(rough, self.k - 1, axis=1)[:, self.k - 1] + 2 * slack)[:, None])
+        row, col = np.divmod(np.flatnonzero(near), near.shape[1])
+        del rough, near
+        for at in range(0, len(row), EXACT):
+            self._merge(start, row[at : at + EXACT], v, col[at : at + EXACT], ids)
+
+    def _merge(self, start: int, row: np.ndarray, v: np.ndarray, col: np.ndarray, ids: np.ndarray) -> None:
+        gap = self.q[start + row] - v[col]
+        d2, row, ids = np.square(gap, out=gap).sum(axis=1), start + row, ids[col]
+        last, full = self.d2[row, -1], self.held[row] == self.k
+        better = ~full | ~((d2 > last) | ((d2 == last) & (ids > self.ids[row, -1])))
+        row, d2, ids = row[better], d2[better], ids[better]
+        if not len(row):
+            return
+        rows = np.unique(row)
+        was = np.arange(self.k) < self.held[rows][:, None]
+        row, d2, ids = np.concatenate([np.repeat(rows, self.held[rows]), row]), np.concatenate([self.d2[rows][was], d2]), np.concatenate([self.ids[rows][was], ids])
+        order = np.lexsort((ids, d2, row))
+        row, d2, ids = row[order], d2[order], ids[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < self.k
+        row, place = row[keep], place[keep]
+        self.d2[row, place], self.ids[row, place] = d2[keep], ids[keep]
+        self.held[rows] = np.searchsorted(row, rows, "right") - np.searchsorted(row, rows)
+
+    def found(self, qid: np.ndarray) -> Iterator[pa.RecordBatch]:
+        step = max(1, SENT // self.k)
+        for at in range(0, len(qid), step):
+            was = np.arange(self.k) < self.held[at : at + step, None]
+            if was.any():
+                yield pa.record_batch([pa.array(np.repeat(qid[at : at + step], self.held[at : at + step])), pa.array(self.ids[at : at + step][was]), pa.array(self.d2[at : at + step][was])], names=["qid", "base_id", "d2"])
 
 
 def top(pairs: DataFrame, k: int, key: str = "qid") -> DataFrame:
@@ -63,17 +117,51 @@ def top(pairs: DataFrame, k: int, key: str = "qid") -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def _blocks(rows: DataFrame, id_name: str, vec_name: str, size: int) -> DataFrame:
-    """(ids binary, mat binary, n): the rows packed block by block."""
+def _in_cells(rows: DataFrame, k: int, normalize_base: bool = False) -> DataFrame:
+    """(qid, base_id, d2): the k best of each query and cell. rows (group, a, b, side, id, vec) come cell by cell, its queries (side 0) before its base."""
+    prepare = unit_rows if normalize_base else lambda x: x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, qids, parts, best = None, [], [], None
+        small: list[pa.RecordBatch] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                some = batch.slice(at, size)
-                ids, x = some.column(id_name).to_numpy(), matrix(some.column(vec_name))
-                yield pa.record_batch([pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["ids", "mat"])
-
-    return rows.select(id_name, vec_name).mapInArrow(run, "ids binary, mat binary")
+            key = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("group", "a", "b", "side")]
+            cuts = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in key])) + 1
+            for at, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if end == at:
+                    continue
+                now, some = tuple(x[at] for x in key), batch.slice(at, end - at)
+                if now[:3] != cell:
+                    if best is not None:
+                        small += best.found(np.concatenate(qids))
+                    cell, qids, parts, best = now[:3], [], [], None
+                ids, x = some.column("id").to_numpy(), matrix(some.column("vec"))
+                if now[3] == 0:
+                    if parts and parts[0].shape[1] != x.shape[1]:
+                        raise ValueError("the queries differ in length")
+                    qids.append(ids)
+                    parts.append(x)
+                elif qids:
+                    if best is None:
+                        best, parts = Best(np.concatenate(parts), k), []
+                    best.add(prepare(x), ids)
+                if sum(b.num_rows for b in small) >= SENT:
+                    yield from small
+                    small = []
+        if best is not None:
+            small += best.found(np.concatenate(qids))
+        yield from small
+
+    return rows.sortWithinPartitions("group", "a", "b", "side").select("group", "a", "b", "side", "id", "vec").mapInArrow(run, PAIRS)
+
+
+def _dealt(queries: DataFrame, base: DataFrame, over: Column | int, across: Column | int) -> DataFrame:
+    """The rows of all cells: queries (group, id, vec) in `over` parts by a hash, each for every one of the `across` parts of the base."""
+    over, across = (F.lit(x) if isinstance(x, int) else x for x in (over, across))
+    part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    left = queries.select("group", part(over).alias("a"), every(across).alias("b"), F.lit(0).alias("side"), "id", "vec")
+    return left.unionByName(base.select("group", every(over).alias("a"), part(across).alias("b"), F.lit(1).alias("side"), "id", "vec"))
 
 
 def exact_knn(queries: DataFrame, base: DataFrame, k: int, normalize_base: bool = False, first_rows: int = 0) -> DataFrame:
@@ -86,67 +174,52 @@ def exact_knn(queries: DataFrame, base: DataFrame, k: int, normalize_base: bool
     if first_rows:
         base = base.where(F.col("base_id") < first_rows)
     n, dim, least = queries.agg(F.count("*"), F.max(F.size("vec")), F.min(F.size("vec"))).first()
-    if not n:
+    if not n or k < 1:
         return queries.sparkSession.createDataFrame([], "qid long, rank long, base_id long, d2 double")
     if dim != least:
         raise ValueError("the queries differ in length")
-    prepare = unit_rows if normalize_base else lambda x: x
-    if n * dim * 8 <= BROADCAST_BYTES:
+    if n * max(dim * 8, k * 8) <= BROADCAST_BYTES:
+        prepare = unit_rows if normalize_base else lambda x: x
         table = queries.toArrow()
         held = queries.sparkSession.sparkContext.broadcast((table.column("qid").to_numpy(), matrix(table.column("vec"))))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qid, q = held.value
+            best = Best(q, k)
             for batch in batches:
-                for at in range(0, batch.num_rows, BASE_ROWS):
-                    some = batch.slice(at, BASE_ROWS)
-                    v, ids = prepare(matrix(some.column("vec"), dim)), some.column("base_id").to_numpy()
-                    for start in range(0, len(q), QUERY_ROWS):
-                        row, found, d2 = best(q[start : start + QUERY_ROWS], v, ids, k)
-                        yield pa.record_batch([pa.array(qid[start + row]), pa.array(found), pa.array(d2)], names=["qid", "base_id", "d2"])
+                best.add(prepare(matrix(batch.column("vec"), dim)), batch.column("base_id").to_numpy())
+            yield from best.found(qid)
 
         return top(base.mapInArrow(scan, PAIRS), k).select("qid", "rank", "base_id", "d2")
-    left = _blocks(queries, "qid", "vec", QUERY_ROWS).select(F.col("ids").alias("qids"), F.col("mat").alias("qmat"))
-    pairs = left.crossJoin(_blocks(base, "base_id", "vec", BASE_ROWS))
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                qid, ids = np.frombuffer(r["qids"], "<i8"), np.frombuffer(r["ids"], "<i8")
-                q, v = np.frombuffer(r["qmat"]).reshape(len(qid), -1), np.frombuffer(r["mat"]).reshape(len(ids), -1)
-                row, found, d2 = best(q, prepare(v), ids, k)
-                yield pa.record_batch([pa.array(qid[row]), pa.array(found), pa.array(d2)], names=["qid", "base_id", "d2"])
+    rows = base.count()
+    over = -(-n // max(1, CELL_BYTES // max(dim * 8, k * 16)))
+    cells = max(3 * queries.sparkSession.sparkContext.defaultParallelism, n * rows // CELL_PAIRS)
+    across = max(1, min(-(-cells // over), -(-rows // BASE_ROWS)))
+    named = lambda df, name: df.select(F.lit(0).alias("group"), F.col(name).alias("id"), "vec")
+    dealt = _dealt(named(queries, "qid"), named(base, "base_id"), over, across)
+    return top(_in_cells(dealt.repartitionById(over * across, F.col("a") * across + F.col("b")), k, normalize_base), k).select("qid", "rank", "base_id", "d2")
 
-    return top(pairs.mapInArrow(multiply, PAIRS), k).select("qid", "rank", "base_id", "d2")
 
+def _sized(rows: DataFrame, size: int, each: int, name: str) -> DataFrame:
+    """(group, name): the number of parts of a group, of at most `size` rows on average and CELL_BYTES; `each` bytes of a row come beside its vector."""
+    fit = F.lit(CELL_BYTES) / F.greatest(8 * F.max(F.size("vec")), F.lit(each), F.lit(1))
+    return rows.groupBy("group").agg(F.ceil(F.count("*") / F.greatest(F.lit(1), F.least(F.lit(size), F.floor(fit)))).cast("int").alias(name))
 
-def _packed(rows: DataFrame, id_name: str, size: int) -> DataFrame:
-    """(group, ids, vecs): rows (group, id, vec) dealt by a hash into blocks of about `size` rows of one group."""
-    counts = rows.groupBy("group").agg(F.ceil(F.count("*") / F.lit(size)).alias("parts"))
-    dealt = rows.join(counts, "group").withColumn("part", F.pmod(F.xxhash64(id_name), F.col("parts")))
-    return dealt.groupBy("group", "part").agg(F.collect_list(F.struct(id_name, "vec")).alias("rows")).select("group", F.col(f"rows.{id_name}").alias("ids"), F.col("rows.vec").alias("vecs"))
 
-
-def grouped_knn(queries: DataFrame, base: DataFrame, k: int, size: int = 1024) -> DataFrame:
+def grouped_knn(queries: DataFrame, base: DataFrame, k: int, size: int = 16384) -> DataFrame:
     """(qid, rank, base_id, d2): each query's k nearest of its own group. queries: (group, qid, vec), base: (group, base_id, vec).
 
-    Blocks of a group meet, not rows, and each pair of blocks keeps the k best of each query; so
-    a group of any size is spread over tasks.
+    Parts of a group meet in cells, and each cell keeps the k best of each query; so a group of
+    any size is spread over tasks.
     """
-    double = F.col("vec").cast("array<double>").alias("vec")
-    left = _packed(queries.select("group", F.col("qid").cast("long").alias("qid"), double).where("vec is not null"), "qid", size)
-    right = _packed(base.select("group", F.col("base_id").cast("long").alias("base_id"), double).where("vec is not null"), "base_id", size)
-    pairs = left.select("group", F.col("ids").alias("qids"), F.col("vecs").alias("qvecs")).join(right, "group").select("qids", "qvecs", "ids", "vecs")
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                qids, qvecs, ids, vecs = (batch.column(c)[i].values for c in ("qids", "qvecs", "ids", "vecs"))
-                qid = qids.to_numpy()
-                row, found, d2 = best(matrix(qvecs), matrix(vecs), ids.to_numpy(), k)
-                yield pa.record_batch([pa.array(qid[row]), pa.array(found), pa.array(d2)], names=["qid", "base_id", "d2"])
-
-    return top(pairs.mapInArrow(multiply, PAIRS), k).select("qid", "rank", "base_id", "d2")
+    named = lambda df, name: df.select("group", F.col(name).cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
+    left, right = named(queries, "qid"), named(base, "base_id")
+    parts = _sized(left, size, 16 * k, "over").join(_sized(right, size, 0, "across"), "group")
+    dealt = _dealt(*(rows.join(parts, "group").select("group", "id", "vec", "over", "across") for rows in (left, right)), F.col("over"), F.col("across"))
+    spark = queries.sparkSession
+    # a given number, for small tables of many pairs would be read by one task
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return top(_in_cells(dealt.repartition(tasks, "group", "a", "b"), k), k).select("qid", "rank", "base_id", "d2")
 
 
 def nearest_query(queries: DataFrame) -> DataFrame:
