@@ -48,8 +48,8 @@ def shape(radius: DataFrame) -> DataFrame:
     return out.withColumns({"skew": skew("p90", "p50"), "skew_serve": skew("p90_floor", "p50_upper")})
 
 
-def density(members: DataFrame, place: int = 10) -> DataFrame:
-    """(cluster_id, density): 1 / median distance of a member to its 10th nearest fellow; 0 with too few members or at distance 0.
+def tenth_distances(members: DataFrame, place: int = 10) -> DataFrame:
+    """(g, x): the distance of each member to its `place`-th nearest fellow.
 
     Fellows are compared inside their cluster only, block by block.
     """
@@ -57,9 +57,17 @@ def density(members: DataFrame, place: int = 10) -> DataFrame:
     found = knn.grouped_knn(rows, rows.select("group", F.col("qid").alias("base_id"), "vec"), place + 1).where("qid <> base_id")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
     far = found.withColumn("place", rank).where(F.col("place") == place)
-    values = far.join(rows.select("qid", "group"), "qid").select(F.col("group").alias("g"), F.sqrt("d2").alias("x"))
+    return far.join(rows.select("qid", "group"), "qid").select(F.col("group").alias("g"), F.sqrt("d2").alias("x"))
+
+
+def density(members: DataFrame, place: int = 10, values: DataFrame | None = None) -> DataFrame:
+    """(cluster_id, density): 1 / median distance of a member to its 10th nearest fellow; 0 with too few members or at distance 0.
+
+    values: tenth_distances of the members, where they are written already.
+    """
+    values = tenth_distances(members, place) if values is None else values
     value = quantiles.group_percentiles(values, {"m": 0.5}).select(F.col("g").alias("cluster_id"), "m")
-    out = rows.select(F.col("group").alias("cluster_id")).distinct().join(value, "cluster_id", "left")
+    out = members.where("cluster_id >= 0").select("cluster_id").distinct().join(value, "cluster_id", "left")
     return out.select("cluster_id", F.when(F.col("m") > 0, F.lit(1.0) / F.col("m")).otherwise(0.0).alias("density"))
 
 

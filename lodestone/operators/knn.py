@@ -45,6 +45,17 @@ def matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
+def lossless(name: str = "vec") -> Column:
+    """An aggregate: whether single precision holds all vectors."""
+    return F.bool_and(F.col(name) == F.col(name).cast("array<float>").cast("array<double>"))
+
+
+def tasks(df: DataFrame) -> int:
+    """For steps whose work is larger than their bytes say, by which Spark would join their parts."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+
+
 def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.maximum(1e-30, (x * x).sum(axis=1, keepdims=True)))
 
@@ -173,7 +184,7 @@ def exact_knn(queries: DataFrame, base: DataFrame, k: int, normalize_base: bool
     base = base.select(F.col("base_id").cast("long").alias("base_id"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
     if first_rows:
         base = base.where(F.col("base_id") < first_rows)
-    n, dim, least = queries.agg(F.count("*"), F.max(F.size("vec")), F.min(F.size("vec"))).first()
+    n, dim, least, single = queries.agg(F.count("*"), F.max(F.size("vec")), F.min(F.size("vec")), lossless()).first()
     if not n or k < 1:
         return queries.sparkSession.createDataFrame([], "qid long, rank long, base_id long, d2 double")
     if dim != least:
@@ -191,11 +202,14 @@ def exact_knn(queries: DataFrame, base: DataFrame, k: int, normalize_base: bool
             yield from best.found(qid)
 
         return top(base.mapInArrow(scan, PAIRS), k).select("qid", "rank", "base_id", "d2")
-    rows = base.count()
-    over = -(-n // max(1, CELL_BYTES // max(dim * 8, k * 16)))
-    cells = max(3 * queries.sparkSession.sparkContext.defaultParallelism, n * rows // CELL_PAIRS)
+    rows, base_single = base.agg(F.count("*"), lossless()).first()
+    kind = "array<float>" if single and base_single else "array<double>"
+    least = -(-n // max(1, CELL_BYTES // max(dim * 8, k * 16)))
+    cells = max(2 * queries.sparkSession.sparkContext.defaultParallelism, n * rows // CELL_PAIRS)
+    # each query is sent `across` times and each base row `over` times
+    over = max(least, min(round((cells * rows / n) ** 0.5), -(-n // QUERY_ROWS)))
     across = max(1, min(-(-cells // over), -(-rows // BASE_ROWS)))
-    named = lambda df, name: df.select(F.lit(0).alias("group"), F.col(name).alias("id"), "vec")
+    named = lambda df, name: df.select(F.lit(0).alias("group"), F.col(name).alias("id"), F.col("vec").cast(kind).alias("vec"))
     dealt = _dealt(named(queries, "qid"), named(base, "base_id"), over, across)
     return top(_in_cells(dealt.repartitionById(over * across, F.col("a") * across + F.col("b")), k, normalize_base), k).select("qid", "rank", "base_id", "d2")
 
@@ -216,10 +230,7 @@ def grouped_knn(queries: DataFrame, base: DataFrame, k: int, size: int = 16384)
     left, right = named(queries, "qid"), named(base, "base_id")
     parts = _sized(left, size, 16 * k, "over").join(_sized(right, size, 0, "across"), "group")
     dealt = _dealt(*(rows.join(parts, "group").select("group", "id", "vec", "over", "across") for rows in (left, right)), F.col("over"), F.col("across"))
-    spark = queries.sparkSession
-    # a given number, for small tables of many pairs would be read by one task
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
-    return top(_in_cells(dealt.repartition(tasks, "group", "a", "b"), k), k).select("qid", "rank", "base_id", "d2")
+    return top(_in_cells(dealt.repartition(tasks(queries), "group", "a", "b"), k), k).select("qid", "rank", "base_id", "d2")
 
 
 def nearest_query(queries: DataFrame) -> DataFrame:

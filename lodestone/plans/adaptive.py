@@ -41,13 +41,14 @@ def cluster_features(w: Workload, faithful_skew: bool = False) -> DataFrame:
     Training and serving use the same definitions; faithful_skew takes those of serving where
     the two differ.
     """
-    shape = features.shape(features.radii(w.queries, w.centers))
+    # percentiles read their rows again and again
+    shape = features.shape(kept(features.radii(w.queries, w.centers), "radii"))
     p50, p90, skew = ("p50_upper", "p90_floor", "skew_serve") if faithful_skew else ("p50", "p90", "skew")
     sizes = features.sizes(w.queries)
-    density = features.density(w.queries).withColumnRenamed("density", "nn10")
+    density = features.density(w.queries, values=kept(features.tenth_distances(w.queries), "tenths")).withColumnRenamed("density", "nn10")
     entry = features.entry_points(w.centers, w.base)
     first = w.probes.where("rank = 1").select("cluster_id", F.sqrt("d2").alias("dist_centroid_top1_smallEF"))
-    found = graph_search.probe(w.centers, graph_search.collect_graph(w.base, w.graph), (SMALL, LARGE))
+    found = graph_search.probe(w.centers, w.index, (SMALL, LARGE))
     few, many = (similarity.lists(found.where(F.col("ef") == ef), "cluster_id").withColumnRenamed("ids", name) for ef, name in ((SMALL, "few"), (LARGE, "many")))
     lists = few.join(many, "cluster_id")
     sides = F.col("few"), F.col("many")
@@ -57,8 +58,10 @@ def cluster_features(w: Workload, faithful_skew: bool = False) -> DataFrame:
     local = features.local_shape(w.probes)
     names = [f"{c}_serve" if faithful_skew else c for c in ("lid", "rc", "expansion")]
     local = local.select("cluster_id", *(F.col(n).alias(to) for n, to in zip(names, adaptive.PROBE)))
-    out = shape.join(sizes.drop("n"), "cluster_id")
-    for part in (density, entry, first, alike, local):
+    # each part is a plan of its own: one plan of all of them fills the driver's heap
+    parts = {"shape": shape, "sizes": sizes.drop("n"), "density": density, "entry": entry, "first": first, "alike": alike, "local": local}
+    out, *others = (kept(part, name) for name, part in parts.items())
+    for part in others:
         out = out.join(part, "cluster_id")
     radius = F.col(p50)
     return out.select(
@@ -80,6 +83,13 @@ def cluster_features(w: Workload, faithful_skew: bool = False) -> DataFrame:
     )
 
 
+def static_features(w: Workload) -> DataFrame:
+    """cluster_features of a workload, written once."""
+    if "static" not in w.__dict__:
+        w.__dict__["static"] = kept(cluster_features(w), "static")
+    return w.__dict__["static"]
+
+
 def anchor_features(w: Workload, rows: DataFrame) -> DataFrame:
     """rows (cluster_id, efc, ...) with the trio of the anchor's list of efc."""
     wanted = rows.select("cluster_id", "efc").distinct()
@@ -93,7 +103,7 @@ def anchor_features(w: Workload, rows: DataFrame) -> DataFrame:
 
 def graph_results(w: Workload, cells: list[tuple[int, int, float]]) -> DataFrame:
     settings = w.spark.createDataFrame(cells, "efc int, ef_warm int, m double").crossJoin(w.centers.select("cluster_id"))
-    return graph_search.search_clusters(w.queries, w.centers, settings, graph_search.collect_graph(w.base, w.graph), K)
+    return graph_search.search_clusters(w.queries, w.centers, settings, w.index, K)
 
 
 def collected(w: Workload) -> DataFrame:
@@ -105,7 +115,7 @@ def collected(w: Workload) -> DataFrame:
     # a query that finds anything has a row of rank 1
     first = found.where("rank = 1").groupBy(*key)
     seen = first.agg(F.avg("visited").alias("visited_mean"), F.max("steps").alias("centroid_steps"), (F.count("*") / F.greatest(F.lit(1e-12), F.sum("seconds"))).alias("qps_run"))
-    static = kept(cluster_features(w), "static")
+    static = static_features(w)
     rows = static.join(seen, "cluster_id").join(hit, key, "left")
     rows = rows.withColumn("recall_at_k", F.coalesce("hits", F.lit(0)) / (F.col("cluster_size") * K)).drop("hits")
     return features.derived(anchor_features(w, rows))
@@ -116,14 +126,13 @@ def training_runs(w: Workload) -> DataFrame:
     most, key = DEPTHS[-1], ["cluster_id", "efc", "ef_warm", "m"]
     grid = w.grid().withColumn("m", F.col("share") * F.col("ef_warm")).select(F.col("efc").cast("int").alias("efc"), F.col("ef_warm").cast("int").alias("ef_warm"), "m")
     truth = knn.exact_knn(w.queries, w.base, most).select("qid", "base_id", F.col("rank").alias("place"))
-    graph = graph_search.collect_graph(w.base, w.graph)
-    found = kept(graph_search.search_clusters(w.queries, w.centers, grid.crossJoin(w.centers.select("cluster_id")), graph, most), "results")  # the grid is a setting
+    found = kept(graph_search.search_clusters(w.queries, w.centers, grid.crossJoin(w.centers.select("cluster_id")), w.index, most), "results")  # the grid is a setting
     hits = [(F.count_if((F.col("rank") <= k) & (F.col("place") <= k))).alias(f"hits_{k}") for k in DEPTHS]
     hit = found.join(truth, ["qid", "base_id"]).groupBy(*key).agg(*hits)
     first = found.where("rank = 1").groupBy(*key)
     seen = first.agg(F.avg("visited").alias("visited_mean"), F.max("steps").alias("centroid_steps"), (F.count("*") / F.greatest(F.lit(1e-12), F.sum("seconds"))).alias("qps_run"))
     held = truth.groupBy("qid").agg(F.count("*").alias("held")).join(w.queries, "qid").groupBy("cluster_id").agg(*(F.sum(F.least("held", F.lit(k))).alias(f"all_{k}") for k in DEPTHS))
-    rows = kept(cluster_features(w), "static").join(seen, "cluster_id").join(hit, key, "left").join(held, "cluster_id")
+    rows = static_features(w).join(seen, "cluster_id").join(hit, key, "left").join(held, "cluster_id")
     rows = rows.withColumns({f"recall_at_{k}": F.coalesce(f"hits_{k}", F.lit(0)) / F.col(f"all_{k}") for k in DEPTHS})
     return rows.withColumn("L_aligned", F.col("m") / F.col("ef_warm")).select(*COLUMNS)
 
@@ -163,11 +172,11 @@ def search(w: Workload, targets: list[float], monotone: bool = False) -> DataFra
     Parameters come from the quantile heads, or from the monotone ones, of which none falls with
     the target while its other features stay.
     """
-    static = kept(cluster_features(w), "static")
+    static = static_features(w)
     models = trained(w)
     models = {name: models[f"{name}_mono" if monotone else name] for name in "ABM"}
     chosen = kept(adaptive.choose(static, lambda rows: kept(anchor_features(w, rows), "anchored"), models, targets), "chosen")
-    found = graph_search.search_clusters(w.queries, w.centers, chosen.select("cluster_id", "efc", "ef_warm", "m").distinct(), graph_search.collect_graph(w.base, w.graph), K)
+    found = graph_search.search_clusters(w.queries, w.centers, chosen.select("cluster_id", "efc", "ef_warm", "m").distinct(), w.index, K)
     rows = found.join(chosen.select("target", "cluster_id", "efc", "ef_warm", "m"), ["cluster_id", "efc", "ef_warm", "m"])
     rows = kept(rows, "found")
     per = [recall.overall(recall.hits(w.queries, w.truth, rows.where(F.abs(F.col("target") - t) < 1e-9), K)).select(F.lit(t).alias("target"), "recall") for t in targets]

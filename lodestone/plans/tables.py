@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, grid, knn, recall, reuse
+from ..operators import features, graph_search, grid, knn, recall, reuse
 from ..sources.scratch import kept
 
 K = 10
@@ -58,6 +58,11 @@ class Workload:
     def graph(self) -> DataFrame:
         return knn.knn_graph(self.base, DEGREE)
 
+    @cached_property
+    def index(self) -> graph_search.Graph:
+        """The graph as a file that all searches of the workload share."""
+        return graph_search.collect_graph(self.base, self.graph)
+
     @cached_property
     def nearest(self) -> DataFrame:
         return knn.nearest_query(self.queries)

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Share of the driver's heap from which ease() acts.
+TAKEN = 0.4
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -25,8 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ease(spark: SparkSession) -> None:
+    """Have the driver hand back heap that plans took, for it would keep all that it may have; not while little of that is taken."""
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > TAKEN * runtime.maxMemory():
+        jvm.java.lang.System.gc()
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df, written once and read from there: plans that use it stay small, and a lost executor costs no more than a read."""
     path = f"{shared_dir(df.sparkSession)}/lodestone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    ease(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
